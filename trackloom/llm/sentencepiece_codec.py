@@ -28,6 +28,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct cuts that a task remembers at most, and those that it checks for parity.
 REMEMBERED, CHECKED = 300_000, 2_000
+#: Characters of texts that are cut and encoded at once.
+BLOCK = 1 << 20
 
 
 @dataclass
@@ -136,14 +138,25 @@ class Codec:
         return [MARKER + w for w in t[1:].split(MARKER)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        """Ids of each text as little-endian unsigned 32-bit numbers; few texts' cuts are held at once."""
+        out, i = [], 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK):
+                size += len(texts[j])
+                j += 1
+            out += self._encode(texts[i:j])
+            i = j
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self._cuts(t) for t in texts]
         if len(self.memory) > REMEMBERED:
             self.memory = {}
         memory = self.memory
         new = list({c for one in cuts for c in one if c not in memory})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 4_000):
+            part = new[i : i + 4_000]
             found = [e.ids for e in self.backend.encode_batch_fast(part, add_special_tokens=False)]
             memory.update((c, np.array(ids, "<u4").tobytes()) for c, ids in zip(part, found))
             self._check(part, found)
