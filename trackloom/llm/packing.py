@@ -153,8 +153,7 @@ def place(pieces: DataFrame, window: int = 1024, key: str = "doc_id") -> DataFra
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("__n")).collect()}
     places = spark.sparkContext.broadcast(slots(plan(histogram, window)))
     upto = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    # at most window x SALTS rows
-    before = F.broadcast(counts.select("length", "__salt", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before")))
+    before = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
     within = Window.partitionBy("length", "__salt").orderBy(key, "start")
     ranked = salted.withColumn("__rank", F.row_number().over(within)).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__rank") - 1).select(*pieces.columns, "__rank")
 
