@@ -7,11 +7,11 @@ pair's signatures are compared batch by batch, and the pair is dropped as soon a
 probability that its similarity reaches the threshold falls under the chosen miss probability.
 Survivors are verified on the full shingle sets of their texts.
 
-No bucket's members are paired all with all: each bucket is first joined to one member (a star),
-the verified links are merged into components, and only then members of *different* components are
-compared, in slices of growing size, so that a large group of copies costs about one comparison a
-member. All pairs of a bucket that still lie in different components are compared in the end, so
-nothing is capped.
+No bucket's members are paired all with all: each bucket is first joined to one member (a star), and
+the verified links are merged into components. A class that shares a bucket with a large component
+other than its own then asks all of that component's members, block by block, in one count of shared
+shingles. What is left are pairs between small components of one bucket, and these are compared one
+by one, so nothing is capped.
 """
 
 from __future__ import annotations
@@ -19,18 +19,20 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import map_batches, stored, text_of
+from trackloom.session import ship_package
 
 #: Signature values compared at once, and their number.
-BATCH, HASHES = 33, 132
-#: Values in a band; each of two permutations of the signature is cut into bands of them.
-ROWS, PERMUTATIONS = 6, 2
-#: Upper ends of the slices of a bucket's members (by a hash in [0, 1)) that face all others.
-SLICES = (1 / 64, 1 / 8, 1.0)
+BATCH, HASHES = 32, 128
+#: Values in a band; each permutation of the signature is cut into bands of them.
+ROWS, PERMUTATIONS = 8, 4
+#: Open members that make a component large, members of one in a block, and those that ask it at once.
+LARGE, BLOCK, ASKERS = 32, 256, 2000
 #: Rows up to which a list of ids is broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -39,7 +41,7 @@ _MUL = (_rng.integers(1, 2**32, HASHES, np.uint32) | 1).astype(np.uint32)
 _XOR = _rng.integers(0, 2**32, HASHES, np.uint32)
 _BYTES = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES[32] = 0  # the space between words
-_ORDER = np.concatenate([np.arange(HASHES), _rng.permutation(HASHES)])
+_ORDER = np.concatenate([np.arange(HASHES), *(_rng.permutation(HASHES) for _ in range(PERMUTATIONS - 1))])
 BANDS = PERMUTATIONS * HASHES // ROWS
 
 
@@ -221,6 +223,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return map_batches(_with_texts(pairs, texts).select("a", "b", "words_a", "words_b"), make, "a bigint, b bigint")
 
 
+def _block_links(members: pa.Table, askers: pa.Table, k: int, percent: int) -> pa.Table:
+    """For each asker one member that it is linked with, if any. Shared shingles of an asker with
+    all members are counted at once; the link is confirmed on the sets themselves."""
+    words = members["words"].to_pylist()
+    sets = [shingle_hashes(w.encode(), k) for w in words]
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    reps, a, b = members["rep"].to_pylist(), [], []
+    for rep, text in zip(askers["rep"].to_pylist(), askers["words"].to_pylist()):
+        own = shingle_hashes(text.encode(), k)
+        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common)):
+            x, y = shingle_set(text.encode().split(b" "), k), shingle_set(words[j].encode().split(b" "), k)
+            if 100 * len(x & y) >= percent * len(x | y):
+                a.append(rep)
+                b.append(reps[j])
+                break
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _asked(now: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between large components and the classes that share a bucket with one: such a class
+    asks all of the component's open members, which lie in blocks of about BLOCK, at once. Of two
+    large components the smaller one's members ask."""
+    own = now.select("rep", F.col("comp").alias("c")).distinct()
+    large = stored(own.groupBy("c").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LARGE), "dedup-large")
+    inside = now.select("bucket", F.col("comp").alias("c")).distinct().join(large, "c")
+    sized = now.join(large.select(F.col("c").alias("comp"), F.col("size").alias("own")), "comp", "left")
+    askers = sized.join(inside, "bucket").filter((F.col("comp") != F.col("c")) & F.coalesce(F.struct("own", "comp") < F.struct("size", "c"), F.col("own").isNull())).select("rep", "c", "size").distinct()
+    askers = stored(askers, "dedup-askers")
+    parts = askers.groupBy("c", "size").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("parts")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    key = ["c", "block", "part"]
+    left = own.join(parts, "c").withColumn("block", deal("blocks", 1)).join(texts, "rep").withColumn("part", spread("parts")).select(*key, "rep", "words")
+    right = askers.drop("size").join(parts, "c").withColumn("part", deal("parts", 2)).join(texts, "rep").withColumn("block", spread("blocks")).select(*key, "rep", "words")
+
+    def links(members: pa.Table, asking: pa.Table) -> pa.Table:
+        return _block_links(members, asking, k, percent) if len(members) and len(asking) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    ship_package(now.sparkSession)
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own
+    return stored(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(links, "a bigint, b bigint"), "dedup-asked")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: key, n_shingles, component_id, kept.
 
@@ -229,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     shingles and stand alone. With fewer than ``k`` words the whole sequence is the one shingle.
     Rows with equal key appear each; null keys stand outside all groups with a null component_id and
     kept false. Other columns of ``docs`` are left out. A link of exactly the threshold is missed
-    with a probability of about ``(1 - s ** 6) ** 44`` (2e-6 at 0.8), or ``miss`` in the
+    with a probability of about ``(1 - s ** 8) ** 64`` (8e-6 at 0.8), or ``miss`` in the
     comparison. Keys must be integers.
     """
     described = stored(describe(docs.withColumn(key, F.col(key).cast("long")), k, text, key), "dedup-docs")
@@ -250,22 +302,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     links = stored(_verified(stored(_survivors(star, sigs, percent / 100, miss), "dedup-pairs"), texts, k, percent), "dedup-verified")
     labels = components(links)
 
-    low = 0.0
-    for high in SLICES:
-        now = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and c > 2").select("bucket")
-        now = stored(now.join(open_, "bucket"), "dedup-open")
-        if not now.limit(1).count():
-            break
-        scale = lambda x: F.lit(int(-(2**63) + x * (2**64 - 1)))
-        facing = now.filter((F.col("u") >= scale(low)) & ((F.col("u") < scale(high)) if high < 1 else F.lit(True)))
-        facing = facing.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("other"))
+    def open_members(labels: DataFrame, of: DataFrame) -> DataFrame:
+        now = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+        some = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and c > 2").select("bucket")
+        return stored(now.join(some, "bucket"), "dedup-open")
+
+    now = open_members(labels, members)
+    if now.limit(1).count():
+        # classes against large components, all members of these at once
+        asked = _asked(now, texts, k, percent)
+        if asked.limit(1).count():
+            links = links.union(asked)
+            labels = components(links)
+        # what is left are pairs between components that are small as yet
+        sizes = now.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LARGE)
+        now = open_members(labels, now.join(sizes.select("comp"), "comp", "left_anti").drop("comp"))
+        facing = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("other"))
         pairs = now.join(facing, "bucket").filter((F.col("u") > F.col("v")) & (F.col("comp") != F.col("other")) & fits).select(F.col("rep").alias("a"), "b").distinct()
         found = stored(_verified(stored(_survivors(pairs, sigs, percent / 100, miss), "dedup-pairs"), texts, k, percent), "dedup-verified")
-        links = links.union(found)
         if found.limit(1).count():
-            labels = components(links)
-        low = high
+            labels = components(links.union(found))
 
     groups = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class_id", F.coalesce("label", "rep").alias("__component"))
     out = described.drop("signature").join(groups, "class_id", "left")
