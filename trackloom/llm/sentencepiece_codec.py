@@ -4,7 +4,7 @@ The model's protobuf is parsed here: pieces with scores and kinds, the trainer's
 fallback, and the normaliser. From these a tokenizers model is rebuilt (merges in the order of the
 pieces' scores, or unigram scores), with the metaspace marker and byte fallback. Where no piece has
 a marker after another character, a text can be cut before each run of markers, and each distinct
-cut is encoded once a task, in multithreaded batches. A task checks its first distinct cuts against
+cut is encoded once a worker, in multithreaded batches. A worker checks its first distinct cuts against
 the sentencepiece library and fails if any differs.
 """
 
@@ -26,8 +26,10 @@ MARKER = "▁"
 #: Fixed values of the format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct cuts that a task remembers at most, and those that it checks for parity.
-REMEMBERED, CHECKED = 300_000, 2_000
+#: Distinct cuts that a worker remembers at most, and those that it checks for parity.
+REMEMBERED, CHECKED = 150_000, 2_000
+#: Threads that encode a batch.
+THREADS = 2
 #: Characters of texts that are cut and encoded at once.
 BLOCK = 1 << 20
 
@@ -108,6 +110,7 @@ class Codec:
         with open(path, "rb") as f:
             self.model = parse(f.read())
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         self.backend = rebuilt(self.model)
         self.path, self.unchecked, self.memory = path, checked, {}
         self.cuttable = self.model.kind == BPE and not any(MARKER in p.lstrip(MARKER) for p, _, k in self.model.pieces if k in (NORMAL, USER)) and not any(k == USER for _, _, k in self.model.pieces)
@@ -191,6 +194,12 @@ class Codec:
         return out
 
 
+@functools.lru_cache(2)
+def codec_of(path: str) -> Codec:
+    """One codec a worker process, which later tasks use again."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", decode: bool = False) -> DataFrame:
     """``docs`` with piece_ids (binary, little-endian unsigned 32-bit) and, if asked for, decoded:
     the text that these ids give back.
@@ -203,7 +212,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decode: bool = False)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def work(b):
             ids = codec.encode([t or "" for t in b[text]])
@@ -220,7 +229,7 @@ def decode(rows: DataFrame, path: str, ids: str = "piece_ids") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def work(b):
             texts = iter(codec.decode([x for x in b[ids] if x is not None]))
