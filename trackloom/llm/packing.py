@@ -66,13 +66,16 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
 
 def nonnegative(combos: np.ndarray, wanted: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Repeat counts x >= 0 that bring the combinations' lengths near the histogram ``wanted``
-    (accelerated projected gradient on the least-squares error)."""
+    (accelerated projected gradient on the least-squares error). Errors weigh as their length's
+    square: what is left over should be short pieces, which fill gaps."""
     n, size = len(combos), len(wanted)
     if not n:
         return np.zeros(0)
     flat = combos.ravel()
     weight = np.repeat(1.0, flat.size) * (flat > 0)
 
+    cost = (np.arange(size) / size) ** 2
+
     def forward(x):
         return np.bincount(flat, np.repeat(x, 3) * weight, minlength=size)
 
@@ -81,13 +84,13 @@ def nonnegative(combos: np.ndarray, wanted: np.ndarray, rounds: int = 400) -> np
 
     v = np.ones(n)
     for _ in range(30):
-        v = back(forward(v))
+        v = back(cost * forward(v))
         top = np.linalg.norm(v)
         v /= top
     x = y = np.zeros(n)
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - back(forward(y) - wanted) / (1.02 * top))
+        new = np.maximum(0, y - back(cost * (forward(y) - wanted)) / (1.02 * top))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y = new + (old - 1) / t * (new - x)
         x = new
