@@ -56,3 +56,32 @@ def resolve(names: DataFrame, roster: DataFrame, name: str, known: str, least: f
     )
     found = best.select(name, F.coalesce("exact", F.when(F.col("n_begins") == 1, F.col("begins")), F.col(f"near.{known}")).alias("resolved"))
     return asked.join(found, name, "left")
+
+
+def resolve_types(readings: DataFrame, known: DataFrame, reading: str, name: str) -> DataFrame:
+    """Each distinct reading with status (exact, corrected, ambiguous, unknown), resolved and edits.
+
+    A reading is compared with each name and with the name's beginnings of about its length, since
+    readings are cut off; one edit is allowed, two from ten characters on, none under four. Several
+    names at the least distance are ambiguous. Names and beginnings meet readings by shared parts.
+    """
+    asked, names = readings.select(reading).distinct(), known.select(name).distinct()
+    n = F.length(name)
+    starts = F.when(n > 2, F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.substring(F.col(name), F.lit(1), i))).otherwise(F.array().cast("array<string>"))
+    forms = names.withColumn("__form", F.explode(F.array_distinct(F.concat(F.array(F.col(name)), starts))))
+    fuzzy = asked.filter(F.length(reading) >= 4)
+    near = within_edits(fuzzy, forms, reading, "__form", 2).filter(F.col("edits") <= F.when(F.length(reading) >= 10, 2).otherwise(1))
+    scored = near.join(forms, "__form").groupBy(reading, name).agg(F.min("edits").alias("edits"))
+    best = scored.groupBy(reading, "edits").agg(F.count(F.lit(1)).alias("n"), F.max(name).alias("other")).groupBy(reading).agg(F.min(F.struct("edits", "n", "other")).alias("b"))
+    exact = names.select(F.col(name).alias(reading), F.lit(True).alias("__exact"))
+    rows = asked.join(exact, reading, "left").join(best, reading, "left")
+    same, one = F.col("__exact").isNotNull(), F.col("b.n") == 1
+    status = F.when(same, "exact").when(one, "corrected").when(F.col("b.n") > 1, "ambiguous").otherwise("unknown")
+    return rows.select(reading, status.alias("status"), F.when(same, F.col(reading)).when(one, F.col("b.other")).alias("resolved"), F.when(same, F.lit(0)).when(one, F.col("b.edits")).alias("edits"))
+
+
+def infix_edits(needle: Column, hay: Column, skipped: int = 2) -> Column:
+    """Fewest edits from ``needle`` to a part of ``hay`` that begins within its first ``skipped``
+    characters; what follows the part is free."""
+    parts = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.length(hay) - s, F.lit(0))), lambda n: F.levenshtein(needle, F.substring(hay, s + 1, n)))
+    return F.array_min(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(skipped)), parts)))

@@ -25,3 +25,11 @@ def visible(files: DataFrame, public: DataFrame, own: Column, path: str) -> Data
     inherited = files.withColumn("folder", F.explode(ancestors(F.col(path)))).join(folders, "folder", "left_semi").select(path).distinct()
     marked = files.join(inherited.withColumn("__in", F.lit(True)), path, "left")
     return marked.filter(own | F.col("__in")).drop("__in")
+
+
+def public_via(files: DataFrame, public: DataFrame, path: str) -> DataFrame:
+    """``files`` with via: the deepest public folder (column folder) that holds the path or is it;
+    null if none does."""
+    above = files.select(path).distinct().withColumn("folder", F.explode(ancestors(F.col(path))))
+    best = above.join(public.select("folder").distinct(), "folder", "left_semi").groupBy(path).agg(F.max_by("folder", F.length("folder")).alias("via"))
+    return files.join(best, path, "left").select(*files.columns, "via")

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import match_queries
+from trackloom.plans import match_queries, telemetry_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(match_queries.QUERIES)
+    return match_queries.QUERIES | telemetry_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(match_queries.SQL)
+    return match_queries.SQL | telemetry_queries.SQL

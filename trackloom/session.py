@@ -28,6 +28,13 @@ def build_session(app: str = "trackloom", cores: int | None = None, **conf: str)
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the session names (spark.checkpoint.dir); only where it
+    names none, as in local tests, to a folder of this machine."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once an application, so that functions in
     tasks can be loaded whether or not the workers' path names the repository."""
