@@ -138,10 +138,9 @@ OBSERVERS = [(0.0, 0.0, 0.0), (500_000.0, 0.0, 0.0), (0.0, 500_000.0, 0.0)]
 
 
 def synthetic_ranges(e):
-    """Readings of ships that circle inside the cube, from events' times: ranges in whole kilometres."""
+    """Readings of ships that fly straight through the cube, from events' times: ranges in whole kilometres."""
     t = (F.col("us") % DAY) / 1_000_000.0 / 60
-    turn = t / 120 + F.col("user_id")
-    place = geometry.vec(250_000 + 9_000 * F.cos(turn), 250_000 + 9_000 * F.sin(turn), F.lit(120_000.0) + 2 * t)
+    place = geometry.vec(150_000 + 40 * t + F.col("user_id"), 250_000 + 20 * t, F.lit(120_000.0) + 30 * t)
     far = [F.round(geometry.norm(geometry.sub(place, geometry.vec(*o))) / 1000) * 1000 for o in OBSERVERS]
     named = [F.when((F.col("event_id") % 17 != 0) | (i != 2), d).alias(n) for i, (d, n) in enumerate(zip(far, ("d_a", "d_b", "d_c")))]
     return e.select(F.floor(F.col("us") / DAY).cast("string").alias("match"), F.col("user_id").cast("string").alias("pilot"), t.alias("t"), *named, F.lit(None).cast("double").alias("speed"))
