@@ -204,6 +204,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i * 3: (len(sets[i]), root(i) * 3) for i in range(len(texts))}
 
 
+def test_near_duplicates_beside_a_large_group(spark):
+    """Two texts share a passage with a chain of near copies, and all their links' buckets with its members."""
+    ids = [r.id for r in spark.range(1000).orderBy(F.xxhash64("id")).collect()]  # the pair is no bucket's hub
+    passage = [f"p{i}" for i in range(400)]
+    texts = {ids[i]: passage + [f"q{j}" for j in range(30 * i, 30 * i + 60)] for i in range(60)}
+    texts |= {i: passage + [f"{i}r{j}" for j in range(45)] for i in ids[-2:]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df, k=1).collect()}
+    linked = lambda a, b: 100 * len(set(texts[a]) & set(texts[b])) >= 80 * len(set(texts[a]) | set(texts[b]))
+    want = {i: i for i in texts}
+    for _ in texts:
+        want = {i: min(want[j] for j in texts if linked(i, j)) for i in texts}
+    assert len(set(want.values())) == 2 and got == want
+
+
 def test_sentencepiece_parity(docs):
     import sentencepiece
 

@@ -302,12 +302,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     links = stored(_verified(stored(_survivors(star, sigs, percent / 100, miss), "dedup-pairs"), texts, k, percent), "dedup-verified")
     labels = components(links)
 
-    def open_members(labels: DataFrame, of: DataFrame) -> DataFrame:
+    def open_members(labels: DataFrame, of: DataFrame, least: int) -> DataFrame:
         now = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        some = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi and c > 2").select("bucket")
+        some = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter(f"lo <> hi and c >= {least}").select("bucket")
         return stored(now.join(some, "bucket"), "dedup-open")
 
-    now = open_members(labels, members)
+    # the star has compared both members of a whole bucket of two
+    now = open_members(labels, members, 3)
     if now.limit(1).count():
         # classes against large components, all members of these at once
         asked = _asked(now, texts, k, percent)
@@ -316,7 +317,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
             labels = components(links)
         # what is left are pairs between components that are small as yet
         sizes = now.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LARGE)
-        now = open_members(labels, now.join(sizes.select("comp"), "comp", "left_anti").drop("comp"))
+        # two that are left of a bucket may have met the large components' members only
+        now = open_members(labels, now.join(sizes.select("comp"), "comp", "left_anti").drop("comp"), 2)
         facing = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("other"))
         pairs = now.join(facing, "bucket").filter((F.col("u") > F.col("v")) & (F.col("comp") != F.col("other")) & fits).select(F.col("rep").alias("a"), "b").distinct()
         found = stored(_verified(stored(_survivors(pairs, sigs, percent / 100, miss), "dedup-pairs"), texts, k, percent), "dedup-verified")
