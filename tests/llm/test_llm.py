@@ -219,6 +219,15 @@ def test_near_duplicates_beside_a_large_group(spark):
     assert len(set(want.values())) == 2 and got == want
 
 
+def test_bands_miss_as_few_as_stated():
+    """Values of a signature are equal with the probability 0.8, and the bands share them."""
+    r, missed, n = np.random.default_rng(1), 0, 600_000
+    for _ in range(n // 20_000):
+        equal = r.random((20_000, near_dedup.HASHES), np.float32) < 0.8
+        missed += (~equal[:, near_dedup._ORDER].reshape(20_000, near_dedup.BANDS, near_dedup.ROWS).all(2).any(1)).sum()
+    assert missed / n < 2e-5
+
+
 def test_sentencepiece_parity(docs):
     import sentencepiece
 
