@@ -170,6 +170,16 @@ def test_pseudonyms():
     assert pii.replace("30.02.2024 300.1.1.1", k)[1] == []
 
 
+def test_accounts_before_other_tokens():
+    k = pii.derived_key("k")
+    for account in ("BE68 5390 0754 7034", "ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32"):
+        own = pii.replace(account, k)[0]
+        for tail, kinds in ((" EUR", ["iban"]), (" PAID 12 X", ["iban"]), (" 2024-01-05", ["iban", "date"]), (" ABCD 4111 1111 1111 1111", ["iban", "card"])):
+            new, found = pii.replace(account + tail, k)
+            assert own != account and new.startswith(own) and [f[0] for f in found] == kinds and found[0][2] == len(account)
+    assert [f[:3] for f in pii.replace("XX00 BE68 5390 0754 7034 EUR", k)[1]] == [("iban", 5, 24)]
+
+
 def test_pseudonymise_keeps_rows(docs):
     got = pii.pseudonymise(docs, "k")
     assert got.columns == [*docs.columns, "pii"] and got.count() == docs.count() and got.filter("text IS NULL").count() == 1

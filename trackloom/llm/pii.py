@@ -172,13 +172,20 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each, in code points of the
     original."""
     out, found, at = [], [], 0
-    for m in _PATTERN.finditer(text):
+    m = _PATTERN.search(text)
+    while m:
         kind = next(k for k in KINDS if m[k] is not None)
         new = _pseudonym(kind, m, key)
         if new is not None:
             out += text[at : m.start()], new
             found.append((kind, m.start(), m.end(), new))
             at = m.end()
+            m = _PATTERN.search(text, at)
+            continue
+        # an account may end before the match's last tokens; else others may begin within the match
+        end = text.rfind(" ", m.start(), m.end()) if kind == "iban" else -1
+        shorter = _PATTERN.match(text, m.start(), end) if end > 0 else None
+        m = shorter or _PATTERN.search(text, m.start() + 1)
     return "".join([*out, text[at:]]), found
 
 
