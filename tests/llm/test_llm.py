@@ -147,6 +147,20 @@ def test_toxicity_held_out(spark):
     assert toxicity.read_clause(["target", None, "insult"]) == "targeted" and toxicity.read_clause(["report", "negation", "insult"]) == "reported" and toxicity.read_clause(["negation"]) is None
 
 
+def test_toxicity_of_threats_alone(spark):
+    """Threat words are as frequent in clean texts, so they are not in the lexicon; their context tells."""
+    texts = ["I will kill you today.", "He said I will kill you today.", "I will never kill you today.", "I will meet you today.", "He said I will never meet you.", "Today you will meet."]
+    rows = [(i, texts[i % 6] + " Rooms.", int(i % 6 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert not model["weights"]
+    asked = ["They will hurt you.", "He said they hurt you.", "They never hurt you.", "You will meet."]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    assert [r.predicted for r in got] == [1, 0, 0, 0]
+    assert [[c.context for c in r.clauses] for r in got] == [["threat_targeted"], ["threat_reported"], ["threat_negated"], []]
+    assert toxicity.read_words(["threat", "negation", "insult", "target"]) == [("insult", "negated"), ("threat", "targeted")]
+
+
 def test_merkle_neighbours_and_edits(docs):
     got = merkle.fingerprints(docs).collect()
     assert len(got) == docs.count()

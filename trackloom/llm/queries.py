@@ -44,7 +44,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = toxicity.score(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (~language_id.in_training()).alias("held_out"), "score", "predicted", F.size("clauses").cast("long").alias("n_clauses"))
+    return found.select("doc_id", (~language_id.in_training()).alias("held_out"), "score", "predicted", F.size(F.array_distinct("clauses.start")).cast("long").alias("n_clauses"))
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words map to classes: insult (a lexicon of words and word beginnings, learned with weights), threat,
-target (who is addressed), negation and reported speech. For each clause with an insult or a threat,
-an automaton composed of those classes reads the words in order and ends in a state that says
-whether the match is plain, targeted, negated or reported; the arcs' weights are learned log-odds.
+Words map to classes: insult (a lexicon of words and word beginnings, learned with weights), threat
+(a fixed list; words of the lexicon are insults), target (who is addressed), negation and reported
+speech. A transducer marks insults and threats with the negation or report that they stand under;
+it is composed with one automaton for insults and one for threats, and the composition reads a
+clause's words in order and ends in a state that says whether its insult, and its threat, is plain,
+targeted, negated or reported. The weights of words and of all contexts are learned log-odds.
 A text's score is the logistic of its strongest clause, so isolated words count only through the
 clause that they stand in.
 """
@@ -36,35 +38,78 @@ THREATS = frozenset("kill hurt destroy murder stab shoot beat burn töten umbrin
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CLAUSE = re.compile(r"[.!?;:\n]+(?=\s|$)|\n|\s[-–—|]\s")
+KINDS = ("insult", "threat")
 CONTEXTS = ("plain", "targeted", "negated", "reported")
+#: A threat's contexts, the one that counts for a text with several first.
+THREAT_CONTEXTS = ("threat_targeted", "threat_plain", "threat_reported", "threat_negated")
+#: State of the composition: the scope's, and those of the automata of KINDS.
+START = ("plain", "none", "none")
+#: Lexicon's mark of a threat.
+THREAT = -1.0
+
+
+def scope() -> dict:
+    """Transducer over word classes: negation and reported speech hold from their word on, and a
+    report outweighs a negation. It passes the classes on, an insult or a threat with the context
+    that holds."""
+    out = {}
+    for state in ("plain", "negated", "reported"):
+        out[state, "target"] = state, "target"
+        out[state, "negation"] = "reported" if state == "reported" else "negated", None
+        out[state, "report"] = "reported", None
+        for kind in KINDS:
+            out[state, kind] = state, (kind, state)
+    return out
 
 
-def transitions() -> dict[tuple[str, str], str]:
-    """The automaton over (state, class of the next word): negation and reported speech hold from
-    their word to the match, and a report outweighs a negation; a target may come before or after."""
+def match(kind: str) -> dict:
+    """Automaton over what scope() passes on: the context of the first word of ``kind``, and
+    targeted for plain with a target before or after it. Its states before a match are none and
+    addressed."""
     out = {}
-    for before in ("start", "target", "negation", "report"):
-        out[before, "target"] = "target" if before == "start" else before
-        out[before, "negation"] = "report" if before == "report" else "negation"
-        out[before, "report"] = "report"
-        out[before, "insult"] = {"start": "plain", "target": "targeted", "negation": "negated", "report": "reported"}[before]
-    for state in CONTEXTS:
-        out[state, "insult"] = state
-        out[state, "target"] = "targeted" if state == "plain" else state
-        out[state, "negation"] = out[state, "report"] = state
+    for state in ("none", "addressed", *CONTEXTS):
+        out[state, "target"] = {"none": "addressed", "plain": "targeted"}.get(state, state)
+        for other in KINDS:
+            for context in ("plain", "negated", "reported"):
+                first = other == kind and state in ("none", "addressed")
+                out[state, (other, context)] = ("targeted" if (state, context) == ("addressed", "plain") else context) if first else state
+    return out
+
+
+def composed() -> dict:
+    """scope() followed by one match() for each of KINDS side by side, over the states reached from
+    the start."""
+    first, then, out, ahead = scope(), [match(k) for k in KINDS], {}, [START]
+    while ahead:
+        state = ahead.pop()
+        for kind in ("target", "negation", "report", *KINDS):
+            after, symbol = first[state[0], kind]
+            new = (after, *(m[s, symbol] if symbol else s for m, s in zip(then, state[1:])))
+            if new not in {START, *(x for x in out.values())}:
+                ahead.append(new)
+            out[state, kind] = new
     return out
 
 
-_ARCS = transitions()
+_ARCS = composed()
 
 
-def read_clause(kinds: list[str | None]) -> str | None:
-    """The accepting state that the automaton ends in (one of CONTEXTS), or None."""
-    state = "start"
+def read_words(kinds: list[str | None]) -> list[tuple[str, str]]:
+    """(kind, context) of the clause's insult and threat, those that it has."""
+    state = START
     for kind in kinds:
         if kind is not None:
             state = _ARCS[state, kind]
-    return state if state in CONTEXTS else None
+    return [(k, s) for k, s in zip(KINDS, state[1:]) if s in CONTEXTS]
+
+
+def read_clause(kinds: list[str | None]) -> str | None:
+    """The context that the clause is accepted with: of CONTEXTS for its insult, else of THREAT_CONTEXTS, or None."""
+    return next((label(*x) for x in read_words(kinds)), None)
+
+
+def label(kind: str, context: str) -> str:
+    return context if kind == "insult" else f"{kind}_{context}"
 
 
 def features(word: str):
@@ -75,7 +120,8 @@ def features(word: str):
 
 
 class Lexicon(dict):
-    """Weights of words; the strongest of the word and its beginnings, 0 for none."""
+    """Weights of words; the strongest of the word and its beginnings, or else THREAT for words of
+    THREATS, 0 for none."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
@@ -87,13 +133,14 @@ class Lexicon(dict):
         low = word.lower()
         out = self[word] = max((self.weights.get(f, 0.0) for f in features(low)), default=0.0)
         if not out and low in THREATS:
-            out = self[word] = self.weights.get(low, 0.0)
+            out = self[word] = THREAT
         return out
 
 
 def matched(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, float]]:
-    """Clauses with an insult or a threat: start, end, context and the strongest word's weight."""
-    hits = [m for m in _WORD.finditer(text) if lexicon[m[0]] > 0]
+    """Clauses with an insult or a threat: start, end, context and the strongest word's weight (0 for
+    a threat). A clause with both is there twice."""
+    hits = [m for m in _WORD.finditer(text) if lexicon[m[0]]]
     if not hits:
         return []
     out, at = [], 0
@@ -104,23 +151,24 @@ def matched(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, float]]:
             kinds = []
             for w in _WORD.finditer(text, at, end):
                 low = w[0].lower()
-                kinds.append("insult" if lexicon[w[0]] > 0 else "report" if low in REPORTS else "negation" if low in NEGATIONS else "target" if low in TARGETS else None)
-            context = read_clause(kinds)
-            if context:
-                out.append((at, end, context, max(lexicon[h[0]] for h in own)))
+                weight = lexicon[w[0]]
+                kinds.append("insult" if weight > 0 else "threat" if weight else "report" if low in REPORTS else "negation" if low in NEGATIONS else "target" if low in TARGETS else None)
+            for kind, context in read_words(kinds):
+                out.append((at, end, label(kind, context), max(lexicon[h[0]] for h in own) if kind == "insult" else 0.0))
         at = m.end() if m else end
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Lexicon weights, context weights and the bias, from the texts of labelled rows outside the
+    """Lexicon weights, context weights of insults and of threats, and the bias, from the texts of labelled rows outside the
     held-out part. Word rows are counted in a Spark aggregation; the lexicon (bounded) comes to the
     driver, and the contexts' counts are made in tasks."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & in_training(key)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     sizes = {int(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         p = 0.5 if not sizes else (0.02 if 0 in sizes else 0.98)
-        return {"weights": {}, "contexts": dict.fromkeys(CONTEXTS, 0.0), "bias": math.log(p / (1 - p))}
+        bias = math.log(p / (1 - p))
+        return {"weights": {}, "contexts": dict.fromkeys(CONTEXTS, 0.0), "threats": dict.fromkeys(THREAT_CONTEXTS, bias), "bias": bias}
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0]))
     chosen = known.filter(draw < share)  # about 2 x sample_rows rows of two numbers at most
@@ -153,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for t, toxic in zip(b["__text"], b["toxic"]):
                 found = matched(t, lexicon)
                 if found:
-                    *_, context, weight = max(found, key=lambda c: (c[3], c[2]))
+                    # an insult comes before threats, so that these are learned from texts without one
+                    *_, context, weight = max(found, key=lambda c: (c[3], -THREAT_CONTEXTS.index(c[2]) if c[2] in THREAT_CONTEXTS else 0, c[2]))
                     for name, v in zip(out, (context, round(weight), int(toxic))):
                         out[name].append(v)
                 else:
@@ -179,7 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share1 = (whole[0] + prior) / (sum(whole) + 1)
     shift = {c: logit(*by.get((c, None), [0.0, 0.0]), share1) - math.log(share1 / (1 - share1)) for c in CONTEXTS}
     none = by.get(("", None), [0.0, 0.0])
-    return {"weights": weights, "contexts": shift, "by_weight": table, "bias": logit(*none, prior)}
+    alone = [by.get((c, None), [0.0, 0.0]) for c in THREAT_CONTEXTS]
+    odds_of = logit(sum(x[0] for x in alone), sum(x[1] for x in alone), prior)
+    threats = {c: logit(*x, 1 / (1 + math.exp(-odds_of))) for c, x in zip(THREAT_CONTEXTS, alone)}
+    return {"weights": weights, "contexts": shift, "threats": threats, "by_weight": table, "bias": logit(*none, prior)}
 
 
 def sizes_of(sample: DataFrame) -> dict[int, int]:
@@ -190,6 +242,9 @@ def score_of(text: str, model: dict, lexicon: Lexicon) -> tuple[float, list[tupl
     found = matched(text, lexicon)
     logit = model["bias"]
     for _, _, context, weight in found:
+        if context in model["threats"]:
+            logit = max(logit, model["threats"][context])
+            continue
         base = model["by_weight"].get(str(round(weight)), weight + model["bias"])
         logit = max(logit, base + model["contexts"][context])
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), found
