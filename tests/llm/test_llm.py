@@ -138,6 +138,16 @@ def test_language(spark):
     assert [s.lang for s in got[5].lang_spans] == ["en", "de"] and 0.5 < got[5].score < 0.7
 
 
+def test_language_stage_rejects_unknown_languages(spark):
+    r = np.random.default_rng(4)
+    words = {"en": "the with and that ing ous from only have".split(), "de": "der und nicht schaft keit ung auf einer".split()}
+    rows = [(i, " ".join(r.choice(words[la], int(r.integers(2, 60))).tolist()), la) for i in range(400) for la in [("en", "de")[i % 2]]]
+    junk = ["xqzv jkwp zzxq vvkj qpxw " * 8, "это русский текст без других слов " * 5, "这是中文的文件没有其他语言" * 5, "12 !", None]
+    df = spark.createDataFrame([*rows, *((1000 + i, t, None) for i, t in enumerate(junk))], "doc_id bigint, text string, lang string")
+    kept = {x.doc_id for x in corpus_pipeline.identify_language(spark, df, "").collect()}
+    assert kept == set(range(400))
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -20,6 +20,9 @@ BUCKETS = 1 << 16
 SAMPLE_ROWS = 3000
 #: Cost of a change of language between two words, as a log-likelihood.
 SWITCH = 6.0
+#: Letters from which on a text's mean log-likelihood is taken to vary no less; times the 99th
+#: percentile of held-out rows' shortfall beyond which a text is in no known language.
+STEADY, SHORTFALL = 200, 3.0
 #: Bytes of text whose scores are computed at once.
 BLOCK = 2 << 20
 
@@ -141,7 +144,7 @@ class Labeller:
         self.langs, self.scores, self.switch = model["langs"], model["scores"], switch
         self.scripts = model["scripts"]
 
-    def _word_scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _word_scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         codes = _codes(text)
         starts, ends, bits, h = _words(codes)
         k = len(self.langs)
@@ -158,15 +161,24 @@ class Labeller:
         # languages that use a script of the word; all of them where none does
         allowed = (bits[:, None] & self.scripts) > 0
         out[~allowed & allowed.any(1)[:, None]] -= 50.0
-        return out, starts, ends
+        return out, starts, ends, allowed.any(1)
 
     def __call__(self, texts: list[str]) -> list[tuple[list[int], list[int], np.ndarray]]:
         """For each text: starts, ends and languages (indices) of its words."""
+        return [x[:3] for x in self.judged(texts)]
+
+    def judged(self, texts: list[str]) -> list[tuple]:
+        """For each text: starts, ends and languages of its words, the sum of its trigrams'
+        log-likelihoods under these, and the share of letters in words of a learned script."""
         found = [self._word_scores(t) for t in texts]
         lengths = np.array([len(f[1]) for f in found], np.int64)
         flat = np.concatenate([f[0] for f in found]) if found else np.zeros((0, len(self.langs)), np.float32)
         labels = viterbi(flat, lengths, self.switch) if len(flat) else np.zeros(0, np.int8)
-        return [(f[1], f[2], part) for f, part in zip(found, np.split(labels, np.cumsum(lengths)[:-1]))]
+        out = []
+        for f, part in zip(found, np.split(labels, np.cumsum(lengths)[:-1])):
+            size = f[2] - f[1]
+            out.append((f[1], f[2], part, float(f[0][np.arange(len(part)), part].sum()), float(size[f[3]].sum() / max(1, size.sum()))))
+        return out
 
 
 def spans(starts, ends, labels) -> list[tuple[int, int, int]]:
@@ -179,15 +191,17 @@ def spans(starts, ends, labels) -> list[tuple[int, int, int]]:
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", switch: float = SWITCH) -> DataFrame:
-    """``docs`` with lang_pred, score (share of letters whose word has that language) and
-    lang_spans (array of start, end, lang in code points).
+    """``docs`` with lang_pred, score (share of letters whose word has that language), lang_spans
+    (array of start, end, lang in code points), lang_letters (letters of listed scripts), lang_fit
+    (mean log-likelihood of their trigrams) and lang_known (share of them in words of a script that
+    a learned language uses).
 
     Null texts and texts without a letter are ``und`` with score 0 and no spans; so is everything
     under a model without languages. Ties go to the language first in order. Columns of these names
     are replaced, all others stay. Equal texts have equal results; rows are independent, there is no
     shuffle. A text in a script that no language uses is scored by its trigrams alone.
     """
-    rows = docs.drop("lang_pred", "score", "lang_spans")
+    rows = docs.drop("lang_pred", "score", "lang_spans", "lang_letters", "lang_fit", "lang_known")
     rows = rows.withColumn("__letters", F.coalesce(F.rlike(F.col(text), F.lit(r"\p{L}")), F.lit(False)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__letters")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -200,6 +214,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", switch: float = S
             letters, texts = b.pop("__letters"), b[text]
             n = len(texts)
             pred, score, parts = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
+            letter_counts, fits, known = [0] * n, [0.0] * n, [0.0] * n
             at = [i for i in range(n) if letters[i] and langs]
             i = 0
             while i < len(at):  # as many texts at once as make a block
@@ -207,8 +222,10 @@ def identify(docs: DataFrame, model: dict, text: str = "text", switch: float = S
                 while j < len(at) and (j == i or size + len(texts[at[j]]) <= BLOCK):
                     size += len(texts[at[j]])
                     j += 1
-                for row, (starts, ends, labels) in zip(at[i:j], label([texts[x] for x in at[i:j]])):
+                for row, (starts, ends, labels, total, share) in zip(at[i:j], label.judged([texts[x] for x in at[i:j]])):
                     if len(labels):
+                        letter_counts[row] = int((ends - starts).sum())
+                        fits[row], known[row] = total / letter_counts[row], share
                         letters_of = np.bincount(labels, ends - starts, minlength=len(langs))
                         best = int(letters_of.argmax())
                         pred[row], score[row] = langs[best], float(letters_of[best] / letters_of.sum())
@@ -216,8 +233,48 @@ def identify(docs: DataFrame, model: dict, text: str = "text", switch: float = S
                     else:  # letters of no listed script
                         pred[row], score[row] = langs[0], 1.0 / len(langs)
                 i = j
-            return b | {"lang_pred": pred, "score": score, "lang_spans": parts}
+            return b | {"lang_pred": pred, "score": score, "lang_spans": parts, "lang_letters": letter_counts, "lang_fit": fits, "lang_known": known}
 
         return work
 
-    return map_batches(rows, make, f"{schema}, lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>")
+    return map_batches(rows, make, f"{schema}, lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>, lang_letters int, lang_fit double, lang_known double")
+
+
+def usual_fit(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+    """For each language found in held-out labelled rows: the mean log-likelihood of a letter's
+    trigram, and the largest shortfall of a text, which is the loosest of all languages'. Of more than ``sample_rows`` rows
+    of a label about as many are taken, by a hash of the key."""
+    held = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~in_training(key))
+    sizes = {r[0]: r[1] for r in held.groupBy(lang).count().collect()}
+    if not sizes or not model["langs"]:
+        return {}
+    share = F.create_map(*(F.lit(v) for la in sizes for v in (la, min(1.0, sample_rows / sizes[la]))))
+    draw = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+    # no column of the texts: three numbers a row of the bounded sample
+    rows = identify(held.filter(draw < share[F.col(lang)]).select(F.col(text).alias("text")), model).filter("lang_letters > 0").select("lang_pred", "lang_letters", "lang_fit").persist()
+    means = {r[0]: float(r[1]) for r in rows.groupBy("lang_pred").agg(F.sum(F.col("lang_fit") * F.col("lang_letters")) / F.sum("lang_letters")).collect()}
+    out = {}
+    if means:
+        mean = F.create_map(*(F.lit(v) for x in means.items() for v in x))[F.col("lang_pred")]
+        for r in rows.groupBy("lang_pred").agg(F.percentile_approx(shortfall(mean), 0.99, 10_000)).collect():
+            out[r[0]] = means[r[0]], SHORTFALL * max(1.0, float(r[1]))
+    rows.unpersist()
+    loosest = max((x for _, x in out.values()), default=0.0)  # a language with few rows shows little of its range
+    return {la: (m, loosest) for la, (m, _) in out.items()}
+
+
+def shortfall(mean: Column) -> Column:
+    """How far a text's mean log-likelihood lies under ``mean``, in units that its length allows."""
+    return (mean - F.col("lang_fit")) * F.sqrt(F.least(F.col("lang_letters"), F.lit(STEADY)))
+
+
+def in_known_language(usual: dict[str, tuple[float, float]]) -> Column:
+    """Of rows of identify(): at least half the letters are in scripts of learned languages, and the
+    trigrams are as likely as in held-out rows of the language. A language without held-out rows is
+    held against the loosest of the others; without any, the scripts alone decide."""
+    known = (F.col("lang_pred") != "und") & (F.col("lang_known") >= 0.5)
+    if not usual:
+        return known
+    loosest = min(m for m, _ in usual.values()), max(s for _, s in usual.values())
+    of = lambda i: F.coalesce(F.create_map(*(F.lit(v) for la, x in usual.items() for v in (la, x[i])))[F.col("lang_pred")], F.lit(loosest[i]))
+    return known & (shortfall(of(0)) <= of(1))
