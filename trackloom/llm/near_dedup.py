@@ -7,11 +7,13 @@ pair's signatures are compared batch by batch, and the pair is dropped as soon a
 probability that its similarity reaches the threshold falls under the chosen miss probability.
 Survivors are verified on the full shingle sets of their texts.
 
-No bucket's members are paired all with all: each bucket is first joined to one member (a star), and
-the verified links are merged into components. A class that shares a bucket with a large component
-other than its own then asks all of that component's members, block by block, in one count of shared
-shingles. What is left are pairs between small components of one bucket, and these are compared one
-by one, so nothing is capped.
+No bucket's members are paired all with all. In each of a few turns, every bucket that holds more
+than one component names one member, its hub, and each class asks one hub only, so a turn makes no
+more pairs than there are classes; verified links merge components. Classes whose buckets are still
+open meet by their rarest shingles: two sets of the wanted similarity share one of the first
+n - ceil(similarity x n) + 1 shingles in any common order, so texts that share a frequent passage
+only drop out. What is left is compared in cells of bounded bytes, which emit links alone; nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from trackloom.session import ship_package
 BATCH, HASHES = 32, 192
 #: Values in a band; each permutation of the signature is cut into bands of them.
 ROWS, PERMUTATIONS = 8, 5
-#: Open members that make a component large, members of one in a block, and those that ask it at once.
-LARGE, BLOCK, ASKERS = 32, 256, 2000
+#: Turns in which each class asks one hub; turns end when fewer than one in YIELD asked pairs links.
+TURNS, YIELD = 4, 20
+#: Bytes of words in a block; a cell compares one block with itself or with another one.
+CELL_BYTES = 2 << 20
 #: Rows up to which a list of ids is broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -61,9 +65,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@functools.lru_cache(1)
-def _powers() -> np.ndarray:
-    out = np.empty(1 << 16, np.uint64)
+@functools.lru_cache(2)
+def _powers(size: int) -> np.ndarray:
+    """Factors of a word's first ``size`` places."""
+    out = np.empty(size, np.uint64)
     out[0] = 1
     with np.errstate(over="ignore"):
         np.multiply.accumulate(np.full(len(out) - 1, 0xD6E8FEB86659FD93, np.uint64), out=out[1:])
@@ -78,7 +83,8 @@ def shingle_hashes(joined: bytes, k: int) -> np.ndarray:
     starts = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])
     within = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
     with np.errstate(over="ignore"):
-        values = _BYTES[raw] * _powers()[within & 0xFFFF]
+        longest = int(within.max()) + 1
+        values = _BYTES[raw] * _powers(max(1 << 12, 1 << (longest - 1).bit_length()))[within]
         words = _mix(np.add.reduceat(values, starts))
         k = min(k, len(words))
         out = words[: len(words) - k + 1].copy()
@@ -122,9 +128,10 @@ def describe(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
         def work(b):
             n, ids, sigs = [], [], []
             for t in b["__text"]:
-                joined = b" ".join(words_of(t))
+                words = words_of(t)
+                joined = b" ".join(words)
                 h = shingle_hashes(joined, k)
-                n.append(len(h))
+                n.append(len(shingle_set(words, k)))
                 ids.append(xxhash.xxh3_128_digest(joined) if joined else None)
                 sigs.append(signature(h).tobytes() if joined else None)
             return {key: b[key], "n_shingles": n, "class_id": ids, "signature": sigs}
@@ -170,107 +177,188 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with both texts. Few ids are broadcast to pick their texts before the shuffle."""
-    ids = stored(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "dedup-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    few = texts.join(ids, "rep", "left_semi")
-    left = few.select(F.col("rep").alias("a"), F.col("words").alias("words_a"))
-    right = few.select(F.col("rep").alias("b"), F.col("words").alias("words_b"))
-    return pairs.join(left, "a").join(right, "b")
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, marked for broadcast if their number is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def _survivors(pairs: DataFrame, signatures: DataFrame, similarity: float, miss: float) -> DataFrame:
-    """Pairs (a, b) that the sequential comparison keeps."""
+    """Pairs (a, b, ca, cb) that the sequential comparison keeps."""
     least = least_matches(similarity, miss)
-    rows = pairs.join(signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a").join(signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
+    left, right = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
+    rows = pairs.join(left, "a").join(right, "b")
 
     def make():
         def work(b):
             x, y = (np.frombuffer(b"".join(b[s]), np.uint32).reshape(-1, HASHES) for s in ("sig_a", "sig_b"))
-            at, matches = np.arange(len(x)), np.zeros(len(x), int)
-            for i, m in enumerate(least):
-                part = slice(i * BATCH, (i + 1) * BATCH)
-                matches[at] += (x[at, part] == y[at, part]).sum(1)
-                at = at[matches[at] >= m]
-            return {"a": np.array(b["a"], np.int64)[at], "b": np.array(b["b"], np.int64)[at]}
+            at = _compared(x, y, least)
+            return {c: np.array(b[c], np.int64)[at] for c in ("a", "b", "ca", "cb")}
 
         return work
 
-    return map_batches(rows.select("a", "b", "sig_a", "sig_b"), make, "a bigint, b bigint")
+    return map_batches(rows.select("a", "b", "ca", "cb", "sig_a", "sig_b"), make, "a bigint, b bigint, ca bigint, cb bigint")
+
+
+def _compared(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Places of the pairs of signatures that no batch drops."""
+    at, matches = np.arange(len(x)), np.zeros(len(x), int)
+    for i, m in enumerate(least):
+        part = slice(i * BATCH, (i + 1) * BATCH)
+        matches[at] += (x[at, part] == y[at, part]).sum(1)
+        at = at[matches[at] >= m]
+    return at
+
+
+def linked(x: set, y: set, percent: int) -> bool:
+    common = len(x & y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 x intersection >= percent x union."""
+    ids = _few(stored(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "dedup-ids"))
+    few = texts.join(ids, "rep", "left_semi")
+    left, right = (few.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}")) for x in "ab")
 
     def make():
         last: list = [None, None]
 
         def work(b):
-            keep_a, keep_b = [], []
-            for i, j, x, y in zip(b["a"], b["b"], b["words_a"], b["words_b"]):
-                if last[0] != j:
-                    last[:] = j, shingle_set(y.encode().split(b" "), k)
-                s = shingle_set(x.encode().split(b" "), k)
-                common = len(s & last[1])
-                if 100 * common >= percent * (len(s) + len(last[1]) - common):
-                    keep_a.append(i)
-                    keep_b.append(j)
-            return {"a": keep_a, "b": keep_b}
+            out: dict[str, list] = {c: [] for c in ("a", "b", "ca", "cb")}
+            for i, (x, y) in enumerate(zip(b["words_a"], b["words_b"])):
+                if last[0] != b["b"][i]:
+                    last[:] = b["b"][i], shingle_set(y.encode().split(b" "), k)
+                if linked(shingle_set(x.encode().split(b" "), k), last[1], percent):
+                    for c in out:
+                        out[c].append(b[c][i])
+            return out
 
         return work
 
-    return map_batches(_with_texts(pairs, texts).select("a", "b", "words_a", "words_b"), make, "a bigint, b bigint")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "words_a", "words_b")
+    return map_batches(rows, make, "a bigint, b bigint, ca bigint, cb bigint")
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members (bucket, rep, n, comp) of the buckets that hold more than one component, stored."""
+    now = members.withColumn("comp", F.col("rep")) if labels is None else members.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+    if labels is None:
+        return now
+    several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    return stored(now.join(several, "bucket"), "dedup-open")
+
+
+def _asks(now: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One hub for each class that shares a bucket with one of another component: a, b and their
+    components ca, cb. Hubs are the members of least hash, another hash in each turn, so that most
+    of a group's members ask the same few."""
+    rows = now.withColumn("u", F.xxhash64("rep", F.lit(turn)))
+    hubs = rows.groupBy("bucket").agg(F.min(F.struct("u", "rep", "n", "comp")).alias("hub"))
+    n, m = F.col("n"), F.col("hub.n")
+    fits = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.col("comp") != F.col("hub.comp"))
+    best = rows.join(hubs, "bucket").filter(fits).groupBy("rep", "comp").agg(F.min("hub").alias("hub"))
+    return best.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("comp").alias("ca"), F.col("hub.comp").alias("cb"))
 
 
-def _block_links(members: pa.Table, askers: pa.Table, k: int, percent: int) -> pa.Table:
-    """For each asker one member that it is linked with, if any. Shared shingles of an asker with
-    all members are counted at once; the link is confirmed on the sets themselves."""
-    words = members["words"].to_pylist()
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """node, label after the links ``found`` between components."""
+    new = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if labels is None:
+        return new
+    rows = labels.withColumnRenamed("label", "old").join(new.select(F.col("node").alias("old"), "label"), "old", "left")
+    rows = rows.select("node", F.coalesce("label", "old").alias("label"))
+    # components of one class come in with their first link
+    return stored(rows.union(new.join(labels.select("node"), "node", "left_anti").select("node", "label")), "dedup-labels")
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def _rare_keys(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """h, rep, comp, bytes: the shingles among a class's rarest that it must share with any partner,
+    of those that several components hold. Rarity is counted over ``reps`` (rep, comp)."""
+
+    def make():
+        def work(b):
+            hashes = [shingle_hashes(w.encode(), k) for w in b["words"]]
+            return {"rep": b["rep"], "comp": b["comp"], "bytes": [len(w.encode()) for w in b["words"]], "hs": [h.view(np.int64) for h in hashes]}
+
+        return work
+
+    rows = texts.join(_few(reps), "rep").select("rep", "comp", "words")
+    sets = stored(map_batches(rows, make, "rep bigint, comp bigint, bytes bigint, hs array<bigint>"), "dedup-sets").withColumn("n", F.size("hs"))
+    tokens = sets.select("rep", F.explode("hs").alias("h"))
+    common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = tokens.join(common, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    # shingles that no other class has come first and need no key
+    ahead = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
+    keys = sets.drop("hs").join(ranked, "rep").withColumn("ahead", ahead).filter("ahead > 0")
+    keys = stored(keys.select("rep", "comp", "bytes", F.explode(F.slice("shared", F.lit(1), F.col("ahead"))).alias("x")).select(F.col("x.h").alias("h"), "rep", "comp", "bytes"), "dedup-keys")
+    several = keys.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("h", "first")
+    return keys.join(several, "h")
+
+
+def _cell_links(table: pa.Table, k: int, percent: int, least: np.ndarray) -> pa.Table:
+    """Links between components of one cell's rows (rep, comp, side, words, signature): from rarest
+    shingles by the cell's own counts to signatures to the sets themselves. Components that a link
+    joins are one from then on."""
+    sides = np.array(table["side"].to_pylist())
+    words, comps, reps = table["words"].to_pylist(), table["comp"].to_pylist(), table["rep"].to_pylist()
+    sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
     sets = [shingle_hashes(w.encode(), k) for w in words]
-    sizes = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    size = np.array([len(x) for x in sets])
+    keys = []
+    for own in np.split(places, np.cumsum(size)[:-1]):
+        own = own[np.lexsort((own, counts[own]))][: prefix_length(len(own), percent)]
+        keys.append(own[counts[own] > 1])
+    # rows of each key, in order
+    owner, flat = np.repeat(np.arange(len(keys)), [len(x) for x in keys]), np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    reps, a, b = members["rep"].to_pylist(), [], []
-    for rep, text in zip(askers["rep"].to_pylist(), askers["words"].to_pylist()):
-        own = shingle_hashes(text.encode(), k)
-        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-        n = high - low
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(sets))
-        for j in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common)):
-            x, y = shingle_set(text.encode().split(b" "), k), shingle_set(words[j].encode().split(b" "), k)
-            if 100 * len(x & y) >= percent * len(x | y):
-                a.append(rep)
-                b.append(reps[j])
-                break
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _asked(now: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between large components and the classes that share a bucket with one: such a class
-    asks all of the component's open members, which lie in blocks of about BLOCK, at once. Of two
-    large components the smaller one's members ask."""
-    own = now.select("rep", F.col("comp").alias("c")).distinct()
-    large = stored(own.groupBy("c").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LARGE), "dedup-large")
-    inside = now.select("bucket", F.col("comp").alias("c")).distinct().join(large, "c")
-    sized = now.join(large.select(F.col("c").alias("comp"), F.col("size").alias("own")), "comp", "left")
-    askers = sized.join(inside, "bucket").filter((F.col("comp") != F.col("c")) & F.coalesce(F.struct("own", "comp") < F.struct("size", "c"), F.col("own").isNull())).select("rep", "c", "size").distinct()
-    askers = stored(askers, "dedup-askers")
-    parts = askers.groupBy("c", "size").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("parts")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    deal = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    key = ["c", "block", "part"]
-    left = own.join(parts, "c").withColumn("block", deal("blocks", 1)).join(texts, "rep").withColumn("part", spread("parts")).select(*key, "rep", "words")
-    right = askers.drop("size").join(parts, "c").withColumn("part", deal("parts", 2)).join(texts, "rep").withColumn("block", spread("blocks")).select(*key, "rep", "words")
-
-    def links(members: pa.Table, asking: pa.Table) -> pa.Table:
-        return _block_links(members, asking, k, percent) if len(members) and len(asking) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-    ship_package(now.sparkSession)
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own
-    return stored(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(links, "a bigint, b bigint"), "dedup-asked")
+    owner, ends = owner[order], np.cumsum(np.bincount(flat, minlength=len(counts)))
+    cross = bool(sides.any() and not sides.all())
+    label = np.unique(comps, return_inverse=True)[1]
+    met = np.zeros(len(keys), bool)
+
+    @functools.lru_cache(4096)
+    def exact(i: int) -> set:
+        return shingle_set(words[i].encode().split(b" "), k)
+
+    out: dict[str, list] = {c: [] for c in ("a", "b", "ca", "cb")}
+    for i, own in enumerate(keys):
+        met[:] = False
+        for h in own.tolist():
+            met[owner[ends[h - 1] if h else 0 : ends[h]]] = True
+        js = np.flatnonzero(met[:i] & (label[:i] != label[i]))
+        js = js[(size[js] * 100 >= percent * size[i]) & (size[i] * 100 >= percent * size[js])]
+        js = js[sides[js] != sides[i]] if cross else js
+        for j in js[_compared(np.broadcast_to(sigs[i], (len(js), HASHES)), sigs[js], least)].tolist():
+            if label[i] != label[j] and linked(exact(i), exact(j), percent):
+                label[label == label[j]] = label[i]
+                for name, v in zip(out, (reps[i], reps[j], comps[i], comps[j])):
+                    out[name].append(v)
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+
+def _in_cells(keys: DataFrame, texts: DataFrame, signatures: DataFrame, k: int, percent: int, least: np.ndarray) -> DataFrame:
+    """Links among the classes of ``keys``. Classes that shared rare shingles connect form a cluster;
+    a cluster within CELL_BYTES lies in one cell with other small ones, a larger one is dealt into
+    blocks, and each two of its blocks meet in one cell."""
+    clusters = components(keys.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
+    own = stored(keys.select("rep", "comp", "bytes").distinct().join(clusters, "rep"), "dedup-clustered")
+    sizes = own.groupBy("cluster").agg(F.ceil(F.sum("bytes") / CELL_BYTES).alias("blocks"))
+    total = own.agg(F.sum("bytes")).first()[0] or 0
+    cells = max(1, -(-total // CELL_BYTES))
+    dealt = own.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    small = F.array(F.struct(F.lit(-1).cast("bigint").alias("cluster"), F.pmod(F.xxhash64("cluster"), F.lit(cells)).alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).alias("side")))
+    meet = lambda j: F.struct(F.col("cluster"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side"))
+    large = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), meet)
+    rows = dealt.withColumn("cell", F.explode(F.when(F.col("blocks") <= 1, small).otherwise(large))).select("rep", "comp", "cell.cluster", "cell.i", "cell.j", "cell.side")
+    ids = _few(own.select("rep"))
+    rows = rows.join(texts.join(ids, "rep", "left_semi"), "rep").join(signatures.join(ids, "rep", "left_semi"), "rep")
+    ship_package(keys.sparkSession)
+    return rows.groupBy("cluster", "i", "j").applyInArrow(lambda t: _cell_links(t, k, percent, least), "a bigint, b bigint, ca bigint, cb bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -286,49 +374,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     bounds a posterior; as a frequency at 0.8 the comparison drops 25 of 3 million (8e-6), at 0.82
     2 of 500,000. Keys must be integers.
     """
+    least = least_matches(percent / 100, miss)
     described = stored(describe(docs.withColumn(key, F.col(key).cast("long")), k, text, key), "dedup-docs")
     full = described.filter(F.col("class_id").isNotNull() & F.col(key).isNotNull())
     # exact copies meet here, after partial aggregation
     classes = stored(full.groupBy("class_id").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "dedup-classes")
     buckets = bands(classes)
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("bucket")
-    members = stored(buckets.join(shared, "bucket"), "dedup-members").withColumn("u", F.xxhash64("rep"))
-    involved = members.select("rep").distinct()
-    texts = _texts(docs, stored(involved, "dedup-involved"), text, key)
-    sigs = classes.select("rep", "signature")
-
-    # the star: each member against the bucket's member of least hash
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("u", "rep", "n")).alias("hub"))
-    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    star = members.join(hubs.select("bucket", F.col("hub.rep").alias("b"), F.col("hub.n").alias("m")), "bucket").filter((F.col("rep") != F.col("b")) & fits).select(F.col("rep").alias("a"), "b").distinct()
-    links = stored(_verified(stored(_survivors(star, sigs, percent / 100, miss), "dedup-pairs"), texts, k, percent), "dedup-verified")
-    labels = components(links)
-
-    def open_members(labels: DataFrame, of: DataFrame, least: int) -> DataFrame:
-        now = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
-        some = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter(f"lo <> hi and c >= {least}").select("bucket")
-        return stored(now.join(some, "bucket"), "dedup-open")
-
-    # the star has compared both members of a whole bucket of two
-    now = open_members(labels, members, 3)
-    if now.limit(1).count():
-        # classes against large components, all members of these at once
-        asked = _asked(now, texts, k, percent)
-        if asked.limit(1).count():
-            links = links.union(asked)
-            labels = components(links)
-        # what is left are pairs between components that are small as yet
-        sizes = now.select("rep", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LARGE)
-        # two that are left of a bucket may have met the large components' members only
-        now = open_members(labels, now.join(sizes.select("comp"), "comp", "left_anti").drop("comp"), 2)
-        facing = now.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("comp").alias("other"))
-        pairs = now.join(facing, "bucket").filter((F.col("u") > F.col("v")) & (F.col("comp") != F.col("other")) & fits).select(F.col("rep").alias("a"), "b").distinct()
-        found = stored(_verified(stored(_survivors(pairs, sigs, percent / 100, miss), "dedup-pairs"), texts, k, percent), "dedup-verified")
+    members = stored(buckets.join(shared, "bucket"), "dedup-members")
+    texts = _texts(docs, stored(members.select("rep").distinct(), "dedup-involved"), text, key)
+    signatures = classes.select("rep", "signature")
+
+    labels, now = None, _open(members, None)
+    for turn in range(TURNS):
+        asked = stored(_asks(now, turn, percent), "dedup-asked")
+        number = asked.count()
+        if not number:
+            break
+        found = stored(_verified(stored(_survivors(asked, signatures, percent / 100, miss), "dedup-pairs"), texts, k, percent), "dedup-verified")
+        links = found.count()
+        if links:
+            labels = _merged(labels, found)
+            now = _open(now, labels)
+        if links * YIELD < number:
+            break
+    reps = stored(now.select("rep", "comp").distinct(), "dedup-open")
+    if reps.limit(1).count():
+        found = stored(_in_cells(stored(_rare_keys(reps, texts, k, percent), "dedup-keys"), texts, signatures, k, percent, least), "dedup-verified")
         if found.limit(1).count():
-            labels = components(links.union(found))
+            labels = _merged(labels, found)
 
-    groups = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("class_id", F.coalesce("label", "rep").alias("__component"))
-    out = described.drop("signature").join(groups, "class_id", "left")
+    own = classes.select("class_id", "rep")
+    groups = own.withColumn("__component", F.col("rep")) if labels is None else own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("__component", F.coalesce("label", "rep"))
+    out = described.drop("signature").join(groups.select("class_id", "__component"), "class_id", "left")
     return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("__component", F.col(key))).alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
