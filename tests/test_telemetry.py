@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import naming
-from trackloom.operators import kalman
+from trackloom.operators import tracks
 from trackloom.sources import files
 from trackloom.streaming import counters
 
@@ -26,7 +26,7 @@ READING = "match string, pilot string, t double, d_a double, d_b double, d_c dou
 def test_moving_track_is_near_the_truth(spark):
     truth = [np.array([200_000 + 900.0 * t, 250_000 + 400.0 * t, 150_000 + 300.0 * t]) for t in range(80)]
     speed = float(np.linalg.norm([900, 400, 300]))
-    got = kalman.solve_tracks(spark.createDataFrame(readings(truth, speed, {20, 21, 79}), READING), OBSERVERS, 500_000.0).orderBy("t").collect()
+    got = tracks.solve_tracks(spark.createDataFrame(readings(truth, speed, {20, 21, 79}), READING), OBSERVERS, 500_000.0).orderBy("t").collect()
     assert [r.t for r in got] == list(range(79))  # a partial end is dropped
     off = [np.linalg.norm(np.array([r.x, r.y, r.z]) - truth[int(r.t)]) for r in got]
     assert max(off) < 1_500 and np.median([r.residual for r in got]) < 400
@@ -34,14 +34,14 @@ def test_moving_track_is_near_the_truth(spark):
 
 def test_parked_ship_stays_and_jump_restarts(spark):
     truth = [np.array([100_000.0, 120_000.0, 90_000.0])] * 20 + [np.array([200_000.0, 120_000.0, 90_000.0])] * 20
-    got = kalman.solve_tracks(spark.createDataFrame(readings(truth, 0.0), READING), OBSERVERS, 500_000.0).orderBy("t").collect()
+    got = tracks.solve_tracks(spark.createDataFrame(readings(truth, 0.0), READING), OBSERVERS, 500_000.0).orderBy("t").collect()
     x = np.array([[r.x, r.y, r.z] for r in got])
     assert len(x) == 40 and np.ptp(x[:20], 0).max() < 50 and np.ptp(x[20:], 0).max() < 50
     assert abs(x[25, 0] - 200_000) < 2_000 and abs(x[5, 0] - 100_000) < 2_000
 
 
 def test_no_readings(spark):
-    assert kalman.solve_tracks(spark.createDataFrame([], READING), OBSERVERS, 500_000.0).count() == 0
+    assert tracks.solve_tracks(spark.createDataFrame([], READING), OBSERVERS, 500_000.0).count() == 0
 
 
 def test_positions_by_name(spark, tmp_path):

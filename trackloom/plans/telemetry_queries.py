@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import naming
-from trackloom.operators import fuzzy, geometry, graph, hierarchy, kalman, scores
+from trackloom.operators import fuzzy, geometry, graph, hierarchy, scores, tracks
 from trackloom.plans.match_queries import DAY, EVENTS, HOUR, PATHS, POINTS, events, paths, points, rounded, table
 from trackloom.streaming import counters
 
@@ -148,4 +148,4 @@ def synthetic_ranges(e):
 
 @query()
 def kalman_tracks(spark, sf_dir):
-    return kalman.solve_tracks(synthetic_ranges(events(spark, sf_dir)), OBSERVERS, 500_000.0)
+    return tracks.solve_tracks(synthetic_ranges(events(spark, sf_dir)), OBSERVERS, 500_000.0)
