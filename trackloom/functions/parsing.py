@@ -53,16 +53,18 @@ LINES = (
 
 
 def parse_line(s: Column) -> Column:
-    """Struct (kind, amount, name) of a log line without markup; other if no pattern matches."""
+    """Struct (kind, amount, name) of a log line without markup; other if no pattern matches. The
+    kind is found first, and only its own pattern is taken apart."""
     kind = F.lit("other")
-    amount, name = F.lit(None).cast("double"), F.lit(None).cast("string")
     for k, p in reversed(LINES):
-        hit = F.rlike(s, F.lit(p))
-        got = F.regexp_extract(s, p, 1)
-        kind = F.when(hit, k).otherwise(kind)
-        amount = F.when(hit, F.when(got != "", got).cast("double")).otherwise(amount)
-        name = F.when(hit, F.trim(F.regexp_extract(s, p, 2))).otherwise(name)
-    return F.struct(kind.alias("kind"), amount.alias("amount"), name.alias("name"))
+        kind = F.when(F.rlike(s, F.lit(p)), k).otherwise(kind)
+
+    def taken(k: Column) -> Column:
+        own = F.coalesce(*[F.when(k == n, F.struct(F.regexp_extract(s, p, 1).alias("amount"), F.trim(F.regexp_extract(s, p, 2)).alias("name"))) for n, p in LINES])
+        return F.transform(F.array(own), lambda x: F.struct(k.alias("kind"), F.nullif(x["amount"], F.lit("")).try_cast("double").alias("amount"), x["name"].alias("name")))
+
+    # one element each, so that the kind and the parts are worked out once
+    return F.element_at(F.flatten(F.transform(F.array(kind), taken)), 1)
 
 
 def clock(seconds: Column) -> Column:

@@ -21,9 +21,10 @@ def multiset_union(df: DataFrame, source: str, keys: list[str]) -> DataFrame:
 
 
 def unambiguous(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs once: clashing readings are left out."""
-    once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
-    return df.join(once, keys, "left_semi")
+    """Rows whose key occurs once: clashing readings are left out. One aggregation, one scan."""
+    rest = [c for c in df.columns if c not in keys]
+    once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest)).alias("__row")).filter("__n = 1")
+    return once.select(*keys, "__row.*").select(*df.columns)
 
 
 def prefix_rollup(df: DataFrame, path: str, measures: dict[str, Column], separator: str = "/") -> DataFrame:

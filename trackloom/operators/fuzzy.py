@@ -41,19 +41,40 @@ def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, most: int =
     return pairs.withColumn("edits", F.levenshtein(F.col(a), F.col(b), most)).filter(F.col("edits") >= 0)
 
 
-def resolve(names: DataFrame, roster: DataFrame, name: str, known: str, least: float = 0.8) -> DataFrame:
+def _candidates(asked: DataFrame, roster: DataFrame, name: str, known: str) -> DataFrame:
+    """Pairs that may be equal, begin alike, or reach 0.8 by Dice's measure. For the last, at least
+    two thirds of a name's bigrams must be the entry's, so one of its rarest third and one more is:
+    frequent bigrams bring no pairs."""
+    a, b = F.lower(name), F.lower(known)
+    key = lambda kind, c: F.concat(F.lit(kind), c)
+    grams = roster.select(known, F.explode(F.array_distinct(bigrams(b))).alias("__g"))
+    frequent = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__f"))
+    own = asked.select(name, F.size(bigrams(a)).alias("__n"), F.explode(F.array_distinct(bigrams(a))).alias("__g")).join(frequent, "__g", "left")
+    rarest = own.groupBy(name, "__n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("__f", F.lit(0)).alias("f"), F.col("__g").alias("g")))).alias("__r"))
+    rare = rarest.select(name, F.explode(F.slice("__r", F.lit(1), F.floor(F.col("__n") / 3).cast("int") + 1)).alias("__x"))
+    left = rare.select(name, key("g", F.col("__x.g")).alias("__t"))
+    for kind, c in (("=", a), ("^", F.when(F.length(name) >= 3, F.substring(a, 1, 3)))):
+        left = left.union(asked.select(name, key(kind, c).alias("__t")))
+    right = grams.select(known, key("g", F.col("__g")).alias("__t"))
+    for kind, c in (("=", b), ("^", F.substring(b, 1, 3))):
+        right = right.union(roster.select(known, key(kind, c).alias("__t")))
+    return left.join(right, "__t").select(name, known).distinct()
+
+
+def resolve(names: DataFrame, roster: DataFrame, name: str, known: str) -> DataFrame:
     """Each distinct name's roster entry: equal but for case, else the only one that it begins (3
-    characters at least), else the best by Dice's measure from ``least`` on, the greatest of equals;
-    null if none. Candidates share a bigram or are equal, so no name meets the whole roster."""
-    tokens = lambda c: F.explode(F.array_distinct(F.concat(bigrams(F.lower(c)), F.array(F.lower(c)))))
-    asked = names.select(name).distinct()
-    pairs = asked.withColumn("__t", tokens(F.col(name))).join(roster.select(known).distinct().withColumn("__t", tokens(F.col(known))), "__t").select(name, known).distinct()
+    characters at least), else the best by Dice's measure from 0.8 on, the greatest of equals; null
+    if none. No name meets the whole roster."""
+    asked, entries = names.select(name).distinct(), roster.select(known).distinct()
+    pairs = _candidates(asked, entries, name, known)
     a, b = F.lower(name), F.lower(known)
     scored = pairs.withColumn("__same", a == b).withColumn("__begins", (F.length(name) >= 3) & F.startswith(b, a)).withColumn("__dice", dice(F.col(name), F.col(known)))
     best = scored.groupBy(name).agg(
-        F.max(F.when(F.col("__same"), F.col(known))).alias("exact"), F.sum(F.col("__begins").cast("int")).alias("n_begins"), F.max(F.when(F.col("__begins"), F.col(known))).alias("begins"),
-        F.max(F.when(F.col("__dice") >= least, F.struct("__dice", known))).alias("near"),
-    )
+        F.max(F.when(F.col("__same"), F.col(known))).alias("exact"),
+        F.sum(F.col("__begins").cast("int")).alias("n_begins"),
+        F.max(F.when(F.col("__begins"), F.col(known))).alias("begins"),
+        F.max(F.when(F.col("__dice") >= 0.8, F.struct("__dice", known))).alias("near"),
+    )
     found = best.select(name, F.coalesce("exact", F.when(F.col("n_begins") == 1, F.col("begins")), F.col(f"near.{known}")).alias("resolved"))
     return asked.join(found, name, "left")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators import windows
+
 
 def hold(points: DataFrame, us: str, length: int) -> DataFrame:
     """Each point as a span [t, t + length)."""
@@ -13,10 +15,11 @@ def hold(points: DataFrame, us: str, length: int) -> DataFrame:
 
 def fold(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Overlapping and touching spans of a key as one, with their number."""
-    w = Window.partitionBy(*keys).orderBy("t0", "t1")
-    reach = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("t0") > reach), 1).otherwise(0)
-    return spans.withColumn("__new", new).withColumn("__group", F.sum("__new").over(w)).groupBy(*keys, "__group").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count(F.lit(1)).alias("n_points")).drop("__group")
+    rows = windows.carried(spans, keys, "t0", [F.col("t1")], {"__reach": ("max", F.col("t1"))}, exclusive=True)
+    new = F.when(F.col("__reach").isNull() | (F.col("t0") > F.col("__reach")), 1).otherwise(0)
+    # only a span's first row begins a group, so each group has the number of those so far
+    numbered = windows.carried(rows, keys, "t0", [F.col("t1"), F.coalesce("__reach", F.lit(-(1 << 62)))], {"__group": ("sum", new)})
+    return numbered.groupBy(*keys, "__group").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.count(F.lit(1)).alias("n_points")).drop("__group")
 
 
 def clip(spans: DataFrame, low: int, high: int) -> DataFrame:
@@ -45,8 +48,8 @@ def overlaps(spans: DataFrame, key: str, id_: str, bucket: int, slack: int = 0)
 
 
 def runs(df: DataFrame, key: str, order: list[str], holds: str) -> DataFrame:
-    """Maximal runs of successive rows for which ``holds`` is true: key, first, last, length."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("__i", F.row_number().over(w)).withColumn("__j", F.when(F.expr(holds), 0).otherwise(1))
-    rows = rows.withColumn("__g", F.sum("__j").over(w)).filter("__j = 0")
+    """Maximal runs of successive rows for which ``holds`` is true: key, first, last, length. The
+    first of ``order`` is the time."""
+    rows = df.withColumn("__j", F.when(F.expr(holds), 0).otherwise(1))
+    rows = windows.carried(rows, [key], order[0], [F.col(c) for c in order[1:]], {"__g": ("sum", F.col("__j"))}).filter("__j = 0")
     return rows.groupBy(key, "__g").agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"), F.count(F.lit(1)).alias("length")).drop("__g")

@@ -2,16 +2,21 @@
 
 Bounded frames are cut at time buckets: a row also goes, as context, to the neighbouring buckets
 that its frame's reach can touch, so one key's series is spread over many tasks however long it is.
-Times are integer microseconds.
+Unbounded frames run within time buckets, and each bucket's result, one row, is carried on to the
+later ones. Frames of rows are cut at ranks. Times are integer microseconds.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets are this many times as long as a frame's reach, so that few rows are context.
 BUCKET_OF_REACH = 16
+#: Microseconds of a bucket of unbounded frames, and rows of one of frames of rows.
+CARRY_US, RANKS = 86_400_000_000, 1 << 16
 
 
 def bucketed(df: DataFrame, key: str, us: str, before: int, after: int = 0) -> DataFrame:
@@ -48,11 +53,64 @@ def centred_slope(df: DataFrame, key: str, us: str, value: str, half: int, least
     return framed(df, key, us, half, half, {"n_points": lambda w: F.count(value).over(w), "__s": lambda w: F.regr_slope(F.col(value), F.col(us) / day).over(w)}).withColumn("slope", F.when(F.col("n_points") >= least, F.col("__s"))).drop("__s")
 
 
+def carried(df: DataFrame, keys: list[str], us: str, order: list[Column], columns: dict[str, tuple[str, Column]], ahead: bool = False, exclusive: bool = False, size: int = CARRY_US) -> DataFrame:
+    """Running sums, maxima or last known values (kinds sum, max, last) of each key's rows up to the
+    row (without it if ``exclusive``), in time order; from the end on if ``ahead``. ``order`` breaks
+    ties of ``us`` and reads upwards in the direction of the run."""
+    time = -F.col(us) if ahead else F.col(us)
+    rows = df.withColumn("__bucket", F.floor(F.col(us) / F.lit(size)).cast("long")).withColumns({f"__in_{n}": c for n, (_, c) in columns.items()})
+    scan = [time, *order]
+    last_row = -1 if exclusive else 0
+    local = Window.partitionBy(*keys, "__bucket").orderBy(*scan).rowsBetween(Window.unboundedPreceding, last_row)
+    made, totals, before = {}, [], {}
+    earlier = Window.partitionBy(*keys).orderBy(F.col("__bucket").desc() if ahead else F.col("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    for n, (kind, _) in columns.items():
+        c = F.col(f"__in_{n}")
+        if kind == "last":
+            made[f"__at_{n}"] = F.last(c, ignorenulls=True).over(local)
+            totals.append(F.max_by(c, F.when(c.isNotNull(), F.struct(*[x.alias(f"o{i}") for i, x in enumerate(scan)]))).alias(f"__of_{n}"))
+            before[f"__to_{n}"] = F.last(f"__of_{n}", ignorenulls=True).over(earlier)
+        else:
+            f = {"sum": F.sum, "max": F.max}[kind]
+            made[f"__at_{n}"] = f(c).over(local)
+            totals.append(f(c).alias(f"__of_{n}"))
+            before[f"__to_{n}"] = f(f"__of_{n}").over(earlier)
+    carry = rows.groupBy(*keys, "__bucket").agg(*totals).withColumns(before).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__b"), *before)
+    same = functools.reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys), F.col("__bucket") == F.col("__b"))
+    both = rows.withColumns(made).join(carry, same, "left")
+    out = {}
+    for n, (kind, _) in columns.items():
+        own, past = F.col(f"__at_{n}"), F.col(f"__to_{n}")
+        if kind == "last":
+            out[n] = F.coalesce(own, past)
+        elif kind == "max":
+            out[n] = F.greatest(own, past)
+        else:
+            out[n] = F.when(own.isNull(), past).when(past.isNull(), own).otherwise(own + past)
+    return both.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def running(df: DataFrame, keys: list[str], us: str, tie: str, columns: dict[str, tuple[str, Column | None]]) -> DataFrame:
+    """Running counts, sums and maxima of each key, the row included."""
+    made = {n: ("sum", F.lit(1).cast("long")) if kind == "count" else (kind, c) for n, (kind, c) in columns.items()}
+    return carried(df, keys, us, [F.col(tie)], made)
+
+
+def row_framed(df: DataFrame, key: str, us: str, tie: str, half: int, columns: dict[str, object]) -> DataFrame:
+    """Columns over ``half`` rows on either side; each of ``columns`` maps a window to a column. A
+    key's rows are dealt by rank, with the neighbours' rows that a frame reaches."""
+    rows = running(df, [key], us, tie, {"__rank": ("count", None)})
+    at = lambda c: F.floor(c / F.lit(RANKS)).cast("long")
+    dealt = rows.withColumn("__part", F.explode(F.array_distinct(F.array(at(F.col("__rank") - half), at(F.col("__rank")), at(F.col("__rank") + half)))))
+    w = Window.partitionBy(key, "__part").orderBy("__rank").rowsBetween(-half, half)
+    made = dealt.withColumns({n: make(w) for n, make in columns.items()})
+    return made.filter(F.col("__part") == at(F.col("__rank"))).drop("__part", "__rank")
+
+
 def hampel(df: DataFrame, key: str, us: str, value: str, half: int = 5, sigmas: float = 3.0, tie: str = "event_id") -> DataFrame:
     """Spike flags against the median of ``half`` rows on either side: more than ``sigmas`` times
     1.4826 MAD away; frames under 3 values and zero deviations flag nothing."""
-    w = Window.partitionBy(key).orderBy(us, tie).rowsBetween(-half, half)
-    rows = df.withColumn("__m", F.percentile(value, F.lit(0.5)).over(w)).withColumn("__v", F.collect_list(value).over(w))
+    rows = row_framed(df, key, us, tie, half, {"__m": lambda w: F.percentile(value, F.lit(0.5)).over(w), "__v": lambda w: F.collect_list(value).over(w)})
     d = F.array_sort(F.transform("__v", lambda x: F.abs(x - F.col("__m"))))
     n = F.size("__v")
     mad = (F.get(d, F.floor((n - 1) / 2).cast("int")) + F.get(d, F.floor(n / 2).cast("int"))) / 2
@@ -62,23 +120,19 @@ def hampel(df: DataFrame, key: str, us: str, value: str, half: int = 5, sigmas:
 
 def running_median3(df: DataFrame, key: str, us: str, value: str, tie: str = "event_id", name: str = "smooth") -> DataFrame:
     """Upper median of the row and its neighbours; at the ends the larger of two."""
-    w = Window.partitionBy(key).orderBy(us, tie).rowsBetween(-1, 1)
-    got = F.array_sort(F.collect_list(value).over(w))
-    return df.withColumn("__g", got).withColumn(name, F.get("__g", F.floor(F.size("__g") / 2).cast("int"))).drop("__g")
+    rows = row_framed(df, key, us, tie, 1, {"__g": lambda w: F.array_sort(F.collect_list(value).over(w))})
+    return rows.withColumn(name, F.get("__g", F.floor(F.size("__g") / 2).cast("int"))).drop("__g")
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, us: str, take: list[str], ahead: bool = False) -> DataFrame:
     """Each left row with ``take`` (and right_us) of the latest right row at or before it, or of the
-    next at or after it: one union and one window instead of a theta join."""
+    next at or after it: one union and one run instead of a theta join."""
     missing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take]
     a = left.select("*", F.lit(None).cast("long").alias("right_us"), *missing, F.lit(1).alias("__side"))
     b = right.select(F.col(key), F.col(us), F.col(us).alias("right_us"), *take, F.lit(0).alias("__side"))
     b = b.select(*[F.col(c) if c in b.columns else F.lit(None).cast(a.schema[c].dataType).alias(c) for c in a.columns])
-    order = [F.col(us).desc() if ahead else F.col(us).asc(), F.col("__side"), *[F.col(c) for c in take]]
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b)
-    last = F.last(F.when(F.col("__side") == 0, F.struct("right_us", *take)), ignorenulls=True).over(w)
-    rows = rows.withColumn("__r", last).filter("__side = 1")
+    known = F.when(F.col("__side") == 0, F.struct("right_us", *take))
+    rows = carried(a.unionByName(b), [key], us, [F.col("__side"), *[F.col(c) for c in take]], {"__r": ("last", known)}, ahead=ahead).filter("__side = 1")
     return rows.select(*left.columns, F.col("__r.right_us").alias("right_us"), *[F.col(f"__r.{c}").alias(c) for c in take])
 
 
@@ -101,9 +155,9 @@ def interpolated(grid: DataFrame, series: DataFrame, key: str, us: str, value: s
 
 def segments(df: DataFrame, key: str, us: str, gap: int, tie: str) -> DataFrame:
     """segment: a number that grows at each pause longer than ``gap``, from 0."""
-    w = Window.partitionBy(key).orderBy(us, tie)
-    new = F.coalesce((F.col(us) - F.lag(us).over(w) > gap).cast("long"), F.lit(0))
-    return df.withColumn("__new", new).withColumn("segment", F.sum("__new").over(w)).drop("__new")
+    rows = carried(df, [key], us, [F.col(tie)], {"__before": ("last", F.col(us))}, exclusive=True)
+    new = F.coalesce((F.col(us) - F.col("__before") > gap).cast("long"), F.lit(0))
+    return carried(rows, [key], us, [F.col(tie)], {"segment": ("sum", new)}).drop("__before")
 
 
 def top_per_group(df: DataFrame, key: str | list[str], order: list[Column], n: int) -> DataFrame:
