@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import match_queries, telemetry_queries
+from trackloom.plans import combat_queries, match_queries, telemetry_queries
+
+MODULES = (match_queries, telemetry_queries, combat_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return match_queries.QUERIES | telemetry_queries.QUERIES
+    return {n: q for m in MODULES for n, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return match_queries.SQL | telemetry_queries.SQL
+    return {n: q for m in MODULES for n, q in m.SQL.items()}
