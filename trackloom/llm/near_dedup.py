@@ -11,8 +11,8 @@ No bucket's members are paired all with all. In each of a few turns, every bucke
 than one component names one member, its hub, and each class asks one hub only, so a turn makes no
 more pairs than there are classes; verified links merge components. Classes whose buckets are still
 open meet by their rarest shingles: two sets of the wanted similarity share one of the first
-n - ceil(similarity x n) + 1 shingles in any common order, so texts that share a frequent passage
-only drop out. What is left is compared in cells of bounded bytes, which emit links alone; nothing
+n - ceil(similarity x n) + 1 shingles in any common order, and what follows the first one bounds
+their intersection, so texts that share a frequent passage only drop out. What is left is compared in cells of bounded bytes, which emit links alone; nothing
 is capped.
 """
 
@@ -244,7 +244,7 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     now = members.withColumn("comp", F.col("rep")) if labels is None else members.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     if labels is None:
         return now
-    several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    several = stored(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket"), "dedup-several")
     return stored(now.join(several, "bucket"), "dedup-open")
 
 
@@ -253,7 +253,7 @@ def _asks(now: DataFrame, turn: int, percent: int) -> DataFrame:
     components ca, cb. Hubs are the members of least hash, another hash in each turn, so that most
     of a group's members ask the same few."""
     rows = now.withColumn("u", F.xxhash64("rep", F.lit(turn)))
-    hubs = rows.groupBy("bucket").agg(F.min(F.struct("u", "rep", "n", "comp")).alias("hub"))
+    hubs = stored(rows.groupBy("bucket").agg(F.min(F.struct("u", "rep", "n", "comp")).alias("hub")), "dedup-hubs")
     n, m = F.col("n"), F.col("hub.n")
     fits = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.col("comp") != F.col("hub.comp"))
     best = rows.join(hubs, "bucket").filter(fits).groupBy("rep", "comp").agg(F.min("hub").alias("hub"))
@@ -289,13 +289,20 @@ def _rare_keys(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     rows = texts.join(_few(reps), "rep").select("rep", "comp", "words")
     sets = stored(map_batches(rows, make, "rep bigint, comp bigint, bytes bigint, hs array<bigint>"), "dedup-sets").withColumn("n", F.size("hs"))
     tokens = sets.select("rep", F.explode("hs").alias("h"))
-    common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = stored(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "dedup-common")
     ranked = tokens.join(common, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    # shingles that no other class has come first and need no key
-    ahead = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
-    keys = sets.drop("hs").join(ranked, "rep").withColumn("ahead", ahead).filter("ahead > 0")
-    keys = stored(keys.select("rep", "comp", "bytes", F.explode(F.slice("shared", F.lit(1), F.col("ahead"))).alias("x")).select(F.col("x.h").alias("h"), "rep", "comp", "bytes"), "dedup-keys")
-    several = keys.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("h", "first")
+    # shingles that no other class has come first and need no key; the rest of the order bounds what
+    # a pair can share from its first common shingle on
+    alone = F.col("n") - F.size("shared")
+    keys = sets.drop("hs").join(ranked, "rep").withColumn("alone", alone).withColumn("ahead", F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone).filter("ahead > 0")
+    keys = keys.select("rep", "comp", "bytes", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("ahead"))).alias("at", "x"))
+    keys = stored(keys.select(F.col("x.h").alias("h"), "rep", "comp", "bytes", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "dedup-keys")
+    # an intersection of (percent x (n + m)) / (100 + percent) is within reach of both sides
+    reach = (100 + percent) * F.col("rest") - percent * F.col("n")
+    bounds = keys.groupBy("h").agg(F.min("n").alias("least"), F.max(reach).alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h", "least", "most")
+    keys = keys.join(stored(bounds, "dedup-bounds"), "h").filter((F.col("most") >= percent * F.col("n")) & (reach >= percent * F.col("least")))
+    keys = stored(keys.select("h", "rep", "comp", "bytes"), "dedup-keys")
+    several = stored(keys.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("h", "first"), "dedup-several")
     return keys.join(several, "h")
 
 
@@ -309,14 +316,16 @@ def _cell_links(table: pa.Table, k: int, percent: int, least: np.ndarray) -> pa.
     sets = [shingle_hashes(w.encode(), k) for w in words]
     _, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     size = np.array([len(x) for x in sets])
-    keys = []
+    keys, rests = [], []
     for own in np.split(places, np.cumsum(size)[:-1]):
-        own = own[np.lexsort((own, counts[own]))][: prefix_length(len(own), percent)]
-        keys.append(own[counts[own] > 1])
+        first = own[np.lexsort((own, counts[own]))][: prefix_length(len(own), percent)]
+        alone = int((counts[first] == 1).sum())
+        keys.append(first[alone:])
+        rests.append(len(own) - alone - np.arange(len(first) - alone))
     # rows of each key, in order
     owner, flat = np.repeat(np.arange(len(keys)), [len(x) for x in keys]), np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
-    owner, ends = owner[order], np.cumsum(np.bincount(flat, minlength=len(counts)))
+    owner, rest, ends = owner[order], np.concatenate(rests)[order], np.cumsum(np.bincount(flat, minlength=len(counts)))
     cross = bool(sides.any() and not sides.all())
     label = np.unique(comps, return_inverse=True)[1]
     met = np.zeros(len(keys), bool)
@@ -328,8 +337,10 @@ def _cell_links(table: pa.Table, k: int, percent: int, least: np.ndarray) -> pa.
     out: dict[str, list] = {c: [] for c in ("a", "b", "ca", "cb")}
     for i, own in enumerate(keys):
         met[:] = False
-        for h in own.tolist():
-            met[owner[ends[h - 1] if h else 0 : ends[h]]] = True
+        for h, left in zip(own.tolist(), rests[i].tolist()):
+            at = slice(ends[h - 1] if h else 0, ends[h])
+            rows = owner[at]
+            met[rows[(100 + percent) * np.minimum(rest[at], left) >= percent * (size[rows] + size[i])]] = True
         js = np.flatnonzero(met[:i] & (label[:i] != label[i]))
         js = js[(size[js] * 100 >= percent * size[i]) & (size[i] * 100 >= percent * size[js])]
         js = js[sides[js] != sides[i]] if cross else js
@@ -380,7 +391,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     # exact copies meet here, after partial aggregation
     classes = stored(full.groupBy("class_id").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "dedup-classes")
     buckets = bands(classes)
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("bucket")
+    # what a join below meets is stored first: Spark splits a hot key only between two plain inputs
+    shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("bucket"), "dedup-shared")
     members = stored(buckets.join(shared, "bucket"), "dedup-members")
     texts = _texts(docs, stored(members.select("rep").distinct(), "dedup-involved"), text, key)
     signatures = classes.select("rep", "signature")
