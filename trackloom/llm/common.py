@@ -40,13 +40,25 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Bytes of a batch that goes to Python, unless the session sets another bound than Spark's default.
+BATCH_BYTES = 4 << 20
+_BOUND, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Texts differ in length by orders of magnitude, so batches are bounded by bytes, not rows."""
+    if spark.conf.get(_BOUND) == _DEFAULT:
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]], schema: str) -> DataFrame:
     """Apply a function to column batches, within the tasks that hold the rows.
 
     ``make`` runs once a task and returns the function from a batch's columns (lists) to the
-    result's columns.
+    result's columns. Batches are bounded by bytes.
     """
     ship_package(df.sparkSession)
+    _bound_batches(df.sparkSession)
     types = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,3 +69,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
 
     return df.mapInArrow(run, schema)
+
+
+def fold_batches(df: DataFrame, make: Callable[[], tuple[Callable[[dict[str, list]], None], Callable[[], dict[str, Iterable]]]], schema: str) -> DataFrame:
+    """As map_batches, but one result a task: ``make`` returns a function that takes a batch's
+    columns and one that gives the result's columns after the last."""
+    ship_package(df.sparkSession)
+    _bound_batches(df.sparkSession)
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, result = make()
+        for batch in batches:
+            if batch.num_rows:
+                add({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+        out = result()
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+
+    return df.mapInArrow(run, schema)

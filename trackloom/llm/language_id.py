@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_batches, text_of
+from trackloom.llm.common import fold_batches, map_batches, text_of
 
 #: Trigram buckets of the model.
 BUCKETS = 1 << 16
@@ -82,23 +82,23 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     sample = labelled.filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), text_of(text).alias("text")).repartition(8)
 
     def make():
-        def work(b):
-            found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def add(b):
             for la, t in zip(b["lang"], b["text"]):
                 counts, scripts = found.setdefault(la, (np.zeros(BUCKETS, np.int64), np.zeros(32, np.int64)))
                 codes = _codes(t)
                 starts, ends, bits, h = _words(codes)
                 inside = np.repeat(np.arange(len(starts)), ends - starts)
                 places = np.arange(len(inside)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts) + starts[inside]
-                counts += np.bincount(h[places], minlength=BUCKETS)
+                np.add.at(counts, h[places], 1)
                 for i in range(32):
                     scripts[i] += int(((bits >> np.uint32(i)) & 1).sum())
-            return {"lang": list(found), "counts": [c.tobytes() for c, _ in found.values()], "scripts": [s.tobytes() for _, s in found.values()]}
 
-        return work
+        return add, lambda: {"lang": list(found), "counts": [c.tobytes() for c, _ in found.values()], "scripts": [s.tobytes() for _, s in found.values()]}
 
-    # at most one row a language and batch of the bounded sample
-    parts = map_batches(sample, make, "lang string, counts binary, scripts binary").collect()
+    # one row a language and task of the bounded sample
+    parts = fold_batches(sample, make, "lang string, counts binary, scripts binary").collect()
     counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((32, len(langs)))
     for r in parts:
         counts[:, langs.index(r[0])] += np.frombuffer(r[1], np.int64)
@@ -119,7 +119,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     size = lengths[order]
     alive = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
     best = np.zeros((len(size), k), np.float32)
-    stay, jump = np.zeros((n, k), bool), np.zeros(n, np.int8)
+    stay, jump = np.zeros((n, k), bool), np.zeros(n, np.int32)
     for t, m in enumerate(alive):
         at = first[:m] + t
         top = best[:m].argmax(1)
@@ -127,7 +127,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
         keep = best[:m] >= high[:, None]
         stay[at], jump[at] = keep, top
         best[:m] = np.where(keep, best[:m], high[:, None]) + scores[at]
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int32)
     state = best.argmax(1)
     for t in range(len(alive) - 1, -1, -1):
         m = alive[t]
@@ -160,7 +160,7 @@ class Labeller:
             i = j
         # languages that use a script of the word; all of them where none does
         allowed = (bits[:, None] & self.scripts) > 0
-        out[~allowed & allowed.any(1)[:, None]] -= 50.0
+        out[~allowed & allowed.any(1)[:, None]] = -np.inf
         return out, starts, ends, allowed.any(1)
 
     def __call__(self, texts: list[str]) -> list[tuple[list[int], list[int], np.ndarray]]:
@@ -173,7 +173,7 @@ class Labeller:
         found = [self._word_scores(t) for t in texts]
         lengths = np.array([len(f[1]) for f in found], np.int64)
         flat = np.concatenate([f[0] for f in found]) if found else np.zeros((0, len(self.langs)), np.float32)
-        labels = viterbi(flat, lengths, self.switch) if len(flat) else np.zeros(0, np.int8)
+        labels = viterbi(flat, lengths, self.switch) if len(flat) else np.zeros(0, np.int32)
         out = []
         for f, part in zip(found, np.split(labels, np.cumsum(lengths)[:-1])):
             size = f[2] - f[1]
