@@ -3,7 +3,9 @@
 Card numbers (Luhn), bank accounts (check digits), social security numbers, phone numbers, IPv4
 addresses and dates are recognised, validated, and permuted within their format under a key; e-mail
 addresses keep their shape under a keyed permutation of letters and digits. Equal values map to
-equal pseudonyms in all documents, different values of a format to different ones.
+equal pseudonyms in all documents, different values of a format to different ones. What is part of
+the format stays: an account's country and the letters of its bank's code, a phone number's country
+prefix, an e-mail address's last label, all blanks and punctuation.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import datetime
 import functools
 import hashlib
 import hmac
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -23,22 +26,45 @@ ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 
+def _stream(key: bytes, message: bytes, size: int) -> bytes:
+    """``size`` pseudo-random bytes of a message: its digest under the key, expanded by a counter."""
+    seed, out = hmac.digest(key, message, "sha256"), []
+    for i in range(-(-size // 32)):
+        out.append(hmac.digest(seed, i.to_bytes(8, "big"), "sha256"))
+    return b"".join(out)[:size]
+
+
 def feistel(value: int, size: int, key: bytes, tweak: bytes) -> int:
     """A keyed permutation of 0 .. size - 1: a balanced network over the next square, walked until
-    it falls into the range."""
+    it falls into the range. Round values have 16 bytes more than a side, so all of it is mixed."""
     if size < 2:
         return value
-    side = int((size - 1) ** 0.5) + 1
+    side = math.isqrt(size - 1) + 1
+    width = (side.bit_length() + 7) // 8
     while True:
         a, b = divmod(value, side)
         for i in range(ROUNDS):
-            d = hmac.digest(key, tweak + b"|%d|%d|%d" % (size, i, b), "sha256")
-            a, b = b, (a + int.from_bytes(d[:16], "big")) % side
+            d = _stream(key, b"%d|%d|" % (i, len(tweak)) + tweak + size.to_bytes(2 * width + 1, "big") + b.to_bytes(width, "big"), width + 16)
+            a, b = b, (a + int.from_bytes(d, "big")) % side
         value = a * side + b
         if value < size:
             return value
 
 
+def permuted_symbols(symbols: list[int], radices: list[int], key: bytes, tweak: bytes) -> list[int]:
+    """A keyed permutation of symbol sequences, each symbol below its own radix and the radices
+    fixed: the two halves are shifted in turn, symbol by symbol, by values drawn from the other.
+    Its cost grows with the length alone."""
+    half = len(symbols) // 2
+    parts = [symbols[:half], symbols[half:]]
+    of = [radices[:half], radices[half:]]
+    for i in range(ROUNDS):
+        own, other = i % 2, 1 - i % 2
+        d = _stream(key, b"%d|%d|" % (i, len(tweak)) + tweak + bytes(parts[other]), 8 * len(parts[own]))
+        parts[own] = [(x + int.from_bytes(d[8 * j : 8 * j + 8], "big")) % r for j, (x, r) in enumerate(zip(parts[own], of[own]))]
+    return parts[0] + parts[1]
+
+
 def permuted_digits(digits: str, key: bytes, tweak: bytes) -> str:
     return str(feistel(int(digits), 10 ** len(digits), key, tweak)).zfill(len(digits)) if digits else ""
 
@@ -65,12 +91,10 @@ def _only(s: str) -> str:
 
 def _card(m: re.Match, key: bytes) -> str | None:
     d = _only(m[0])
+    if luhn_digit(d[:-1]) != d[-1]:
+        return None
     body = permuted_digits(d[:-1], key, b"card")
-    if luhn_digit(d[:-1]) == d[-1]:
-        return _into(m[0], body + luhn_digit(body))
-    # no valid card number: still a long number of a person's account, permuted among such numbers
-    new = body + luhn_digit(body)
-    return _into(m[0], body + str((int(new[-1]) + 1 + feistel((int(d[-1]) - int(luhn_digit(d[:-1])) - 1) % 10, 9, key, b"rest" + body.encode())) % 10))
+    return _into(m[0], body + luhn_digit(body))
 
 
 def _iban(m: re.Match, key: bytes) -> str | None:
@@ -126,31 +150,18 @@ def _date(m: re.Match, key: bytes) -> str | None:
     return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if m[0][4] == sep else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
 def _mail(m: re.Match, key: bytes) -> str | None:
     """The local part and the domain but its last label, character kind by character kind; an
     address is told apart from others of its shape by the whole of it, in lower case."""
     body, dot, top = m[0].rpartition(".")
-    n, size = 0, 1
-    for c in body.lower():
-        if c in _LETTERS:
-            n, size = n * 26 + _LETTERS.index(c), size * 26
-        elif c in "0123456789":
-            n, size = n * 10 + int(c), size * 10
-    shape = re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", body.lower()))
-    n, out = feistel(n, size, key, b"mail" + shape.encode()), []
-    for c in reversed(body):
-        if c.lower() in _LETTERS:
-            n, i = divmod(n, 26)
-            out.append(_LETTERS[i].upper() if c.isupper() else _LETTERS[i])
-        elif c in "0123456789":
-            n, i = divmod(n, 10)
-            out.append(str(i))
-        else:
-            out.append(c)
-    return "".join(reversed(out)) + dot + top
+    low = body.lower()
+    kinds = [_LETTERS if c in _LETTERS else _DIGITS if c in _DIGITS else "" for c in low]
+    new = iter(permuted_symbols([k.index(c) for c, k in zip(low, kinds) if k], [len(k) for k in kinds if k], key, b"mail" + re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", low)).encode()))
+    out = [k[next(new)] if k else c for c, k in zip(low, kinds)]
+    return "".join(x.upper() if c.isupper() else x for c, x in zip(body, out)) + dot + top
 
 
 #: Kinds, in order of precedence at one place.
@@ -205,9 +216,9 @@ def pseudonymise(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
 
     Null texts stay null and empty ones empty, both with an empty pii. Every other column stays; a
     column named pii is replaced. Values that fail validation (dates that do not exist, addresses
-    over 255, wrong check digits of accounts) stay, but numbers of a card's length are permuted
-    among those without a valid check digit. Texts without a digit or @ skip the search. No shuffle;
-    each row by itself, so copies, ties and hot sources cost no more than their rows.
+    over 255, wrong check digits of accounts and cards) stay, and the search goes on inside them, so
+    a valid value there is found. Texts without a digit or @ skip the search. No shuffle; each row
+    by itself, so copies, ties and hot sources cost no more than their rows.
     """
     rows = docs.drop("pii") if "pii" in docs.columns else docs
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
