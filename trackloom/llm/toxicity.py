@@ -2,12 +2,14 @@
 
 Words map to classes: insult (a lexicon of words and word beginnings, learned with weights), threat
 (a fixed list; words of the lexicon are insults), target (who is addressed), negation and reported
-speech. A transducer marks insults and threats with the negation or report that they stand under;
-it is composed with one automaton for insults and one for threats, and the composition reads a
-clause's words in order and ends in a state that says whether its insult, and its threat, is plain,
-targeted, negated or reported. The weights of words and of all contexts are learned log-odds.
-A text's score is the logistic of its strongest clause, so isolated words count only through the
-clause that they stand in.
+speech. Five weighted transducers, one a class, are composed into one machine: that of reported
+speech rewrites the insults and threats in its scope, that of negation those left plain, that of
+targets those left plain after an address; those of insults and of threats keep the first of their
+kind and turn a plain one into a targeted one where an address follows. The composition reads a
+clause's words in order; its arcs add the learned log-odds of the context that an insult, or a
+threat, is in. A text's score is the logistic of its strongest clause, whose word's weight is read
+together with how dense strong clauses are in the text, so isolated words count only through the
+clauses that they stand in.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from trackloom.llm.language_id import in_training
 
 #: Labelled rows of each label that are learned from, about; the documented bound of the sample.
 SAMPLE_ROWS = 20_000
-#: Lengths of word beginnings in the lexicon, and entries that it has at most (the strongest).
-STEMS, ENTRIES = (4, 5, 6, 7, 8), 20_000
+#: Lengths of word beginnings in the lexicon.
+STEMS = (4, 5, 6, 7, 8)
 #: Toxic rows that must show an entry, and its least log-odds.
 LEAST_ROWS, LEAST_ODDS = 3, 2.0
+#: Least weight of a clause that counts for how dense a text's are, and the steps of that density
+#: (such clauses in 1000 characters).
+STRONG, DENSITIES = 3.0, (0.5, 1.5, 5.0)
 #: Words that a task remembers at most.
 REMEMBERED = 400_000
 
@@ -42,65 +47,98 @@ KINDS = ("insult", "threat")
 CONTEXTS = ("plain", "targeted", "negated", "reported")
 #: A threat's contexts, the one that counts for a text with several first.
 THREAT_CONTEXTS = ("threat_targeted", "threat_plain", "threat_reported", "threat_negated")
-#: State of the composition: the scope's, and those of the automata of KINDS.
-START = ("plain", "none", "none")
 #: Lexicon's mark of a threat.
 THREAT = -1.0
 
 
-def scope() -> dict:
-    """Transducer over word classes: negation and reported speech hold from their word on, and a
-    report outweighs a negation. It passes the classes on, an insult or a threat with the context
-    that holds."""
-    out = {}
-    for state in ("plain", "negated", "reported"):
-        out[state, "target"] = state, "target"
-        out[state, "negation"] = "reported" if state == "reported" else "negated", None
-        out[state, "report"] = "reported", None
-        for kind in KINDS:
-            out[state, kind] = state, (kind, state)
-    return out
+class Transducer:
+    """A deterministic transducer: from a start, (state, symbol) leads to a state, writes a symbol
+    (or nothing) and adds a weight a kind. A symbol without an arc stays as it is."""
 
+    def __init__(self, start, arcs: dict):
+        self.start, self.arcs = start, arcs
 
-def match(kind: str) -> dict:
-    """Automaton over what scope() passes on: the context of the first word of ``kind``, and
-    targeted for plain with a target before or after it. Its states before a match are none and
-    addressed."""
-    out = {}
-    for state in ("none", "addressed", *CONTEXTS):
-        out[state, "target"] = {"none": "addressed", "plain": "targeted"}.get(state, state)
-        for other in KINDS:
-            for context in ("plain", "negated", "reported"):
-                first = other == kind and state in ("none", "addressed")
-                out[state, (other, context)] = ("targeted" if (state, context) == ("addressed", "plain") else context) if first else state
-    return out
+    def step(self, state, symbol):
+        return self.arcs.get((state, symbol), (state, symbol, (0.0, 0.0)))
 
 
-def composed() -> dict:
-    """scope() followed by one match() for each of KINDS side by side, over the states reached from
-    the start."""
-    first, then, out, ahead = scope(), [match(k) for k in KINDS], {}, [START]
+def compose(first: Transducer, second: Transducer, symbols: list) -> Transducer:
+    """The transducer that reads as ``first`` and writes what ``second`` makes of its output, over
+    the states that ``symbols`` reach; weights add up."""
+    start = (first.start, second.start)
+    arcs: dict = {}
+    known, ahead = {start}, [start]
     while ahead:
         state = ahead.pop()
-        for kind in ("target", "negation", "report", *KINDS):
-            after, symbol = first[state[0], kind]
-            new = (after, *(m[s, symbol] if symbol else s for m, s in zip(then, state[1:])))
-            if new not in {START, *(x for x in out.values())}:
+        for symbol in symbols:
+            one, passed, w = first.step(state[0], symbol)
+            two, written, v = second.step(state[1], passed) if passed is not None else (state[1], None, (0.0, 0.0))
+            new = (one, two)
+            arcs[state, symbol] = new, written, tuple(x + y for x, y in zip(w, v))
+            if new not in known:
+                known.add(new)
                 ahead.append(new)
-            out[state, kind] = new
-    return out
+    return Transducer(start, arcs)
+
+
+def scope(trigger: str, context: str) -> Transducer:
+    """From the word of class ``trigger`` on, plain insults and threats are in ``context``."""
+    arcs: dict = {(state, trigger): ("inside", None, (0.0, 0.0)) for state in ("outside", "inside")}
+    for kind in KINDS:
+        arcs["inside", (kind, "plain")] = "inside", (kind, context), (0.0, 0.0)
+    return Transducer("outside", arcs)
+
+
+def addressed() -> Transducer:
+    """After a target plain insults and threats are targeted; targets pass on, as they may follow."""
+    arcs: dict = {(state, "target"): ("inside", "target", (0.0, 0.0)) for state in ("outside", "inside")}
+    for kind in KINDS:
+        arcs["inside", (kind, "plain")] = "inside", (kind, "targeted"), (0.0, 0.0)
+    return Transducer("outside", arcs)
 
 
-_ARCS = composed()
+def first_of(kind: str, weights: dict[str, float]) -> Transducer:
+    """Ends in the context of the clause's first insult, or threat, and adds that context's weight;
+    a target after a plain one makes it targeted."""
+    i = KINDS.index(kind)
+    of = lambda w: tuple(w if j == i else 0.0 for j in range(len(KINDS)))
+    weight = lambda c: weights.get(label(kind, c), 0.0)
+    arcs: dict = {("none", (kind, c)): (c, (kind, c), of(weight(c))) for c in CONTEXTS}
+    arcs["plain", "target"] = "targeted", "target", of(weight("targeted") - weight("plain"))
+    return Transducer("none", arcs)
+
+
+class Grammar:
+    """The composition under learned context weights."""
+
+    def __init__(self, weights: dict[str, float]):
+        symbols = ["target", "negation", "report", *((kind, "plain") for kind in KINDS)]
+        machine = scope("report", "reported")
+        for part in (scope("negation", "negated"), addressed(), *(first_of(k, weights) for k in KINDS)):
+            machine = compose(machine, part, symbols)
+        self.machine = machine
+
+    def read(self, kinds: list[str | None]) -> list[tuple[str, str, float]]:
+        """(kind, context, weight) of the clause's insult and threat, those that it has."""
+        state, weight = self.machine.start, [0.0] * len(KINDS)
+        for kind in kinds:
+            if kind is not None:
+                state, _, w = self.machine.arcs[state, (kind, "plain") if kind in KINDS else kind]
+                weight = [x + y for x, y in zip(weight, w)]
+        (_, insult), threat = state
+        return [(k, c, w) for k, c, w in zip(KINDS, (insult, threat), weight) if c in CONTEXTS]
+
+
+def label(kind: str, context: str) -> str:
+    return context if kind == "insult" else f"{kind}_{context}"
+
+
+_UNWEIGHTED = Grammar({})
 
 
 def read_words(kinds: list[str | None]) -> list[tuple[str, str]]:
     """(kind, context) of the clause's insult and threat, those that it has."""
-    state = START
-    for kind in kinds:
-        if kind is not None:
-            state = _ARCS[state, kind]
-    return [(k, s) for k, s in zip(KINDS, state[1:]) if s in CONTEXTS]
+    return [(k, c) for k, c, _ in _UNWEIGHTED.read(kinds)]
 
 
 def read_clause(kinds: list[str | None]) -> str | None:
@@ -108,10 +146,6 @@ def read_clause(kinds: list[str | None]) -> str | None:
     return next((label(*x) for x in read_words(kinds)), None)
 
 
-def label(kind: str, context: str) -> str:
-    return context if kind == "insult" else f"{kind}_{context}"
-
-
 def features(word: str):
     yield word
     for n in STEMS:
@@ -137,32 +171,46 @@ class Lexicon(dict):
         return out
 
 
-def matched(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, float]]:
-    """Clauses with an insult or a threat: start, end, context and the strongest word's weight (0 for
-    a threat). A clause with both is there twice."""
+def matched(text: str, lexicon: Lexicon, grammar: Grammar) -> list[tuple[int, int, str, float, float]]:
+    """Clauses with an insult or a threat: start, end, context, the strongest word's weight (0 for a
+    threat) and the path's weight. A clause with both is there twice."""
     hits = [m for m in _WORD.finditer(text) if lexicon[m[0]]]
     if not hits:
         return []
-    out, at = [], 0
+    out, at, i = [], 0, 0
     for m in [*_CLAUSE.finditer(text), None]:
         end = m.start() if m else len(text)
-        own = [h for h in hits if at <= h.start() < end]
+        own = []
+        while i < len(hits) and hits[i].start() < end:
+            own.append(hits[i])
+            i += 1
         if own:
             kinds = []
             for w in _WORD.finditer(text, at, end):
                 low = w[0].lower()
                 weight = lexicon[w[0]]
                 kinds.append("insult" if weight > 0 else "threat" if weight else "report" if low in REPORTS else "negation" if low in NEGATIONS else "target" if low in TARGETS else None)
-            for kind, context in read_words(kinds):
-                out.append((at, end, label(kind, context), max(lexicon[h[0]] for h in own) if kind == "insult" else 0.0))
+            for kind, context, path in grammar.read(kinds):
+                out.append((at, end, label(kind, context), max(lexicon[h[0]] for h in own) if kind == "insult" else 0.0, path))
         at = m.end() if m else end
     return out
 
 
+def strength(weight: float, density: int) -> str:
+    return f"{round(weight)}/{density}"
+
+
+def density_of(text: str, found: list) -> int:
+    """The step of DENSITIES that the text's clauses with an insult of STRONG or more reach."""
+    n = 1000 * sum(c[3] >= STRONG for c in found) / max(1, len(text))
+    return sum(n >= x for x in DENSITIES)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Lexicon weights, context weights of insults and of threats, and the bias, from the texts of labelled rows outside the
-    held-out part. Word rows are counted in a Spark aggregation; the lexicon (bounded) comes to the
-    driver, and the contexts' counts are made in tasks."""
+    """Lexicon weights, context weights of insults and of threats, and the bias, from the texts of
+    labelled rows outside the held-out part. Word rows are counted in a Spark aggregation; the
+    lexicon, every entry over the limits, comes to the driver and is bounded by the sample; the
+    contexts' counts are made in tasks."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & in_training(key)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     sizes = {int(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -189,30 +237,30 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n1, n0 = max(1, seen.get(1, 0)), max(1, seen.get(0, 0))
     counts = map_batches(sample.select("__text", "toxic"), words, "f string, y int").groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     odds = F.log(((F.col("a") + 0.1) / n1) / ((F.col("b") + 0.5) / n0))
-    top = counts.filter(F.col("a") >= LEAST_ROWS).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).orderBy(F.desc(F.col("w") * F.log1p("a")), "f").limit(ENTRIES).collect()
+    top = counts.filter(F.col("a") >= LEAST_ROWS).withColumn("w", odds).filter(F.col("w") >= LEAST_ODDS).select("f", "w").collect()
     weights = {r["f"]: float(r["w"]) for r in top}
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def contexts():
-        lexicon = Lexicon(shared.value)
+        lexicon, grammar = Lexicon(shared.value), Grammar({})
 
         def work(b):
             out = {"context": [], "weight": [], "y": []}
             for t, toxic in zip(b["__text"], b["toxic"]):
-                found = matched(t, lexicon)
+                found = [c[:4] for c in matched(t, lexicon, grammar)]
                 if found:
                     # an insult comes before threats, so that these are learned from texts without one
                     *_, context, weight = max(found, key=lambda c: (c[3], -THREAT_CONTEXTS.index(c[2]) if c[2] in THREAT_CONTEXTS else 0, c[2]))
-                    for name, v in zip(out, (context, round(weight), int(toxic))):
+                    for name, v in zip(out, (context, strength(weight, density_of(t, found)) if weight else "", int(toxic))):
                         out[name].append(v)
                 else:
-                    for name, v in zip(out, ("", 0, int(toxic))):
+                    for name, v in zip(out, ("", "", int(toxic))):
                         out[name].append(v)
             return out
 
         return work
 
-    rows = map_batches(sample.select("__text", "toxic"), contexts, "context string, weight bigint, y int").groupBy("context", "weight").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).collect()
+    rows = map_batches(sample.select("__text", "toxic"), contexts, "context string, weight string, y int").groupBy("context", "weight").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).collect()
     # the sample's shares of labels are brought back to the corpus's
     keep1, keep0 = min(1.0, sample_rows / sizes[1]), min(1.0, sample_rows / sizes[0])
     by: dict[tuple, list[float]] = {}
@@ -223,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             a[1] += (r[3] - r[2]) / keep0
     prior = (sizes[1] + 1) / (sizes[0] + sizes[1] + 2)
     logit = lambda a, b, p: math.log((a + 4 * p) / (b + 4 * (1 - p)))
-    table = {str(w): logit(*ab, prior) for (c, w), ab in by.items() if c == "any" and w}
+    table = {w: logit(*ab, prior) for (c, w), ab in by.items() if c == "any" and w}
     whole = [sum(by.get((c, None), [0, 0])[i] for c in CONTEXTS) for i in (0, 1)]
     share1 = (whole[0] + prior) / (sum(whole) + 1)
     shift = {c: logit(*by.get((c, None), [0.0, 0.0]), share1) - math.log(share1 / (1 - share1)) for c in CONTEXTS}
@@ -238,16 +286,18 @@ def sizes_of(sample: DataFrame) -> dict[int, int]:
     return {int(r[0]): r[1] for r in sample.groupBy("toxic").count().collect()}
 
 
-def score_of(text: str, model: dict, lexicon: Lexicon) -> tuple[float, list[tuple[int, int, str, float]]]:
-    found = matched(text, lexicon)
-    logit = model["bias"]
-    for _, _, context, weight in found:
-        if context in model["threats"]:
-            logit = max(logit, model["threats"][context])
-            continue
-        base = model["by_weight"].get(str(round(weight)), weight + model["bias"])
-        logit = max(logit, base + model["contexts"][context])
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), found
+def grammar_of(model: dict) -> Grammar:
+    """The grammar with the model's context weights: shifts for insults, whole log-odds for threats."""
+    return Grammar(model["contexts"] | model["threats"])
+
+
+def score_of(text: str, model: dict, lexicon: Lexicon, grammar: Grammar) -> tuple[float, list[tuple[int, int, str, float]]]:
+    found = matched(text, lexicon, grammar)
+    logit, density = model["bias"], density_of(text, found)
+    for _, _, context, weight, path in found:
+        base = 0.0 if context in model["threats"] else model["by_weight"].get(strength(weight, density), weight + model["bias"])
+        logit = max(logit, base + path)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), [c[:4] for c in found]
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -264,10 +314,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0
 
     def make():
         m = shared.value
-        lexicon = Lexicon(m["weights"])
+        lexicon, grammar = Lexicon(m["weights"]), grammar_of(m)
 
         def work(b):
-            found = [score_of(t or "", m, lexicon) for t in b[text]]
+            found = [score_of(t or "", m, lexicon, grammar) for t in b[text]]
             return b | {"score": [f[0] for f in found], "predicted": [int(f[0] >= threshold) for f in found], "clauses": [[dict(zip(("start", "end", "context", "weight"), c)) for c in f[1]] for f in found]}
 
         return work
