@@ -318,3 +318,32 @@ def test_one_length_fills_windows(spark):
     for parts in filled.values():
         parts.sort()
         assert [o for o, _ in parts] == list(np.cumsum([0, *(n for _, n in parts)]))[:-1] and sum(n for _, n in parts) <= 1024
+
+
+def test_scratch_folders_go_but_for_what_results_read(spark):
+    import os
+
+    from trackloom.llm.common import scratch, shared_dir, stored
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    df = spark.createDataFrame([(i, f"a b {i % 3}") for i in range(9)], "doc_id bigint, text string")
+    out = near_dedup.near_duplicates(df)
+    names = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before if not x.startswith(".")}
+    assert names <= {"dedup-docs", "dedup-classes", "dedup-labels"} and out.count() == 9 and out.filter("kept").count() == 3
+    with scratch(spark) as keep:
+        kept = stored(df, "kept")
+        gone = stored(df, "gone")
+        keep(kept)
+    assert kept.count() == 9 and gone is not kept
+    assert not [x for x in os.listdir(root) if x.startswith("gone-")]
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from trackloom.llm.common import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,13 +18,19 @@ from pyspark.sql.types import StructType
 from trackloom.session import ship_package
 
 
+_frames = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a folder of this machine is made and set.
+    Only where a local session names none, as in tests, a folder of this machine is made and set;
+    on a cluster it must be named.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,12 +38,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again, so that its
-    lineage ends there and a lost executor costs no recomputation."""
+    lineage ends there and a lost executor costs no recomputation. Within scratch() the folder goes
+    when it is no longer needed; else the caller keeps it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for frame in getattr(_frames, "open", []):
+        frame.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Folders that stored() writes in this block are deleted at its end, but for those that results
+    given to the yielded function still read. After an error all stay."""
+    frames = _frames.open = [*getattr(_frames, "open", []), []]
+    kept: list[DataFrame] = []
+    try:
+        yield kept.append
+    finally:
+        _frames.open = frames[:-1]
+    needed = {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()}
+    for path in frames[-1]:
+        if path.rsplit("/", 1)[-1] not in needed:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

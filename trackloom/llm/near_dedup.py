@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_batches, stored, text_of
+from trackloom.llm.common import map_batches, scratch, stored, text_of
 from trackloom.session import ship_package
 
 #: Signature values compared at once, and their number.
@@ -383,8 +383,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     permutations of the same values, so they depend on each other: simulated with independent
     values, they miss 3 of 3 million links at 0.8 (1e-6) and none of 500,000 at 0.82. ``miss``
     bounds a posterior; as a frequency at 0.8 the comparison drops 25 of 3 million (8e-6), at 0.82
-    2 of 500,000. Keys must be integers.
+    2 of 500,000. Keys must be integers. Intermediate folders
+    are deleted but for those that the result reads.
     """
+    with scratch(docs.sparkSession) as keep:
+        out = _near_duplicates(docs, k, percent, miss, text, key)
+        keep(out)
+    return out
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, miss: float, text: str, key: str) -> DataFrame:
     least = least_matches(percent / 100, miss)
     described = stored(describe(docs.withColumn(key, F.col(key).cast("long")), k, text, key), "dedup-docs")
     full = described.filter(F.col("class_id").isNotNull() & F.col(key).isNotNull())
