@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from trackloom.llm import bpe
 from trackloom.llm.common import map_batches, stored, text_of
 
-#: Parts among which the pieces of one length are ranked.
-SALTS = 256
+#: Parts among which the pieces of one length are ranked, at least, and pieces for which one is added.
+SALTS, SALT_ROWS = 16, 1 << 16
 
 
 def encode_pieces(docs: DataFrame, window: int = 1024, end_id: int = 0, text: str = "text", key: str = "doc_id", ranks_path: str | None = None) -> DataFrame:
@@ -151,9 +151,12 @@ def place(pieces: DataFrame, window: int = 1024, key: str = "doc_id") -> DataFra
     offset. Pieces of equal key and start are told apart by their order alone. The order of equal
     rows is free, any choice is a valid packing; ``pieces`` must be stored, not recomputed."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(key, "start"), F.lit(SALTS)))
+    # at most ``window`` lengths; a frequent one is dealt to as many tasks as its pieces need
+    histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
+    salts = spark.createDataFrame([(k, SALTS + n // SALT_ROWS) for k, n in histogram.items()], "length int, __salts bigint")
+    salts = salts.withColumn("length", F.col("length").cast(pieces.schema["length"].dataType))
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(key, "start"), F.col("__salts"))).drop("__salts")
     counts = stored(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")), "pack-counts")
-    histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("__n")).collect()}
     places = spark.sparkContext.broadcast(slots(plan(histogram, window)))
     upto = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
