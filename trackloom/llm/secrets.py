@@ -7,6 +7,7 @@ ledger lacks, each once however many paths hold it, and joins findings back to a
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +38,11 @@ RULES = (
     # runs of 32 or more: the same spans as all runs less the short ones, without listing those
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Goes up whenever RULES change, so that blobs are scanned again.
-RULE_VERSION = 1
+
+
+def version_of(rules: tuple[Rule, ...]) -> int:
+    """A number of the rules themselves, so that blobs are scanned again when any rule changes."""
+    return zlib.crc32("\n".join(map(repr, rules)).encode()) >> 1
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -59,7 +63,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(rows, begin, step, lambda acc: acc["found"])).otherwise(F.array().cast(f"array<{span}>"))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``versions`` and the ledger's new entries.
 
     Findings: path, blob, found (array of start, order, kind, end; sorted, empty if none), for each
@@ -68,6 +72,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_
     are scanned whole. Other columns of ``versions`` are left out, so none can clash. An empty table
     gives no findings and no entries.
     """
+    version = version_of(rules)
     rows = versions.select(F.col(path), text_of(text).alias("__text")).withColumn("blob", F.sha2("__text", 256))
     blobs = rows.select("blob", "__text")
     if ledger is not None:
