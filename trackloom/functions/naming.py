@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of log entries that are electronic warfare by themselves.
@@ -77,3 +77,50 @@ def default_cycle(ewar: Column, module: Column) -> Column:
 def link_kind(ewar: Column) -> Column:
     """The kind of line that an ewar link is drawn as."""
     return F.when(ewar.isin("scram", "disrupt", "web"), "tackle").when(ewar.isin("neut", "nos"), "neut").otherwise("ewar")
+
+
+def output_stem(path: Column) -> Column:
+    """A recording's name without folder, extension and time of day."""
+    name = F.regexp_replace(path, "^.*/", "")
+    return F.regexp_replace(name, r"( [0-9]{2}-[0-9]{2}-[0-9]{2}|\.[^.]*$)", "")
+
+
+def display_name(path: Column) -> Column:
+    """A file's name without folder and extension."""
+    return F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", "")
+
+
+def beside(path: Column, ending: str) -> Column:
+    """The path of a match's other file: its last extension replaced by ``ending``."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(ending))
+
+
+#: Patterns that data for show must not hold: mail addresses, network addresses, home folders.
+LEAKS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", r"/(home|Users)/[^/ ]+")
+
+
+def leaks(text: Column) -> Column:
+    """Whether a text holds one of LEAKS."""
+    out = F.lit(False)
+    for p in LEAKS:
+        out = out | F.rlike(text, F.lit(p))
+    return out
+
+
+def anonymised(names: DataFrame, name: str, seed: str, prefix: str) -> DataFrame:
+    """Each distinct name and its alias: a prefix and the name's place in the order of seeded digests,
+    so that the same names and seed give the same aliases. Places are counted by the digests' first
+    two digits and within these, not in one task."""
+    rows = names.select(name).distinct().withColumn("__h", F.sha2(F.concat(F.lit(seed), F.col(name)), 256)).withColumn("__b", F.substring("__h", 1, 2))
+    before = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # 256 rows
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", name)) + F.col("__before")
+    return rows.join(F.broadcast(before), "__b").select(name, F.concat(F.lit(prefix), F.lpad(place.cast("string"), 6, "0")).alias("alias"))
+
+
+def hull_icon(group: Column, name: Column, by_id: dict[int, str], words: list[tuple[str, str]], other: str) -> Column:
+    """A hull group's icon: by its number, else by the first word that its name holds, else ``other``."""
+    out = F.lit(other)
+    for word, icon in reversed(words):
+        out = F.when(F.contains(F.lower(name), F.lit(word)), icon).otherwise(out)
+    known = F.create_map(*[F.lit(x) for pair in by_id.items() for x in pair]) if by_id else None
+    return F.coalesce(F.try_element_at(known, group), out) if known is not None else out
