@@ -5,7 +5,8 @@ fallback, and the normaliser. From these a tokenizers model is rebuilt (merges i
 pieces' scores, or unigram scores), with the metaspace marker and byte fallback. Where no piece has
 a marker after another character, a text can be cut before each run of markers, and each distinct
 cut is encoded once a worker, in multithreaded batches. A worker checks its first distinct cuts against
-the sentencepiece library and fails if any differs.
+the sentencepiece library and fails if any differs. Models that can't be rebuilt with equal results
+(user-defined pieces, spaces unescaped or after words, other kinds) are refused.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ class Model:
     charsmap: bytes = b""
     dummy_prefix: bool = True
     squeeze: bool = True
+    escape: bool = True
+    suffix: bool = False
+    unknown_surface: str = " \u2047 "
 
 
 def _fields(data: bytes):
@@ -78,12 +82,26 @@ def parse(data: bytes) -> Model:
         elif number == 2:
             t = dict(_fields(value))
             m.kind, m.byte_fallback, m.unknown = t.get(3, UNIGRAM), bool(t.get(35, 0)), t.get(40, 0)
+            m.suffix = bool(t.get(24, 0))
+            m.unknown_surface = t[44].decode() if 44 in t else m.unknown_surface
         elif number == 3:
             n = dict(_fields(value))
             m.charsmap, m.dummy_prefix, m.squeeze = n.get(2, b""), bool(n.get(3, 1)), bool(n.get(4, 1))
+            m.escape = bool(n.get(5, 1))
     return m
 
 
+def refused(m: Model) -> str | None:
+    """Why a model can't be rebuilt with equal results; None if it can."""
+    if m.kind not in (UNIGRAM, BPE):
+        return "only unigram and BPE models are rebuilt"
+    if not m.escape or m.suffix:
+        return "spaces must be escaped by markers before words"
+    if any(k == USER for _, _, k in m.pieces):
+        return "user-defined pieces are not rebuilt"
+    return None
+
+
 def rebuilt(m: Model):
     """The tokenizers object without its own normaliser: ``normalised`` runs before it."""
     from tokenizers import Tokenizer, decoders, models
@@ -109,6 +127,8 @@ class Codec:
     def __init__(self, path: str, checked: int = CHECKED):
         with open(path, "rb") as f:
             self.model = parse(f.read())
+        if why := refused(self.model):
+            raise ValueError(f"{path}: {why}")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         self.backend = rebuilt(self.model)
@@ -178,8 +198,9 @@ class Codec:
 
     @functools.cached_property
     def _bytes(self) -> list[bytes]:
-        """What each id stands for, with spaces for markers."""
-        return [bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(MARKER, " ").encode() for p, _, k in self.model.pieces]
+        """What each id stands for, with spaces for markers; nothing for control pieces."""
+        told = {BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: self.model.unknown_surface.encode()}
+        return [told.get(k, lambda p: p.replace(MARKER, " ").encode())(p) for p, _, k in self.model.pieces]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Pieces' bytes joined; the backend's decoder where they are no whole characters."""
