@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators import geometry, windows
+from trackloom.operators import geometry, intervals, windows
 
 
 def hops(samples: DataFrame, key: str, us: str, at: list[str], tie: str, length: float, tolerance: float, gap: int) -> DataFrame:
@@ -112,3 +112,35 @@ def first_leaving(samples: DataFrame, key: str, us: str, at: list[str], tie: str
 def first_loss(events: DataFrame, key: str, us: str, kind: str, losses: list[str]) -> DataFrame:
     """The earliest of each key's events of the kinds that end a ship."""
     return events.filter(F.col(kind).isin(*losses)).groupBy(key).agg(F.min(us).alias("lost_us"), F.min_by(kind, F.struct(us, kind)).alias("by"))
+
+
+def match_seconds(us: Column, origin: Column) -> Column:
+    """Seconds of the match at a time of day."""
+    return (us - origin) / 1e6
+
+
+def clock_us(seconds: Column, origin: Column) -> Column:
+    return origin + F.round(seconds * 1e6).cast("long")
+
+
+def speed_errors(samples: DataFrame, key: str, us: str, at: list[str], told: str, least: int, most: int, unit: int) -> DataFrame:
+    """key, n_windows, error: how far the pace from each sample to the first one ``least`` or more
+    later (``most`` at the most) is from the mean of the speeds read at both, as a share of it; the
+    upper median of all windows."""
+    later = samples.select(key, us, *[F.col(c).alias(f"__{c}") for c in at], F.col(told).alias("__told"))
+    asked = samples.withColumn("__us", F.col(us)).withColumn(us, F.col(us) + least)
+    both = windows.asof(asked, later, key, us, [*[f"__{c}" for c in at], "__told"], ahead=True).filter(F.col("right_us") - F.col("__us") <= most)
+    way = geometry.norm(geometry.sub(tuple(F.col(c) for c in at), tuple(F.col(f"__{c}") for c in at)))
+    pace, mean = way / ((F.col("right_us") - F.col("__us")) / unit), (F.col(told) + F.col("__told")) / 2
+    rows = both.filter(mean > 0).select(key, (F.abs(pace - mean) / mean).alias("__e"))
+    middle = F.get(F.array_sort(F.collect_list("__e")), F.floor(F.count("__e") / 2).cast("int"))
+    return rows.groupBy(key).agg(F.count("__e").alias("n_windows"), middle.alias("error"))
+
+
+def re_entries(samples: DataFrame, key: str, us: str, outside: str, least: int) -> DataFrame:
+    """key, out_us, back_us: maximal runs of samples outside that last ``least`` or longer and the
+    sample back inside after them; a run that the track ends in has none."""
+    runs = intervals.runs(samples, key, [us], outside).filter(F.col("last_at") - F.col("first_at") >= least)
+    inside = samples.filter(~F.col(outside)).select(key, F.col(us).alias("__at"))
+    after = windows.asof(runs.withColumnRenamed("last_at", "__at"), inside, key, "__at", [], ahead=True)
+    return after.filter(F.col("right_us").isNotNull()).select(key, F.col("first_at").alias("out_us"), F.col("right_us").alias("back_us"))

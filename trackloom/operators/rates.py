@@ -27,3 +27,16 @@ def active_with_count(points: DataFrame, instants: DataFrame, keys: list[str], l
     spans = intervals.hold(counted, "us", length)
     hits = intervals.stab(instants, spans, "instant", length)
     return hits.groupBy("instant", *keys).agg(F.count(F.lit(1)).alias("active"), F.max("__n").alias("so_far"))
+
+
+def live_view(points: DataFrame, instants: DataFrame, key: str, kind: str, value: str, width: int, unit: int) -> DataFrame:
+    """Each key at each instant: hp and last_kind (of its latest point), rate per ``unit`` and kinds
+    over (instant - width, instant]."""
+    users = points.select(key).distinct()
+    days = instants.agg(F.collect_list("instant").alias("all"))  # the instants asked for
+    grid = users.join(F.broadcast(days)).select(key, F.explode("all").alias("us"))
+    last = windows.asof(grid, points.select(key, "us", F.col(value).alias("hp"), F.col(kind).alias("last_kind")), key, "us", ["hp", "last_kind"]).withColumnRenamed("us", "instant")
+    hits = intervals.stab(instants, intervals.hold(points.select(key, kind, value, "us"), "us", width), "instant", width)
+    rate = hits.groupBy("instant", key, kind).agg(F.sum(value).alias("__s")).groupBy("instant", key).agg((F.sum("__s") / (width / unit)).alias("rate"), F.count(F.lit(1)).alias("kinds"))
+    out = last.join(rate, ["instant", key], "left")
+    return out.select(key, "instant", "hp", "last_kind", F.coalesce("rate", F.lit(0.0)).alias("rate"), F.coalesce("kinds", F.lit(0)).cast("long").alias("kinds"))
