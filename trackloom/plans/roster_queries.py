@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import naming
-from trackloom.operators import contacts, rosters
+from trackloom.operators import contacts, geometry, observers, rosters
 from trackloom.plans.match_queries import DAY, EVENTS, events, table
 
 QUERIES: dict[str, object] = {}
@@ -93,3 +93,17 @@ def file_names(spark, sf_dir):
     path = F.concat(F.lit("dir/m"), F.col("page_id").cast("string"), F.lit(".csv"))
     text = F.concat(F.when(F.col("page_id") % 5 == 0, "mail a@b.example").otherwise("-"), F.when(F.col("page_id") % 7 == 0, " 10.0.0.7").otherwise(""))
     return pages.select("page_id", naming.output_stem(video).alias("stem"), naming.beside(path, ".json").alias("meta"), naming.beside(path, ".logs").alias("logs"), naming.display_name(path).alias("shown"), naming.leaks(text).alias("leaks"))
+
+
+@query()
+def observer_fit(spark, sf_dir):
+    """Observers of each ten days' readings, made for observers of one shape 200 km from the centre."""
+    side, e = 250_000.0, events(spark, sf_dir)
+    t = F.col("us") % (10 * DAY) / 1e6
+    start = [F.col("user_id") * k % 170_000 + 40_000.0 for k in (7919, 6271, 4243)]
+    way = [F.sin(t / 60 + i) * 20_000 for i in range(3)]
+    here = tuple(a + b for a, b in zip(start, way))
+    at = observers.places(F.lit(4), F.lit(200_000.0), side)
+    ranges = [F.round(geometry.norm(geometry.sub(here, o)) / 100) * 100 for o in at]
+    rows = e.select(F.floor(F.col("us") / (10 * DAY)).cast("string").alias("match"), F.col("user_id").cast("string").alias("pilot"), t.alias("t"), *[r.alias(n) for r, n in zip(ranges, ("d_a", "d_b", "d_c"))], (F.col("value") * 10).alias("speed"))
+    return observers.infer(rows, side, 100_000.0, 500_000.0)
