@@ -154,6 +154,8 @@ def _ranges(index: DataFrame, make_of, schema: str) -> DataFrame:
             out = {n: [] for n in names}
             for shard, offset, length in zip(b["shard"], b["offset"], b["length"]):
                 if last[0] != shard:
+                    if last[1] is not None:
+                        last[1].close()
                     system, path = fs.FileSystem.from_uri(shard)
                     last[:] = shard, system.open_input_file(path), None, None
                 if last[2] != offset:
