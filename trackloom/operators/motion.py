@@ -16,10 +16,10 @@ from trackloom.operators import geometry, intervals, windows
 def hops(samples: DataFrame, key: str, us: str, at: list[str], tie: str, length: float, tolerance: float, gap: int) -> DataFrame:
     """hop: whether a sample lies ``length`` (within ``tolerance``) from the one before it, not
     across a pause longer than ``gap``; and the distance as step."""
-    w = Window.partitionBy(key).orderBy(us, tie)
-    before = tuple(F.lag(c).over(w) for c in at)
-    rows = samples.withColumn("step", geometry.norm(geometry.sub(tuple(F.col(c) for c in at), before))).withColumn("__dt", F.col(us) - F.lag(us).over(w))
-    return rows.withColumn("hop", F.coalesce((F.abs(F.col("step") - length) <= tolerance) & (F.col("__dt") <= gap), F.lit(False))).drop("__dt")
+    rows = windows.row_framed(samples, key, us, tie, 1, {f"__{c}": lambda w, c=c: F.lag(c).over(w) for c in (*at, us)})
+    rows = rows.withColumn("step", geometry.norm(geometry.sub(tuple(F.col(c) for c in at), tuple(F.col(f"__{c}") for c in at))))
+    near = (F.abs(F.col("step") - length) <= tolerance) & (F.col(us) - F.col(f"__{us}") <= gap)
+    return rows.withColumn("hop", F.coalesce(near, F.lit(False))).drop(*[f"__{c}" for c in (*at, us)])
 
 
 def cubic(pre: Column, start: Column, end: Column, post: Column, share: Column, pre_t: Column, end_t: Column, post_t: Column) -> Column:
@@ -39,13 +39,13 @@ def segments(samples: DataFrame, key: str, us: str, columns: list[str], tie: str
     """Each sample with its neighbours: key, us, columns, and a struct seg of the next sample's time
     and values (t1, v1), those two back and two on (t0, v0, t2, v2), and whether the next, this one
     and the one after are hops."""
-    w = Window.partitionBy(key).orderBy(us, tie)
     flag = F.col(hop) if hop else F.lit(False)
-    near = {f"t{n}": F.lag(us, -i).over(w) for n, i in enumerate((-1, 1, 2))}
-    values = {f"v{n}": F.lag(F.struct(*columns), -i).over(w) for n, i in enumerate((-1, 1, 2))}
-    jumps = {f"j{i + 1}": F.coalesce(F.lag(flag, -i).over(w), F.lit(False)) for i in (0, 1, 2)}
-    rows = samples.withColumns({f"__{n}": c for n, c in (near | values | jumps).items()})
-    return rows.select(key, us, *columns, F.struct(*[F.col(f"__{n}").alias(n) for n in (near | values | jumps)]).alias("seg"))
+    near = {f"t{n}": lambda w, i=i: F.lag(us, -i).over(w) for n, i in enumerate((-1, 1, 2))}
+    values = {f"v{n}": lambda w, i=i: F.lag(F.struct(*columns), -i).over(w) for n, i in enumerate((-1, 1, 2))}
+    jumps = {f"j{i + 1}": lambda w, i=i: F.coalesce(F.lag(flag, -i).over(w), F.lit(False)) for i in (0, 1, 2)}
+    made = near | values | jumps
+    rows = windows.row_framed(samples, key, us, tie, 2, {f"__{n}": c for n, c in made.items()})
+    return rows.select(key, us, *columns, F.struct(*[F.col(f"__{n}").alias(n) for n in made]).alias("seg"))
 
 
 def sampled(grid: DataFrame, samples: DataFrame, key: str, us: str, columns: list[str], tie: str, gap: int, smooth: bool = False, hop: str | None = None) -> DataFrame:

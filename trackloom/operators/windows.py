@@ -97,12 +97,12 @@ def running(df: DataFrame, keys: list[str], us: str, tie: str, columns: dict[str
 
 
 def row_framed(df: DataFrame, key: str, us: str, tie: str, half: int, columns: dict[str, object]) -> DataFrame:
-    """Columns over ``half`` rows on either side; each of ``columns`` maps a window to a column. A
-    key's rows are dealt by rank, with the neighbours' rows that a frame reaches."""
+    """Columns over up to ``half`` rows on either side; each of ``columns`` maps a window in time
+    order to a column. A key's rows are dealt by rank, with the rows that such a frame reaches."""
     rows = running(df, [key], us, tie, {"__rank": ("count", None)})
     at = lambda c: F.floor(c / F.lit(RANKS)).cast("long")
     dealt = rows.withColumn("__part", F.explode(F.array_distinct(F.array(at(F.col("__rank") - half), at(F.col("__rank")), at(F.col("__rank") + half)))))
-    w = Window.partitionBy(key, "__part").orderBy("__rank").rowsBetween(-half, half)
+    w = Window.partitionBy(key, "__part").orderBy("__rank")
     made = dealt.withColumns({n: make(w) for n, make in columns.items()})
     return made.filter(F.col("__part") == at(F.col("__rank"))).drop("__part", "__rank")
 
@@ -110,7 +110,7 @@ def row_framed(df: DataFrame, key: str, us: str, tie: str, half: int, columns: d
 def hampel(df: DataFrame, key: str, us: str, value: str, half: int = 5, sigmas: float = 3.0, tie: str = "event_id") -> DataFrame:
     """Spike flags against the median of ``half`` rows on either side: more than ``sigmas`` times
     1.4826 MAD away; frames under 3 values and zero deviations flag nothing."""
-    rows = row_framed(df, key, us, tie, half, {"__m": lambda w: F.percentile(value, F.lit(0.5)).over(w), "__v": lambda w: F.collect_list(value).over(w)})
+    rows = row_framed(df, key, us, tie, half, {"__m": lambda w: F.percentile(value, F.lit(0.5)).over(w.rowsBetween(-half, half)), "__v": lambda w: F.collect_list(value).over(w.rowsBetween(-half, half))})
     d = F.array_sort(F.transform("__v", lambda x: F.abs(x - F.col("__m"))))
     n = F.size("__v")
     mad = (F.get(d, F.floor((n - 1) / 2).cast("int")) + F.get(d, F.floor(n / 2).cast("int"))) / 2
@@ -120,7 +120,7 @@ def hampel(df: DataFrame, key: str, us: str, value: str, half: int = 5, sigmas:
 
 def running_median3(df: DataFrame, key: str, us: str, value: str, tie: str = "event_id", name: str = "smooth") -> DataFrame:
     """Upper median of the row and its neighbours; at the ends the larger of two."""
-    rows = row_framed(df, key, us, tie, 1, {"__g": lambda w: F.array_sort(F.collect_list(value).over(w))})
+    rows = row_framed(df, key, us, tie, 1, {"__g": lambda w: F.array_sort(F.collect_list(value).over(w.rowsBetween(-1, 1)))})
     return rows.withColumn(name, F.get("__g", F.floor(F.size("__g") / 2).cast("int"))).drop("__g")
 
 
@@ -138,8 +138,8 @@ def asof(left: DataFrame, right: DataFrame, key: str, us: str, take: list[str],
 
 def neighbours(df: DataFrame, key: str, us: str, columns: list[str], tie: str) -> DataFrame:
     """prev_ and next_ of the columns in time order."""
-    w = Window.partitionBy(key).orderBy(us, tie)
-    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns} | {f"next_{c}": F.lead(c).over(w) for c in columns})
+    back = {f"prev_{c}": lambda w, c=c: F.lag(c).over(w) for c in columns}
+    return row_framed(df, key, us, tie, 1, back | {f"next_{c}": lambda w, c=c: F.lead(c).over(w) for c in columns})
 
 
 def interpolated(grid: DataFrame, series: DataFrame, key: str, us: str, value: str, gap: int) -> DataFrame:
