@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import threading
@@ -80,6 +82,16 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BOUND, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: workers live on between tasks, several to
+    an executor, and would each keep their largest task's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, Iterable]]], schema: str) -> DataFrame:
     """Apply a function to column batches, within the tasks that hold the rows.
 
@@ -91,11 +103,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     types = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work, out = make(), None
         for batch in batches:
             if batch.num_rows:
                 out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in types], schema=types)
+        del work, out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_batches, scratch, stored, text_of
+from trackloom.llm.common import give_back, map_batches, scratch, stored, text_of
 from trackloom.session import ship_package
 
 #: Signature values compared at once, and their number.
@@ -34,7 +34,7 @@ BATCH, HASHES = 32, 192
 #: Values in a band; each permutation of the signature is cut into bands of them.
 ROWS, PERMUTATIONS = 8, 5
 #: Turns in which each class asks one hub; turns end when fewer than one in YIELD asked pairs links.
-TURNS, YIELD = 4, 20
+TURNS, YIELD = 6, 4
 #: Bytes of words in a block; a cell compares one block with itself or with another one.
 CELL_BYTES = 2 << 20
 #: Rows up to which a list of ids is broadcast; longer ones are joined by shuffle.
@@ -306,6 +306,23 @@ def _rare_keys(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return keys.join(several, "h")
 
 
+def numbered_sets(words: list[str], k: int) -> tuple[list[np.ndarray], int]:
+    """Each text's distinct shingles as numbers that stand for the same words in all of them, and how
+    many numbers there are. Words are numbered, then beginnings of shingles word by word."""
+    ids: dict[str, int] = {}
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for t in words for w in t.split(" ")), np.int64)
+    ends = np.cumsum([t.count(" ") + 1 for t in words])
+    begun = flat
+    for i in range(1, k):
+        begun = np.unique(begun * len(ids) + np.append(flat[i:], np.zeros(min(i, len(flat)), np.int64)), return_inverse=True)[1]
+    top = int(begun.max()) + 1 if len(begun) else 0
+    short: dict[str, int] = {}
+    out = []
+    for t, start, end in zip(words, [0, *ends[:-1]], ends):
+        out.append(np.unique(begun[start : end - k + 1]) if end - start >= k else np.array([top + short.setdefault(t, len(short))]))
+    return out, top + len(short)
+
+
 def _cell_links(table: pa.Table, k: int, percent: int, least: np.ndarray) -> pa.Table:
     """Links between components of one cell's rows (rep, comp, side, words, signature): from rarest
     shingles by the cell's own counts to signatures to the sets themselves. Components that a link
@@ -313,11 +330,11 @@ def _cell_links(table: pa.Table, k: int, percent: int, least: np.ndarray) -> pa.
     sides = np.array(table["side"].to_pylist())
     words, comps, reps = table["words"].to_pylist(), table["comp"].to_pylist(), table["rep"].to_pylist()
     sigs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
-    sets = [shingle_hashes(w.encode(), k) for w in words]
-    _, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sets, total = numbered_sets(words, k)
+    counts = np.bincount(np.concatenate(sets), minlength=total)
     size = np.array([len(x) for x in sets])
     keys, rests = [], []
-    for own in np.split(places, np.cumsum(size)[:-1]):
+    for own in sets:
         first = own[np.lexsort((own, counts[own]))][: prefix_length(len(own), percent)]
         alone = int((counts[first] == 1).sum())
         keys.append(first[alone:])
@@ -328,12 +345,7 @@ def _cell_links(table: pa.Table, k: int, percent: int, least: np.ndarray) -> pa.
     owner, rest, ends = owner[order], np.concatenate(rests)[order], np.cumsum(np.bincount(flat, minlength=len(counts)))
     cross = bool(sides.any() and not sides.all())
     label = np.unique(comps, return_inverse=True)[1]
-    met = np.zeros(len(keys), bool)
-
-    @functools.lru_cache(4096)
-    def exact(i: int) -> set:
-        return shingle_set(words[i].encode().split(b" "), k)
-
+    met, marked = np.zeros(len(keys), bool), np.zeros(total, bool)
     out: dict[str, list] = {c: [] for c in ("a", "b", "ca", "cb")}
     for i, own in enumerate(keys):
         met[:] = False
@@ -344,11 +356,16 @@ def _cell_links(table: pa.Table, k: int, percent: int, least: np.ndarray) -> pa.
         js = np.flatnonzero(met[:i] & (label[:i] != label[i]))
         js = js[(size[js] * 100 >= percent * size[i]) & (size[i] * 100 >= percent * size[js])]
         js = js[sides[js] != sides[i]] if cross else js
+        marked[sets[i]] = True
         for j in js[_compared(np.broadcast_to(sigs[i], (len(js), HASHES)), sigs[js], least)].tolist():
-            if label[i] != label[j] and linked(exact(i), exact(j), percent):
+            if label[i] == label[j]:
+                continue
+            common = int(marked[sets[j]].sum())
+            if 100 * common >= percent * (size[i] + size[j] - common):
                 label[label == label[j]] = label[i]
                 for name, v in zip(out, (reps[i], reps[j], comps[i], comps[j])):
                     out[name].append(v)
+        marked[sets[i]] = False
     return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
 
@@ -369,7 +386,13 @@ def _in_cells(keys: DataFrame, texts: DataFrame, signatures: DataFrame, k: int,
     ids = _few(own.select("rep"))
     rows = rows.join(texts.join(ids, "rep", "left_semi"), "rep").join(signatures.join(ids, "rep", "left_semi"), "rep")
     ship_package(keys.sparkSession)
-    return rows.groupBy("cluster", "i", "j").applyInArrow(lambda t: _cell_links(t, k, percent, least), "a bigint, b bigint, ca bigint, cb bigint")
+
+    def links(cell: pa.Table) -> pa.Table:
+        out = _cell_links(cell, k, percent, least)
+        give_back()
+        return out
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(links, "a bigint, b bigint, ca bigint, cb bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -33,7 +33,7 @@ LEAST_ROWS, LEAST_ODDS = 3, 2.0
 #: (such clauses in 1000 characters).
 STRONG, DENSITIES = 3.0, (0.5, 1.5, 5.0)
 #: Words that a task remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 #: Word classes of the grammar, in the languages of the corpus.
 TARGETS = frozenset("you your yours you're he she they them him her his their u ur du dich dir dein deine ihr euch er sie tu te toi vous votre ton ta il elle ils elles usted ustedes tú ti él ella ellos ellas".split())
