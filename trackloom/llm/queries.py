@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, language_id, media, merkle, near_dedup, packing, pii, secrets, sentencepiece_codec, token_counts, toxicity
+from trackloom.llm import bpe, conversation_trie, exact_search, language_id, media, merkle, near_dedup, packing, periodic_runs, pii, secrets, sentencepiece_codec, token_counts, toxicity
 
 #: The key of the pseudonyms in the registered query and the pipeline; give your own in production.
 PSEUDONYM_SECRET = "trackloom-example"
@@ -64,9 +65,40 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def repeated(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that op12 takes: in one document of ten those from a place on repeat with a period,
+    both by the CRC of doc_id."""
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or not n or h % 10:
+        return words
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return words[: start + period] + [words[start + i % period] for i in range(period, n - start)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(_docs(spark, sf_dir), rewrite=repeated))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = exact_search.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 64)
+    return exact_search.top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
+_OPERATORS = (
+    *(op1_token_counts, op2_sentencepiece, op3_media_columns, op4_secret_scans, op5_language_id, op6_toxicity, op7_document_fingerprints),
+    *(op8_packing, op9_pii, op10_minhash_near_dedup, op11_conversation_prefix_trie, op12_periodic_runs, op13_exact_top_k),
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_media_columns, op4_secret_scans, op5_language_id, op6_toxicity, op7_document_fingerprints, op8_packing, op9_pii, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in _OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scans": secrets.oracle(), "op7_document_fingerprints": merkle.oracle()}
+    return {"op4_secret_scans": secrets.oracle(), "op7_document_fingerprints": merkle.oracle(), "op11_conversation_prefix_trie": conversation_trie.oracle(), "op13_exact_top_k": exact_search.oracle(64, 20, 20)}
