@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import combat_queries, library_queries, match_queries, motion_queries, roster_queries, small_queries, telemetry_queries, track_queries
+from trackloom.plans import combat_queries, exit_queries, library_queries, match_queries, motion_queries, roster_queries, small_queries, telemetry_queries, track_queries
 
-MODULES = (match_queries, telemetry_queries, combat_queries, motion_queries, library_queries, track_queries, roster_queries, small_queries)
+MODULES = (match_queries, telemetry_queries, combat_queries, motion_queries, library_queries, track_queries, roster_queries, small_queries, exit_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: q for m in MODULES for n, q in m.QUERIES.items()}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in MODULES:
+        if twice := out.keys() & m.QUERIES.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:

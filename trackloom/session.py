@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,10 +30,19 @@ def build_session(app: str = "trackloom", cores: int | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names (spark.checkpoint.dir); only where it
-    names none, as in local tests, to a folder of this machine."""
+    """Checkpoints go to the folder that the session names (spark.checkpoint.dir); only where a local
+    session names none, as in tests, to a folder of this machine. A cluster must name one."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, where its lineage ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def ship_package(spark: SparkSession) -> None:
