@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.naming import IN_LOGS, WITHOUT_EXTENSION
-from trackloom.operators import library
+from trackloom.operators import library, snapshots, sync
 from trackloom.plans.match_queries import table
+from trackloom.session import shared_folder
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -78,13 +79,64 @@ def ops(spark, sf_dir) -> DataFrame:
     return changes.unionByName(fresh)
 
 
-@query(f"""WITH {FILES}, {OPS}, b AS (SELECT sha256('new' || k) AS blob FROM range(0, 35) r(k)),
-j AS (SELECT o.*, f.sha AS cur, f.owner, c.owner AS csv_owner, b.blob FROM ops o LEFT JOIN files f USING (path) LEFT JOIN files c ON c.path = {_key_sql('o.path')} || '.csv' LEFT JOIN b ON b.blob = o.sha)
-SELECT op, path, CASE WHEN cur IS DISTINCT FROM prev THEN 'conflict' WHEN owner IS NOT NULL AND NOT coalesce(op = 'put' AND (sha = cur OR lower(path) LIKE '%.json'), false) AND coalesce(csv_owner, owner) <> 3 THEN 'rejected'
-WHEN op = 'put' AND NOT coalesce(sha = cur, false) AND blob IS NULL THEN 'missing' ELSE 'ok' END AS status FROM j""")
+_STATUS = """CASE WHEN cur IS DISTINCT FROM prev THEN 'conflict' WHEN owner IS NOT NULL AND NOT path LIKE '%/' AND NOT coalesce(op = 'put' AND (sha = cur OR lower(path) LIKE '%.json'), false) AND coalesce(csv_owner, owner) <> 3 THEN 'rejected'
+WHEN op = 'put' AND NOT path LIKE '%/' AND NOT coalesce(sha = cur, false) AND blob IS NULL THEN 'missing' ELSE 'ok' END"""
+JUDGED = f"""b AS (SELECT sha256('new' || k) AS blob FROM range(0, 35) r(k)),
+j AS (SELECT o.*, f.sha AS cur, f.owner, c.owner AS csv_owner, b.blob FROM ops o LEFT JOIN files f USING (path) LEFT JOIN files c ON c.path = {_key_sql('o.path')} || '.csv' LEFT JOIN b ON b.blob = o.sha),
+judged AS (SELECT op, path, sha, {_STATUS} AS status FROM j)"""
+
+
+def _blobs(spark) -> DataFrame:
+    return spark.range(35).select(F.sha2(F.concat(F.lit("new"), F.col("id").cast("string")), 256).alias("sha"))
+
+
+@query(f"WITH {FILES}, {OPS}, {JUDGED} SELECT op, path, status FROM judged")
 def library_check(spark, sf_dir):
-    blobs = spark.range(35).select(F.sha2(F.concat(F.lit("new"), F.col("id").cast("string")), 256).alias("sha"))
-    return library.checked(files(spark, sf_dir), ops(spark, sf_dir), blobs, 3).select("op", "path", "status")
+    return library.checked(files(spark, sf_dir), ops(spark, sf_dir), _blobs(spark), 3).select("op", "path", "status")
+
+
+@query(f"""WITH {FILES}, {OPS}, {JUDGED}, g AS (SELECT * FROM judged WHERE status = 'ok')
+SELECT path, sha, size, owner, public, 2 AS version FROM files ANTI JOIN g USING (path)
+UNION ALL SELECT g.path, g.sha, 1, coalesce(f.owner, 3), coalesce(f.public, false), 2 FROM g LEFT JOIN files f USING (path) WHERE op = 'put'""")
+def library_commit(spark, sf_dir):
+    """The whole change set is refused, as part of it is stale; what is right of it then goes in."""
+    shared = snapshots.Library(spark, shared_folder(spark, "library"))
+    shared.claim(1, files(spark, sf_dir))
+    changes = ops(spark, sf_dir).withColumn("size", F.when(F.col("op") == "put", F.lit(1).cast("long")))
+    whole = shared.commit(changes, _blobs(spark), 3)
+    right = library.checked(shared.read(), changes, _blobs(spark), 3).filter("status = 'ok'").drop("status")
+    part = shared.commit(right, _blobs(spark), 3)
+    if (whole.status, part.status) != ("conflict", "ok"):
+        raise ValueError(f"commits gave {whole.status} and {part.status}")
+    return shared.read().withColumn("version", F.lit(part.version).cast("int"))
+
+
+#: What a member's copy was at the last sync, and is now: changed, removed and moved files.
+_BASE = "SELECT path, CASE WHEN size % 7 = 2 THEN concat('o', sha) ELSE sha END AS sha, size FROM files WHERE size % 11 <> 5"
+_LOCAL = "SELECT CASE WHEN size % 17 = 3 THEN concat('S7/', path) ELSE path END AS path, CASE WHEN size % 9 = 4 THEN concat('n', sha) ELSE sha END AS sha, size FROM base WHERE size % 13 <> 1"
+_SEND = "SELECT sha FROM files UNION SELECT sha FROM local WHERE size % 5 <> 3 OR sha NOT LIKE 'n%'"
+
+
+@query(f"""WITH RECURSIVE {FILES}, base AS ({_BASE}), local AS ({_LOCAL}), send AS ({_SEND}),
+w AS (SELECT path, b.sha AS base, l.sha AS local, f.sha AS remote FROM base b FULL JOIN local l USING (path) FULL JOIN files f USING (path)),
+ops AS (SELECT CASE WHEN local IS NULL THEN 'delete' ELSE 'put' END AS op, path, local AS sha, remote AS prev, CASE WHEN path LIKE '%/' THEN path ELSE {_key_sql('path')} END AS k FROM w WHERE local IS DISTINCT FROM base AND local IS DISTINCT FROM remote),
+gone AS (SELECT prev AS sha, arg_max(k, path) AS k0 FROM ops WHERE op = 'delete' AND coalesce(prev, '') <> '' GROUP BY prev),
+e AS (SELECT DISTINCT k, k0 FROM ops JOIN gone USING (sha) WHERE op = 'put' AND k <> k0), e2 AS (SELECT k, k0 FROM e UNION SELECT k0, k FROM e),
+reach AS (SELECT k, k AS other FROM e2 UNION SELECT r.k, e2.k0 FROM reach r JOIN e2 ON e2.k = r.other),
+u AS (SELECT k, min(other) AS unit FROM reach GROUP BY k),
+j AS (SELECT o.*, coalesce(u.unit, o.k) AS unit, f.sha AS cur, f.owner, c.owner AS csv_owner, s.sha AS blob FROM ops o LEFT JOIN u USING (k) LEFT JOIN files f ON f.path = o.path LEFT JOIN files c ON c.path = {_key_sql('o.path')} || '.csv' LEFT JOIN send s ON s.sha = o.sha),
+s AS (SELECT path, unit, {_STATUS} AS status FROM j), undone AS (SELECT path FROM s WHERE unit IN (SELECT unit FROM s WHERE status <> 'ok')),
+z AS (SELECT w.*, undone.path IS NOT NULL AS undone, undone.path IS NOT NULL OR (remote IS DISTINCT FROM base AND local IS NOT DISTINCT FROM base) AS theirs FROM w LEFT JOIN undone USING (path)),
+r AS (SELECT path, CASE WHEN theirs THEN remote ELSE local END AS local, CASE WHEN theirs THEN remote WHEN local IS DISTINCT FROM base THEN local ELSE base END AS base, undone FROM z)
+SELECT path, local, base, undone, status FROM r LEFT JOIN (SELECT path, status FROM s WHERE status <> 'ok') USING (path) WHERE local IS NOT NULL OR base IS NOT NULL""")
+def library_sync(spark, sf_dir):
+    remote = files(spark, sf_dir)
+    base = spark.sql(_BASE.replace("FROM files", "FROM {files}"), files=remote)
+    local = spark.sql(_LOCAL.replace("FROM base", "FROM {base}"), base=base)
+    send = spark.sql(_SEND.replace("FROM files", "FROM {files}").replace("FROM local", "FROM {local}"), files=remote, local=local)
+    got = sync.synced(base.select("path", "sha"), local, remote, send, 3)
+    marked = got.state.join(got.undone.withColumn("undone", F.lit(True)), "path", "left").join(got.refused, "path", "left")
+    return marked.select("path", "local", "base", F.coalesce("undone", F.lit(False)).alias("undone"), "status")
 
 
 #: Moves: all files of S0/ and S2/Day0/ go to new folders, with the folders themselves.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,6 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="trackloom-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder, where its lineage ends."""
     ensure_checkpoint_dir(df.sparkSession)
