@@ -59,14 +59,6 @@ def test_rosters_merge_as_the_plain_fold(spark):
     assert got == want
 
 
-def test_season_keeps_teams_and_splits_clashes(spark):
-    rows = [("s", "m1", 1, 0, p) for p in "abc"] + [("s", "m1", 1, 1, p) for p in "def"]
-    rows += [("s", "m2", 2, 0, p) for p in "abx"] + [("s", "m2", 2, 1, p) for p in "cyz"]  # both sides know team 1
-    rows += [("s", "m3", 3, 0, p) for p in "yz"] + [("s", "m3", 3, 1, p) for p in "dx"]
-    got = {(r.match, r.side): r.team for r in rosters.season_fold(spark.createDataFrame(rows, "season string, match string, us long, side int, pilot string")).collect()}
-    assert got == {("m1", 0): 1, ("m1", 1): 2, ("m2", 0): 1, ("m2", 1): 3, ("m3", 0): 3, ("m3", 1): 1}
-
-
 def test_greedy_pairs_take_the_heaviest_first(spark):
     rows = [("s", 1, 10, 5), ("s", 1, 11, 7), ("s", 2, 11, 6), ("s", 2, 10, 4), ("s", 3, 10, 4), ("t", 1, 10, 1)]
     got = contacts.greedy_pairs(spark.createDataFrame(rows, "season string, old long, new long, n long"), "season", "old", "new", "n").collect()

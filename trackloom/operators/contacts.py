@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import geometry, intervals
+from trackloom.session import cut
 
 
 def within(points: DataFrame, id_: str, at: list[str], radius: float, on: list[str] | None = None) -> DataFrame:
@@ -69,9 +72,15 @@ def paired(files: DataFrame, audio: DataFrame, name: str) -> DataFrame:
 
 def greedy_pairs(overlaps: DataFrame, group: str, old: str, new: str, weight: str) -> DataFrame:
     """One-to-one pairs of each group in order of weight (of equals the lower old, then new): a pair
-    is taken if neither side is yet. A group is one season's teams, folded in order."""
-    entry = F.struct((-F.col(weight)).alias("w"), F.col(old).alias("o"), F.col(new).alias("n"))
-    rows = overlaps.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    free = lambda taken, x: ~F.exists(taken, lambda y: (y["o"] == x["o"]) | (y["n"] == x["n"]))
-    kept = F.aggregate("all", F.slice("all", F.lit(1), F.lit(0)), lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
-    return rows.select(group, F.explode(kept).alias("x")).select(group, F.col("x.o").alias(old), F.col("x.n").alias(new), (-F.col("x.w")).alias(weight))
+    is taken if neither side is yet. In rounds, pairs that come first for both of their sides are
+    taken and the others of these sides dropped; what is left has the same order."""
+    rank = F.struct((-F.col(weight)).alias("w"), F.col(old).alias("o"), F.col(new).alias("n"))
+    left, taken = cut(overlaps.select(group, old, new, weight)), []
+    while not left.isEmpty():
+        firsts = left.withColumn("__r", rank)
+        for side in (old, new):
+            firsts = firsts.withColumn(f"__{side}", F.min("__r").over(Window.partitionBy(group, side)))
+        won = cut(firsts.filter((F.col("__r") == F.col(f"__{old}")) & (F.col("__r") == F.col(f"__{new}"))).select(group, old, new, weight))
+        taken.append(won)
+        left = cut(left.join(won.select(group, old), [group, old], "left_anti").join(won.select(group, new), [group, new], "left_anti"))
+    return functools.reduce(DataFrame.unionByName, taken) if taken else left

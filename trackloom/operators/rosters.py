@@ -1,9 +1,8 @@
 """Rosters from names as they were read: spellings of one name, pilots across observers, types that
-only change once, and a season's teams. Each group is one match's or one season's few names."""
+only change once."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,41 +65,6 @@ def locked_types(readings: DataFrame, track: str, time: str, kind: str, tie: str
     return locked.join(lost, track, "left").join(counts, track, "left").select(track, "locked", "lost_at", F.coalesce("conflicts", F.lit(0)).cast("long").alias("conflicts"))
 
 
-SEASON = "season string, match string, side int, pilot string, team int"
-
-
-def season_fold(sides: DataFrame) -> DataFrame:
-    """season, match, side, pilot, team from rows (season, match, us, side, pilot): matches in the
-    order of time (then name). A side is the team that most of its known pilots are on (of equals
-    the lower); if both sides name one team, the one with more votes (of equals the first) has it
-    and the other is a new one; so is a side without known pilots. Unknown pilots join their side's
-    team, known ones stay on theirs. One season's matches are one group: each depends on those
-    before it."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        team_of: dict[str, int] = {}
-        n, out = 0, []
-        for (_, match), game in rows.sort_values(["us", "match", "side", "pilot"]).groupby(["us", "match"], sort=True):
-            votes = {}
-            for side, own in game.groupby("side"):
-                known = own["pilot"].map(team_of).dropna().astype(int).value_counts()
-                votes[side] = min(((-c, t) for t, c in known.items()), default=None)
-            chosen: dict[int, int] = {}
-            for side in sorted(votes, key=lambda s: (votes[s] or (0, 0), s)):
-                if votes[side] and votes[side][1] not in chosen.values():
-                    chosen[side] = votes[side][1]
-            for side in sorted(votes):
-                if side not in chosen:
-                    n += 1
-                    chosen[side] = n
-            for side, pilot in zip(game["side"], game["pilot"]):
-                team_of.setdefault(pilot, chosen[side])
-                out.append((rows["season"].iloc[0], match, int(side), pilot, chosen[side]))
-        return pd.DataFrame(out, columns=["season", "match", "side", "pilot", "team"])
-
-    return sides.select("season", "match", "us", "side", "pilot").groupBy("season").applyInPandas(fold, SEASON)
-
-
 def hidden_names(rows: DataFrame, frame: str, slot: str, pilot: str) -> DataFrame:
     """Rows of a frame without a name, with the slots of the named ones around them (from_slot,
     to_slot; null at an end) and their number, run by run."""

@@ -48,8 +48,12 @@ def settle(assigned: DataFrame, match: str, pilot: str, known: Column, override:
 
 def sides(teams: DataFrame, match: str, side: str, team: str) -> DataFrame:
     """Each side's season team: the one most of its known pilots are on (of equals the lower). Where
-    both sides vote for one team, the side with fewer votes (of equals the second) has none."""
+    both sides vote for one team, the side with fewer votes (of equals the second) takes its next
+    best, or none. votes are those for the team taken."""
     votes = teams.filter(F.col(team).isNotNull()).groupBy(match, side, team).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.withColumn("__k", F.row_number().over(Window.partitionBy(match, side).orderBy(F.desc("votes"), team))).filter("__k = 1").drop("__k")
-    clash = F.row_number().over(Window.partitionBy(match, team).orderBy(F.desc("votes"), side))
-    return best.withColumn("team", F.when(clash == 1, F.col(team))).select(match, side, "team", "votes")
+    places = votes.withColumn("__k", F.row_number().over(Window.partitionBy(match, side).orderBy(F.desc("votes"), team))).filter("__k <= 2")
+    at = lambda k: F.max(F.when(F.col("__k") == k, F.struct(F.col(team).alias("team"), "votes")))
+    both = places.groupBy(match, side).agg(at(1).alias("__first"), at(2).alias("__second"))
+    clash = F.row_number().over(Window.partitionBy(match, F.col("__first.team")).orderBy(F.desc("__first.votes"), side))
+    taken = F.when(clash == 1, F.col("__first")).otherwise(F.col("__second"))
+    return both.withColumn("__t", taken).select(match, side, F.col("__t.team").alias("team"), F.col("__t.votes").alias("votes"))

@@ -119,7 +119,8 @@ def team_settlement(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT c_nationkey AS match, c_custkey % 2 AS side, CASE WHEN c_custkey % 5 < 4 THEN c_custkey % 7 // 2 END AS team FROM customer), v AS (SELECT match, side, team, count(*) AS votes FROM t WHERE team IS NOT NULL GROUP BY ALL),
-b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY match, side ORDER BY votes DESC, team) = 1) SELECT match, side, CASE WHEN row_number() OVER (PARTITION BY match, team ORDER BY votes DESC, side) = 1 THEN team END AS team, votes FROM b""")
+k AS (SELECT *, row_number() OVER (PARTITION BY match, side ORDER BY votes DESC, team) AS k FROM v), b AS (SELECT *, row_number() OVER (PARTITION BY match, team ORDER BY votes DESC, side) AS c FROM k WHERE k = 1)
+SELECT match, side, CASE WHEN b.c = 1 THEN b.team ELSE n.team END AS team, CASE WHEN b.c = 1 THEN b.votes ELSE n.votes END AS votes FROM b LEFT JOIN (SELECT * FROM k WHERE k = 2) n USING (match, side)""")
 def side_votes(spark, sf_dir):
     c = F.col("c_custkey")
     t = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("match"), (c % 2).alias("side"), F.when(c % 5 < 4, F.floor(c % 7 / 2)).alias("team"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import naming
-from trackloom.operators import contacts, geometry, observers, rosters
+from trackloom.operators import geometry, observers, rosters, seasons
 from trackloom.plans.match_queries import DAY, EVENTS, events, table
 
 QUERIES: dict[str, object] = {}
@@ -51,21 +51,28 @@ def roster_merge(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select((F.col("o_custkey") % 4).cast("string").alias("season"), F.floor(F.col("o_orderkey") / 60).cast("string").alias("match"), F.floor(F.col("o_orderkey") / 60).cast("long").alias("us"), (F.col("o_orderkey") % 2).cast("int").alias("side"), (F.col("o_custkey") % 200).cast("string").alias("pilot")).distinct()
+    """Pilots by the side they were on in each match; a pilot on both is on the first."""
+    o, match = table(spark, sf_dir, "orders"), F.floor(F.col("o_orderkey") / 60)
+    rows = o.select((match % 4).cast("string").alias("season"), match.cast("string").alias("match"), match.cast("long").alias("us"), (F.col("o_orderkey") % 2).cast("int").alias("side"), ((F.col("o_custkey") + match) % 50).cast("string").alias("pilot"))
+    once = rows.groupBy("season", "match", "us", "pilot").agg(F.min("side").alias("side"))
+    return once.withColumn("folder", (F.col("us") % 3).cast("string")).withColumn("internal", F.col("us") % 11 == 0)
 
 
 @query()
 def season_teams(spark, sf_dir):
-    return rosters.season_fold(_sides(spark, sf_dir))
+    return seasons.teams(seasons.matches_of(_sides(spark, sf_dir)))
 
 
 @query()
 def season_rebuild(spark, sf_dir):
-    """Old teams meet new ones by the pilots that they share, the largest overlap first."""
-    s = _sides(spark, sf_dir)
-    overlap = s.select("season", (F.col("pilot").cast("long") % 9).alias("old"), (F.col("pilot").cast("long") % 7).alias("new"), "pilot").distinct().groupBy("season", "old", "new").agg(F.count(F.lit(1)).alias("n"))
-    return contacts.greedy_pairs(overlap, "season", "old", "new", "n")
+    """A season after some of its matches were marked internal: names and pilots set by hand stay."""
+    sides = _sides(spark, sf_dir)
+    before = seasons.roster(seasons.teams(seasons.matches_of(sides)))
+    after = seasons.roster(seasons.teams(seasons.matches_of(sides.withColumn("internal", F.col("us") % 3 == 0))))
+    old = before.withColumn("manual", F.col("pilot").cast("int") % 17 == 5)
+    names = before.select("season", "team").distinct().withColumn("name", F.when(F.col("team") % 2 == 1, F.concat(F.lit("Team "), F.chr(F.col("team") + 64))))
+    pilots, teams = seasons.rebuilt(old, names, after)
+    return pilots.join(teams, ["season", "team"])
 
 
 @query("""WITH l AS (SELECT c_nationkey AS match, 'Supplier ' || (c_custkey % 50) || CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE '' END AS label, max(c_custkey % 2) AS kind, min(c_custkey % 4) AS far FROM customer GROUP BY 1, 2),
