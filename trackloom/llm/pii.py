@@ -4,8 +4,12 @@ Card numbers (Luhn), bank accounts (check digits), social security numbers, phon
 addresses and dates are recognised, validated, and permuted within their format under a key; e-mail
 addresses keep their shape under a keyed permutation of letters and digits. Equal values map to
 equal pseudonyms in all documents, different values of a format to different ones. What is part of
-the format stays: an account's country and the letters of its bank's code, a phone number's country
-prefix, an e-mail address's last label, all blanks and punctuation.
+the format stays: an account's country and the letters of its bank's code, the country code of a phone
+number that begins with +, an e-mail address's last label, all blanks and punctuation. A phone number
+ends where a valid card number begins.
+
+Not recognised: dates written month first, accounts in lower case, social security numbers without
+hyphens, phone numbers of fewer than ten digits.
 """
 
 from __future__ import annotations
@@ -89,27 +93,43 @@ def _only(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
-def _card(m: re.Match, key: bytes) -> str | None:
-    d = _only(m[0])
+def _card(value: str, key: bytes) -> str | None:
+    d = _only(value)
     if luhn_digit(d[:-1]) != d[-1]:
         return None
     body = permuted_digits(d[:-1], key, b"card")
-    return _into(m[0], body + luhn_digit(body))
-
-
-def _iban(m: re.Match, key: bytes) -> str | None:
-    s = m[0].replace(" ", "")
-    country, check, body = s[:2], s[2:4], s[4:]
-    if iban_check(country, body) != check:
+    return _into(value, body + luhn_digit(body))
+
+
+def account_end(value: str) -> int:
+    """Where the longest account ends that ``value`` (as the pattern finds it) begins with: at its end
+    or at a blank, with right check digits; 0 if none does. The remainder is carried from token to token."""
+    head = int("".join(str(int(c, 36)) for c in value[:4]))
+    rest, size, best = 0, 0, 0
+    for i, c in enumerate(value[4:], 4):
+        if c == " ":
+            if size >= 8 and (rest * 1_000_000 + head) % 97 == 1:
+                best = i
+        else:
+            x = int(c, 36)
+            rest = (rest * (10 if x < 10 else 100) + x) % 97
+            size += 1
+    return len(value) if size >= 8 and (rest * 1_000_000 + head) % 97 == 1 else best
+
+
+def _iban(value: str, key: bytes) -> str | None:
+    s = value.replace(" ", "")
+    country, body = s[:2], s[4:]
+    if account_end(value) != len(value):
         return None
-    new = "".join(c for c in permuted_digits(_only(body), key, b"iban" + re.sub(r"\d", "0", s).encode()))
+    new = permuted_digits(_only(body), key, b"iban" + re.sub(r"\d", "0", s).encode())
     body = _into(body, new)
     it = iter(country + iban_check(country, body) + body)
-    return "".join(c if c == " " else next(it) for c in m[0])
+    return "".join(c if c == " " else next(it) for c in value)
 
 
-def _ssn(m: re.Match, key: bytes) -> str | None:
-    area, group, serial = (int(x) for x in m[0].split("-"))
+def _ssn(value: str, key: bytes) -> str | None:
+    area, group, serial = (int(x) for x in value.split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     areas = [a for a in range(1, 900) if a != 666]
@@ -118,27 +138,35 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
     return f"{areas[n // 9999 // 99]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
 
 
-def _phone(m: re.Match, key: bytes) -> str | None:
-    d = _only(m[0])
-    keep = len(d) - 10 if m[0][0] == "+" and len(d) > 10 else 0
+#: Country codes of one and two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+
+
+def _phone(value: str, key: bytes) -> str | None:
+    d = _only(value)
     if not 10 <= len(d) <= 15:
         return None
-    return _into(m[0], d[:keep] + permuted_digits(d[keep:], key, b"phone" + d[:keep].encode()))
+    code = country_code(d) if value[0] == "+" else ""
+    return _into(value, code + permuted_digits(d[len(code) :], key, b"phone" + code.encode()))
 
 
-def _address(m: re.Match, key: bytes) -> str | None:
-    parts = [int(x) for x in m[0].split(".")]
+def _address(value: str, key: bytes) -> str | None:
+    parts = [int(x) for x in value.split(".")]
     if max(parts) > 255:
         return None
     n = feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, key, b"ipv4")
     return ".".join(str(x) for x in n.to_bytes(4, "big"))
 
 
-def _date(m: re.Match, key: bytes) -> str | None:
+def _date(value: str, key: bytes) -> str | None:
     """Dates as year-month-day, or with points or slashes as day.month.year."""
-    sep = "-" if "-" in m[0] else "." if "." in m[0] else "/"
-    a, b, c = (int(x) for x in m[0].split(sep))
-    y, mo, d = (a, b, c) if m[0][4] == sep else (c, b, a)
+    sep = "-" if "-" in value else "." if "." in value else "/"
+    a, b, c = (int(x) for x in value.split(sep))
+    y, mo, d = (a, b, c) if value[4] == sep else (c, b, a)
     try:
         day = datetime.date(y, mo, d)
     except ValueError:
@@ -147,16 +175,16 @@ def _date(m: re.Match, key: bytes) -> str | None:
         return None
     days = (_LAST_DAY - _FIRST_DAY).days + 1
     new = _FIRST_DAY + datetime.timedelta(feistel((day - _FIRST_DAY).days, days, key, b"date"))
-    return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if m[0][4] == sep else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+    return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if value[4] == sep else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
 
 
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def _mail(m: re.Match, key: bytes) -> str | None:
+def _mail(value: str, key: bytes) -> str | None:
     """The local part and the domain but its last label, character kind by character kind; an
     address is told apart from others of its shape by the whole of it, in lower case."""
-    body, dot, top = m[0].rpartition(".")
+    body, dot, top = value.rpartition(".")
     low = body.lower()
     kinds = [_LETTERS if c in _LETTERS else _DIGITS if c in _DIGITS else "" for c in low]
     new = iter(permuted_symbols([k.index(c) for c, k in zip(low, kinds) if k], [len(k) for k in kinds if k], key, b"mail" + re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "a", low)).encode()))
@@ -179,33 +207,52 @@ _PATTERN = re.compile(
 )
 
 
+_CARD = re.compile(r"(?<![A-Za-z0-9])[0-9]{4}(?:([ -]?)[0-9]{4}){2}\1[0-9]{1,7}(?![A-Za-z0-9])", re.A)
+
+
+def _card_inside(text: str, start: int, end: int) -> int | None:
+    """Where a valid card number begins between ``start`` and ``end``; of several the first that begins
+    as issuers' do (3 to 6), else the first."""
+    found, m = [], _CARD.search(text, start)
+    while m and m.start() < end:
+        d = _only(m[0])
+        if luhn_digit(d[:-1]) == d[-1]:
+            found.append(m.start())
+        m = _CARD.search(text, m.start() + 1)
+    return next((i for i in found if text[i] in "3456"), found[0] if found else None)
+
+
+def pseudonym(kind: str, value: str, key: bytes) -> str | None:
+    """The pseudonym of a value that has the form of its kind; None if it is not valid."""
+    return _WORK[kind](value, key)
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with pseudonyms, and (kind, start, end, pseudonym) of each, in code points of the
     original."""
     out, found, at = [], [], 0
     m = _PATTERN.search(text)
     while m:
-        kind = next(k for k in KINDS if m[k] is not None)
-        new = _pseudonym(kind, m, key)
-        if new is not None:
-            out += text[at : m.start()], new
-            found.append((kind, m.start(), m.end(), new))
-            at = m.end()
-            m = _PATTERN.search(text, at)
+        kind, end = next(k for k in KINDS if m[k] is not None), m.end()
+        if kind == "iban":  # it may end before the match's last tokens
+            end = m.start() + account_end(m[0])
+        elif kind == "phone":  # it leaves a card number that begins in it whole
+            card = _card_inside(text, m.start() + 1, end)
+            if card is not None:
+                m = _PATTERN.match(text, m.start(), card) or m
+                end = m.end() if m.end() <= card else m.start()
+                kind = next(k for k in KINDS if m[k] is not None)
+        new = pseudonym(kind, text[m.start() : end], key) if end > m.start() else None
+        if new is None:  # others may begin within the match
+            m = _PATTERN.search(text, m.start() + 1)
             continue
-        # an account may end before the match's last tokens; else others may begin within the match
-        end = text.rfind(" ", m.start(), m.end()) if kind == "iban" else -1
-        shorter = _PATTERN.match(text, m.start(), end) if end > 0 else None
-        m = shorter or _PATTERN.search(text, m.start() + 1)
+        out += text[at : m.start()], new
+        found.append((kind, m.start(), end, new))
+        at = end
+        m = _PATTERN.search(text, at)
     return "".join([*out, text[at:]]), found
 
 
-def _pseudonym(kind: str, m: re.Match, key: bytes) -> str | None:
-    if kind == "iban" and iban_check(m[0][:2], m[0].replace(" ", "")[4:]) != m[0][2:4]:
-        return None
-    return _WORK[kind](m, key)
-
-
 def derived_key(secret: str) -> bytes:
     return hashlib.sha256(b"pseudonyms|" + secret.encode()).digest()
 

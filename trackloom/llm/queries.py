@@ -32,7 +32,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.scan(_docs(spark, sf_dir))[0])
+    """Half of the documents are scanned first, then all with the ledger of that scan: only what it
+    lacks is read again."""
+    docs = _docs(spark, sf_dir)
+    _, ledger = secrets.scan(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
+    return secrets.digests(secrets.scan(docs, ledger)[0])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,22 +45,42 @@ def version_of(rules: tuple[Rule, ...]) -> int:
     return zlib.crc32("\n".join(map(repr, rules)).encode()) >> 1
 
 
+#: Matches of a text whose places are added up at once.
+CHUNK = 512
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, kind, end) of a rule's spans in code points, end exclusive. The texts
-    between matches give their places."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    rows = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("size"), F.transform(judged, lambda x: F.length(x)).alias("judged"))
-    span = "struct<start:int,order:int,kind:string,end:int>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))
+    between matches give their places: lengths are added up within chunks of matches, then over the
+    chunks, so the work grows with the number of matches."""
+    lengths = lambda texts: F.transform(texts, lambda x: F.length(x))
+    whole, judged = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
+    gaps = F.slice(lengths(F.split(text, rule.pattern, -1)), F.lit(1), F.size(whole))
+    rows = F.arrays_zip(gaps.alias("gap"), lengths(whole).alias("size"), lengths(judged).alias("judged"))
+    local, span = "array<struct<start:int,end:int,judged:int>>", "struct<start:int,order:int,kind:string,end:int>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        new = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["judged"] >= rule.least, F.concat(acc["found"], new)).otherwise(acc["found"]).alias("found"))
+        end = start + x["size"]
+        new = F.struct(start.alias("start"), end.alias("end"), x["judged"].alias("judged"))
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(new)).alias("found"))
+
+    def chunks(all_: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(local).alias("found"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(all_, i * CHUNK + 1, F.lit(CHUNK)), begin, step))
+
+    def placed(parts: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets"))
+        offsets = F.aggregate(parts, begin, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["offsets"], F.array(acc["at"])).alias("offsets")))
+        moved = lambda c, o: F.transform(F.filter(c["found"], lambda x: x["judged"] >= rule.least), lambda x: F.struct((x["start"] + o).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), (x["end"] + o).alias("end")))
+        return F.flatten(F.zip_with(parts, offsets["offsets"], moved))
 
-    return F.when(F.rlike(text, F.lit(rule.pattern)), F.aggregate(rows, begin, step, lambda acc: acc["found"])).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), _let(rows, lambda r: _let(chunks(r), placed))).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
