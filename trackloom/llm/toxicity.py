@@ -1,15 +1,15 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words map to classes: insult (a lexicon of words and word beginnings, learned with weights), threat
-(a fixed list; words of the lexicon are insults), target (who is addressed), negation and reported
-speech. Five weighted transducers, one a class, are composed into one machine: that of reported
-speech rewrites the insults and threats in its scope, that of negation those left plain, that of
-targets those left plain after an address; those of insults and of threats keep the first of their
-kind and turn a plain one into a targeted one where an address follows. The composition reads a
-clause's words in order; its arcs add the learned log-odds of the context that an insult, or a
-threat, is in. A text's score is the logistic of its strongest clause, whose word's weight is read
-together with how dense strong clauses are in the text, so isolated words count only through the
-clauses that they stand in.
+Words map to classes: insult (a lexicon of words and word beginnings, learned with weights and
+classed by their steps), threat (a fixed list; words of the lexicon are insults), target (who is
+addressed), negation and reported speech. Five weighted transducers, one a class, are composed into
+one machine: that of reported speech rewrites the insults and threats in its scope, that of negation
+those left plain, that of targets those left plain after an address; those of insults and of threats
+keep the first of their kind's context and the strongest step, and turn a plain one into a targeted
+one where an address follows. The weights are on the arcs alone, a learned one for each pair of class
+and context: the composition reads a clause's words in order, and what its path adds up to is the
+clause's weight. A text's score is the logistic of the sum of its clauses' weights by its length, so
+one clause counts less the longer the text is; no word counts but through the path of its clause.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,10 @@ SAMPLE_ROWS = 20_000
 STEMS = (4, 5, 6, 7, 8)
 #: Toxic rows that must show an entry, and its least log-odds.
 LEAST_ROWS, LEAST_ODDS = 3, 2.0
-#: Least weight of a clause that counts for how dense a text's are, and the steps of that density
-#: (such clauses in 1000 characters).
-STRONG, DENSITIES = 3.0, (0.5, 1.5, 5.0)
+#: Steps of an insult's log-odds, and characters that a text's length counts for at least, about.
+STEPS, SHORT = (2, 3, 4, 5, 6, 7), 200
+#: Strength of the ridge that keeps rare paths' weights small.
+RIDGE = 0.03
 #: Words that a task remembers at most.
 REMEMBERED = 100_000
 
@@ -45,21 +47,28 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CLAUSE = re.compile(r"[.!?;:\n]+(?=\s|$)|\n|\s[-–—|]\s")
 KINDS = ("insult", "threat")
 CONTEXTS = ("plain", "targeted", "negated", "reported")
-#: A threat's contexts, the one that counts for a text with several first.
-THREAT_CONTEXTS = ("threat_targeted", "threat_plain", "threat_reported", "threat_negated")
+#: Word classes that a path's weight depends on: kind and step.
+CLASSES = (*(("insult", step) for step in STEPS), ("threat", 0))
 #: Lexicon's mark of a threat.
 THREAT = -1.0
 
 
+def label(kind: str, step: int, context: str) -> str:
+    return f"{context}/{step}" if kind == "insult" else f"threat_{context}"
+
+
+PATHS = tuple(label(*c, x) for c in CLASSES for x in CONTEXTS)
+
+
 class Transducer:
     """A deterministic transducer: from a start, (state, symbol) leads to a state, writes a symbol
-    (or nothing) and adds a weight a kind. A symbol without an arc stays as it is."""
+    (or nothing) and adds a weight. A symbol without an arc stays as it is."""
 
     def __init__(self, start, arcs: dict):
         self.start, self.arcs = start, arcs
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol, (0.0, 0.0)))
+        return self.arcs.get((state, symbol), (state, symbol, 0.0))
 
 
 def compose(first: Transducer, second: Transducer, symbols: list) -> Transducer:
@@ -72,9 +81,9 @@ def compose(first: Transducer, second: Transducer, symbols: list) -> Transducer:
         state = ahead.pop()
         for symbol in symbols:
             one, passed, w = first.step(state[0], symbol)
-            two, written, v = second.step(state[1], passed) if passed is not None else (state[1], None, (0.0, 0.0))
+            two, written, v = second.step(state[1], passed) if passed is not None else (state[1], None, 0.0)
             new = (one, two)
-            arcs[state, symbol] = new, written, tuple(x + y for x, y in zip(w, v))
+            arcs[state, symbol] = new, written, w + v
             if new not in known:
                 known.add(new)
                 ahead.append(new)
@@ -83,67 +92,56 @@ def compose(first: Transducer, second: Transducer, symbols: list) -> Transducer:
 
 def scope(trigger: str, context: str) -> Transducer:
     """From the word of class ``trigger`` on, plain insults and threats are in ``context``."""
-    arcs: dict = {(state, trigger): ("inside", None, (0.0, 0.0)) for state in ("outside", "inside")}
-    for kind in KINDS:
-        arcs["inside", (kind, "plain")] = "inside", (kind, context), (0.0, 0.0)
+    arcs: dict = {(state, trigger): ("inside", None, 0.0) for state in ("outside", "inside")}
+    arcs |= {("inside", (c, "plain")): ("inside", (c, context), 0.0) for c in CLASSES}
     return Transducer("outside", arcs)
 
 
 def addressed() -> Transducer:
     """After a target plain insults and threats are targeted; targets pass on, as they may follow."""
-    arcs: dict = {(state, "target"): ("inside", "target", (0.0, 0.0)) for state in ("outside", "inside")}
-    for kind in KINDS:
-        arcs["inside", (kind, "plain")] = "inside", (kind, "targeted"), (0.0, 0.0)
+    arcs: dict = {(state, "target"): ("inside", "target", 0.0) for state in ("outside", "inside")}
+    arcs |= {("inside", (c, "plain")): ("inside", (c, "targeted"), 0.0) for c in CLASSES}
     return Transducer("outside", arcs)
 
 
-def first_of(kind: str, weights: dict[str, float]) -> Transducer:
-    """Ends in the context of the clause's first insult, or threat, and adds that context's weight;
-    a target after a plain one makes it targeted."""
-    i = KINDS.index(kind)
-    of = lambda w: tuple(w if j == i else 0.0 for j in range(len(KINDS)))
-    weight = lambda c: weights.get(label(kind, c), 0.0)
-    arcs: dict = {("none", (kind, c)): (c, (kind, c), of(weight(c))) for c in CONTEXTS}
-    arcs["plain", "target"] = "targeted", "target", of(weight("targeted") - weight("plain"))
+def first_of(kind: str, paths: dict[str, float]) -> Transducer:
+    """Ends in the context of the clause's first insult, or threat, and the strongest step; the arcs
+    add up to the weight of that path. A target after a plain one makes it targeted."""
+    steps = [step for k, step in CLASSES if k == kind]
+    weight = lambda step, context: paths.get(label(kind, step, context), 0.0)
+    arcs: dict = {}
+    for new in steps:
+        for c in CONTEXTS:
+            symbol = ((kind, new), c)
+            arcs["none", symbol] = (c, new), symbol, weight(new, c)
+            for at in CONTEXTS:
+                for old in steps:
+                    if new > old:
+                        arcs[(at, old), symbol] = (at, new), symbol, weight(new, at) - weight(old, at)
+        arcs[("plain", new), "target"] = ("targeted", new), "target", weight(new, "targeted") - weight(new, "plain")
     return Transducer("none", arcs)
 
 
 class Grammar:
-    """The composition under learned context weights."""
+    """The composition under learned weights of paths."""
 
-    def __init__(self, weights: dict[str, float]):
-        symbols = ["target", "negation", "report", *((kind, "plain") for kind in KINDS)]
+    def __init__(self, paths: dict[str, float]):
+        symbols = ["target", "negation", "report", *((c, "plain") for c in CLASSES)]
         machine = scope("report", "reported")
-        for part in (scope("negation", "negated"), addressed(), *(first_of(k, weights) for k in KINDS)):
+        for part in (scope("negation", "negated"), addressed(), first_of("insult", paths), first_of("threat", paths)):
             machine = compose(machine, part, symbols)
         self.machine = machine
 
-    def read(self, kinds: list[str | None]) -> list[tuple[str, str, float]]:
-        """(kind, context, weight) of the clause's insult and threat, those that it has."""
-        state, weight = self.machine.start, [0.0] * len(KINDS)
+    def read(self, kinds: list) -> tuple[list[str], float]:
+        """The paths of the clause's insult and threat, those that it has, and their weight. ``kinds``
+        has a class, a word class's name or None for each word."""
+        state, weight = self.machine.start, 0.0
         for kind in kinds:
             if kind is not None:
-                state, _, w = self.machine.arcs[state, (kind, "plain") if kind in KINDS else kind]
-                weight = [x + y for x, y in zip(weight, w)]
+                state, _, w = self.machine.arcs[state, (kind, "plain") if isinstance(kind, tuple) else kind]
+                weight += w
         (_, insult), threat = state
-        return [(k, c, w) for k, c, w in zip(KINDS, (insult, threat), weight) if c in CONTEXTS]
-
-
-def label(kind: str, context: str) -> str:
-    return context if kind == "insult" else f"{kind}_{context}"
-
-
-_UNWEIGHTED = Grammar({})
-
-
-def read_words(kinds: list[str | None]) -> list[tuple[str, str]]:
-    """(kind, context) of the clause's insult and threat, those that it has."""
-    return [(k, c) for k, c, _ in _UNWEIGHTED.read(kinds)]
-
-
-def read_clause(kinds: list[str | None]) -> str | None:
-    """The context that the clause is accepted with: of CONTEXTS for its insult, else of THREAT_CONTEXTS, or None."""
-    return next((label(*x) for x in read_words(kinds)), None)
+        return [label(k, at[1], at[0]) for k, at in zip(KINDS, (insult, threat)) if at != "none"], weight
 
 
 def features(word: str):
@@ -171,52 +169,59 @@ class Lexicon(dict):
         return out
 
 
-def matched(text: str, lexicon: Lexicon, grammar: Grammar) -> list[tuple[int, int, str, float, float]]:
-    """Clauses with an insult or a threat: start, end, context, the strongest word's weight (0 for a
-    threat) and the path's weight. A clause with both is there twice."""
+def class_of(word: str, lexicon: Lexicon):
+    low, weight = word.lower(), lexicon[word]
+    if weight > 0:
+        return ("insult", min(STEPS[-1], max(STEPS[0], round(weight))))
+    return ("threat", 0) if weight else "report" if low in REPORTS else "negation" if low in NEGATIONS else "target" if low in TARGETS else None
+
+
+def matched(text: str, lexicon: Lexicon, grammar: Grammar) -> list[tuple[int, int, list[str], float]]:
+    """Clauses with an insult or a threat: start, end, their paths and weight."""
     hits = [m for m in _WORD.finditer(text) if lexicon[m[0]]]
     if not hits:
         return []
     out, at, i = [], 0, 0
     for m in [*_CLAUSE.finditer(text), None]:
-        end = m.start() if m else len(text)
-        own = []
+        end, first = m.start() if m else len(text), i
         while i < len(hits) and hits[i].start() < end:
-            own.append(hits[i])
             i += 1
-        if own:
-            kinds = []
-            for w in _WORD.finditer(text, at, end):
-                low = w[0].lower()
-                weight = lexicon[w[0]]
-                kinds.append("insult" if weight > 0 else "threat" if weight else "report" if low in REPORTS else "negation" if low in NEGATIONS else "target" if low in TARGETS else None)
-            for kind, context, path in grammar.read(kinds):
-                out.append((at, end, label(kind, context), max(lexicon[h[0]] for h in own) if kind == "insult" else 0.0, path))
+        if i > first:
+            out.append((at, end, *grammar.read([class_of(w[0], lexicon) for w in _WORD.finditer(text, at, end)])))
         at = m.end() if m else end
     return out
 
 
-def strength(weight: float, density: int) -> str:
-    return f"{round(weight)}/{density}"
+def scale_of(text: str) -> float:
+    """What a clause counts for in a text of this length: it is one in so many characters."""
+    return 1000.0 / (len(text) + SHORT)
 
 
-def density_of(text: str, found: list) -> int:
-    """The step of DENSITIES that the text's clauses with an insult of STRONG or more reach."""
-    n = 1000 * sum(c[3] >= STRONG for c in found) / max(1, len(text))
-    return sum(n >= x for x in DENSITIES)
+def logistic_weights(rows: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> np.ndarray:
+    """Weights of the columns and the bias that fit the labels best, by Newton's method."""
+    a = np.hstack([rows, np.ones((len(rows), 1))])
+    w, least = np.zeros(a.shape[1]), np.diag([ridge] * rows.shape[1] + [1e-6])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve(a.T @ (a * (weight * p * (1 - p) + 1e-9)[:, None]) + least, a.T @ (weight * (toxic - p)) - least @ w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Lexicon weights, context weights of insults and of threats, and the bias, from the texts of
-    labelled rows outside the held-out part. Word rows are counted in a Spark aggregation; the
-    lexicon, every entry over the limits, comes to the driver and is bounded by the sample; the
-    contexts' counts are made in tasks."""
+    """Lexicon weights, weights of paths, and the bias, from the texts of labelled rows outside the
+    held-out part. Word rows are counted in a Spark aggregation; the lexicon, every entry over the
+    limits, comes to the driver and is bounded by the sample. Paths are counted in tasks; a row of
+    counts for each sampled text, about 2 x ``sample_rows`` at most, goes to the driver, which fits
+    a logistic regression."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & in_training(key)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     sizes = {int(r[0]): r[1] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         p = 0.5 if not sizes else (0.02 if 0 in sizes else 0.98)
         bias = math.log(p / (1 - p))
-        return {"weights": {}, "contexts": dict.fromkeys(CONTEXTS, 0.0), "threats": dict.fromkeys(THREAT_CONTEXTS, bias), "bias": bias}
+        return {"weights": {}, "paths": {}, "bias": bias}
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / sizes[1])).otherwise(min(1.0, sample_rows / sizes[0]))
     chosen = known.filter(draw < share)  # about 2 x sample_rows rows of two numbers at most
@@ -241,63 +246,44 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weights = {r["f"]: float(r["w"]) for r in top}
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def contexts():
+    def paths():
         lexicon, grammar = Lexicon(shared.value), Grammar({})
 
         def work(b):
-            out = {"context": [], "weight": [], "y": []}
+            out = {"counts": [], "scale": [], "y": []}
             for t, toxic in zip(b["__text"], b["toxic"]):
-                found = [c[:4] for c in matched(t, lexicon, grammar)]
-                if found:
-                    # an insult comes before threats, so that these are learned from texts without one
-                    *_, context, weight = max(found, key=lambda c: (c[3], -THREAT_CONTEXTS.index(c[2]) if c[2] in THREAT_CONTEXTS else 0, c[2]))
-                    for name, v in zip(out, (context, strength(weight, density_of(t, found)) if weight else "", int(toxic))):
-                        out[name].append(v)
-                else:
-                    for name, v in zip(out, ("", "", int(toxic))):
-                        out[name].append(v)
+                counts = [0] * len(PATHS)
+                for clause in matched(t, lexicon, grammar):
+                    for path in clause[2]:
+                        counts[PATHS.index(path)] += 1
+                for column, v in zip(out.values(), (counts, scale_of(t), int(toxic))):
+                    column.append(v)
             return out
 
         return work
 
-    rows = map_batches(sample.select("__text", "toxic"), contexts, "context string, weight string, y int").groupBy("context", "weight").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).collect()
+    rows = map_batches(sample.select("__text", "toxic"), paths, "counts array<int>, scale double, y int").collect()
+    if not rows:
+        return {"weights": weights, "paths": {}, "bias": 0.0}
+    y = np.array([r["y"] for r in rows], float)
+    counts = np.array([r["counts"] for r in rows], float) * np.array([[r["scale"]] for r in rows])
     # the sample's shares of labels are brought back to the corpus's
-    keep1, keep0 = min(1.0, sample_rows / sizes[1]), min(1.0, sample_rows / sizes[0])
-    by: dict[tuple, list[float]] = {}
-    for r in rows:
-        for k in ((r[0], r[1]), ("any", r[1]), (r[0], None)):
-            a = by.setdefault(k, [0.0, 0.0])
-            a[0] += r[2] / keep1
-            a[1] += (r[3] - r[2]) / keep0
-    prior = (sizes[1] + 1) / (sizes[0] + sizes[1] + 2)
-    logit = lambda a, b, p: math.log((a + 4 * p) / (b + 4 * (1 - p)))
-    table = {w: logit(*ab, prior) for (c, w), ab in by.items() if c == "any" and w}
-    whole = [sum(by.get((c, None), [0, 0])[i] for c in CONTEXTS) for i in (0, 1)]
-    share1 = (whole[0] + prior) / (sum(whole) + 1)
-    shift = {c: logit(*by.get((c, None), [0.0, 0.0]), share1) - math.log(share1 / (1 - share1)) for c in CONTEXTS}
-    none = by.get(("", None), [0.0, 0.0])
-    alone = [by.get((c, None), [0.0, 0.0]) for c in THREAT_CONTEXTS]
-    odds_of = logit(sum(x[0] for x in alone), sum(x[1] for x in alone), prior)
-    threats = {c: logit(*x, 1 / (1 + math.exp(-odds_of))) for c, x in zip(THREAT_CONTEXTS, alone)}
-    return {"weights": weights, "contexts": shift, "threats": threats, "by_weight": table, "bias": logit(*none, prior)}
+    keep = np.where(y == 1, min(1.0, sample_rows / sizes[1]), min(1.0, sample_rows / sizes[0]))
+    # in a fixed order: sums of the same sample come out the same, however its rows are dealt
+    order = np.lexsort((*counts.T, y))
+    fitted = logistic_weights(counts[order], y[order], (keep.mean() / keep)[order])
+    return {"weights": weights, "paths": dict(zip(PATHS, fitted[:-1].tolist())), "bias": float(fitted[-1])}
 
 
 def sizes_of(sample: DataFrame) -> dict[int, int]:
     return {int(r[0]): r[1] for r in sample.groupBy("toxic").count().collect()}
 
 
-def grammar_of(model: dict) -> Grammar:
-    """The grammar with the model's context weights: shifts for insults, whole log-odds for threats."""
-    return Grammar(model["contexts"] | model["threats"])
-
-
 def score_of(text: str, model: dict, lexicon: Lexicon, grammar: Grammar) -> tuple[float, list[tuple[int, int, str, float]]]:
+    """The score, and the clauses with start, end, paths (joined by a blank) and weight."""
     found = matched(text, lexicon, grammar)
-    logit, density = model["bias"], density_of(text, found)
-    for _, _, context, weight, path in found:
-        base = 0.0 if context in model["threats"] else model["by_weight"].get(strength(weight, density), weight + model["bias"])
-        logit = max(logit, base + path)
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), [c[:4] for c in found]
+    logit = model["bias"] + scale_of(text) * sum(c[3] for c in found)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), [(a, b, " ".join(paths), w) for a, b, paths, w in found]
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -314,7 +300,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0
 
     def make():
         m = shared.value
-        lexicon, grammar = Lexicon(m["weights"]), grammar_of(m)
+        lexicon, grammar = Lexicon(m["weights"]), Grammar(m["paths"])
 
         def work(b):
             found = [score_of(t or "", m, lexicon, grammar) for t in b[text]]
