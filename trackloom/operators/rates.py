@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import intervals, windows
 
+#: Parts that asked instants are dealt to.
+PARTS = 16
+
 
 def by_source(points: DataFrame, instants: DataFrame, target: str, source: str, value: str, width: int, unit: int, least: float) -> DataFrame:
     """At each instant (instant), each target's rate of ``value`` by source over (instant - width, instant], per
@@ -32,9 +35,10 @@ def active_with_count(points: DataFrame, instants: DataFrame, keys: list[str], l
 def live_view(points: DataFrame, instants: DataFrame, key: str, kind: str, value: str, width: int, unit: int) -> DataFrame:
     """Each key at each instant: hp and last_kind (of its latest point), rate per ``unit`` and kinds
     over (instant - width, instant]."""
-    users = points.select(key).distinct()
-    days = instants.agg(F.collect_list("instant").alias("all"))  # the instants asked for
-    grid = users.join(F.broadcast(days)).select(key, F.explode("all").alias("us"))
+    # the instants asked for are dealt to parts, and every key meets each part
+    users = points.select(key).distinct().withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    asked = instants.select(F.col("instant").alias("us"), F.pmod(F.xxhash64("instant"), F.lit(PARTS)).cast("int").alias("__part"))
+    grid = users.join(asked, "__part").select(key, "us")
     last = windows.asof(grid, points.select(key, "us", F.col(value).alias("hp"), F.col(kind).alias("last_kind")), key, "us", ["hp", "last_kind"]).withColumnRenamed("us", "instant")
     hits = intervals.stab(instants, intervals.hold(points.select(key, kind, value, "us"), "us", width), "instant", width)
     rate = hits.groupBy("instant", key, kind).agg(F.sum(value).alias("__s")).groupBy("instant", key).agg((F.sum("__s") / (width / unit)).alias("rate"), F.count(F.lit(1)).alias("kinds"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import combat_queries, exit_queries, library_queries, match_queries, motion_queries, roster_queries, small_queries, telemetry_queries, track_queries
+from trackloom.plans import combat_queries, exit_queries, library_queries, match_queries, motion_queries, roster_queries, small_queries, suppression_queries, telemetry_queries, track_queries
 
-MODULES = (match_queries, telemetry_queries, combat_queries, motion_queries, library_queries, track_queries, roster_queries, small_queries, exit_queries)
+MODULES = (match_queries, telemetry_queries, combat_queries, motion_queries, library_queries, track_queries, roster_queries, small_queries, exit_queries, suppression_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
