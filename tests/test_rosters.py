@@ -43,20 +43,21 @@ def test_clusters_equal_the_plain_fold(spark):
 
 
 def test_rosters_merge_as_the_plain_fold(spark):
-    rows = [("m", n, 1 + i % 7, i % 3 > 0) for i, n in enumerate(names(5, 70))]
-    got = {r.name: r.pilot for r in rosters.merge_rosters(spark.createDataFrame(rows, "m string, name string, n long, f boolean"), "m", "name", "n", "f").collect()}
-    total, may = {}, {}
-    for _, n, k, f in rows:
-        total[n], may[n] = total.get(n, 0) + k, may.get(n, False) or f
-    pilots: list[str] = []
-    want = {}
-    for n in sorted(total, key=lambda x: (-total[x], x)):
-        most = 2 if len(n) >= 6 else 1
-        near = min(((edits(n, p), i) for i, p in enumerate(pilots) if edits(n, p) <= most), default=None)
-        want[n] = pilots[near[1]] if near else n if may[n] else None
-        if not near and may[n]:
-            pilots.append(n)
-    assert got == want
+    rows = sorted({(m, i % 3, n): (m, i % 3, n, 1 + i % 7, i % 4 > 0) for m in ("m", "k") for i, n in enumerate([*names(5 + len(m), 90), "Ivo", "Iva", "Ix", "abcde", "abcdeff"])}.values())
+    frame = spark.createDataFrame(rows, "m string, o int, name string, n long, f boolean")
+    got = {(r.m, r.o, r.name): r.pilot for r in rosters.merge_rosters(frame, "m", "o", "name", "n", "f").collect()}
+    want, pilots = {}, {"m": [], "k": []}
+    for m, o, n, _, may in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        near = min(((edits(n, p), i) for i, p in enumerate(pilots[m]) if edits(n, p) <= (2 if len(p) >= 6 else 1)), default=None)
+        want[m, o, n] = pilots[m][near[1]] if near else n if may else None
+        if not near and may:
+            pilots[m].append(n)
+    assert got == want and len(set(want.values())) > 5
+
+
+def test_founders_have_a_name_and_enough_distances(spark):
+    rows = spark.createDataFrame([("abc", 3, 70, False), ("abc", 2, 70, False), ("ab", 9, 70, False), ("abc", 9, 70, True), ("abc", 3, 10, False), ("abc", 4, 100, False)], "name string, n long, frames int, hull boolean")
+    assert [r[0] for r in rows.select(rosters.founds(rows.name, rows.n, rows.frames, rows.hull)).collect()] == [True, False, False, False, True, False]
 
 
 def test_greedy_pairs_take_the_heaviest_first(spark):

@@ -3,9 +3,14 @@ only change once."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators import fuzzy
+from trackloom.session import cut
+
 
 def cluster_names(readings: DataFrame, keys: list[str], name: str, time: str) -> DataFrame:
     """keys, name, leader: names in the order in which they appear; one goes to the leader equal to
@@ -27,27 +32,38 @@ def cluster_names(readings: DataFrame, keys: list[str], name: str, time: str) ->
 def founds(name: Column, samples: Column, frames: Column, hulls: Column) -> Column:
     """Whether a track may found a pilot: 3 characters or more, distances in 5 % of the frames and 3
     at least, and not the name of a hull (``hulls``: whether it is one)."""
-    return (F.length(name) >= 3) & (samples >= F.greatest(F.lit(3), F.ceil(frames * 0.05))) & ~hulls
-
-
-def merge_rosters(tracks: DataFrame, match: str, name: str, samples: str, may_found: str) -> DataFrame:
-    """match, name, pilot: tracks of all observers, longest first (of equals the earlier name). A
-    track goes to the nearest pilot within 2 edits, 1 for names under 6 characters; else it founds
-    one if it may, else it has none."""
-    rows = tracks.groupBy(match, name).agg(F.sum(samples).alias("__n"), F.max(may_found).alias("__f"))
-    entry = F.struct((-F.col("__n")).alias("n"), F.col(name).alias("name"), F.col("__f").alias("f"))
-    lists = rows.groupBy(match).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    state = "array<struct<name:string,pilot:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        most = F.when(F.length(x["name"]) >= 6, 2).otherwise(1)
-        pilots = F.filter(acc, lambda y: y["name"] == y["pilot"])
-        near = F.array_sort(F.transform(F.filter(pilots, lambda y: F.levenshtein(y["name"], x["name"]) <= most), lambda y, i: F.struct(F.levenshtein(y["name"], x["name"]).alias("d"), i.alias("i"), y["name"].alias("name"))))
-        pilot = F.coalesce(F.get(near, F.lit(0))["name"], F.when(x["f"], x["name"]))
-        return F.concat(acc, F.array(F.struct(x["name"].alias("name"), pilot.alias("pilot"))))
-
-    made = F.aggregate("all", F.array().cast(state), step)
-    return lists.select(match, F.explode(made).alias("x")).select(match, F.col("x.name").alias(name), F.col("x.pilot").alias("pilot"))
+    return (F.length(name) >= 3) & (samples >= F.greatest(F.lit(3), F.floor(frames * 0.05))) & ~hulls
+
+
+def merge_rosters(tracks: DataFrame, match: str, observer: str, name: str, samples: str, may_found: str) -> DataFrame:
+    """match, observer, name, pilot of each track (one an observer and name), longest first (of
+    equals by observer and name). A track goes to the nearest pilot founded before it within 2 edits,
+    1 for pilots' names under 6 characters (of equals to the earlier one); else it founds one if it
+    may, else it has none.
+
+    Names meet by shared parts. Founders come in rounds: of the tracks that may found, those with no
+    undecided earlier one near do; those near a founder do not."""
+    rank = F.struct((-F.col(samples)).alias("n"), F.col(observer).alias("o"), F.col(name).alias("name"))
+    rows = cut(tracks.select(F.col(match).alias("m"), rank.alias("r"), F.col(may_found).alias("f")))
+    names = rows.select("r.name").distinct()
+    near = fuzzy.within_edits(names.withColumnRenamed("name", "a"), names.withColumnRenamed("name", "b"), "a", "b", 2).select("a", "b").distinct()
+    near = near.withColumn("d", F.levenshtein("a", "b")).filter(F.col("d") <= F.when(F.length("b") >= 6, 2).otherwise(1))
+    later = rows.select("m", F.col("r").alias("t"), F.col("f").alias("t_may"), F.col("r.name").alias("a"))
+    earlier = rows.filter("f").select("m", F.col("r").alias("p"), F.col("r.name").alias("b"))
+    edges = cut(later.join(near, "a").join(earlier, ["m", "b"]).filter(F.col("p") < F.col("t")).select("m", "t", "t_may", "p", "d"))
+    open_, left, founders = cut(rows.filter("f").select("m", F.col("r").alias("t"))), edges.filter("t_may").select("m", "t", "p"), []
+    while not open_.isEmpty():
+        new = cut(open_.join(left.select("m", "t"), ["m", "t"], "left_anti"))
+        founders.append(new)
+        lost = left.join(new.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi").select("m", "t").distinct()
+        open_ = cut(open_.join(new, ["m", "t"], "left_anti").join(lost, ["m", "t"], "left_anti"))
+        left = cut(left.join(open_, ["m", "t"], "left_semi").join(open_.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi"))
+    found = functools.reduce(DataFrame.unionByName, founders) if founders else rows.select("m", F.col("r").alias("t")).limit(0)
+    joined = edges.join(found.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi").groupBy("m", "t").agg(F.min(F.struct("d", "p")).alias("best"))
+    own = found.select("m", "t", F.lit(True).alias("founds"))
+    out = rows.select("m", F.col("r").alias("t")).join(joined, ["m", "t"], "left").join(own, ["m", "t"], "left")
+    pilot = F.when(F.col("founds"), F.col("t.name")).otherwise(F.col("best.p.name"))
+    return out.select(F.col("m").alias(match), F.col("t.o").alias(observer), F.col("t.name").alias(name), pilot.alias("pilot"))
 
 
 def locked_types(readings: DataFrame, track: str, time: str, kind: str, tie: str, last: str, start: int = 3) -> DataFrame:

@@ -47,7 +47,7 @@ def name_clusters(spark, sf_dir):
 def roster_merge(spark, sf_dir):
     tracks = _read_names(spark, sf_dir).groupBy("match", "observer", "name").agg(F.count(F.lit(1)).alias("n"))
     may = rosters.founds(F.col("name"), F.col("n"), F.lit(60), F.lit(False))
-    return rosters.merge_rosters(tracks.withColumn("may", may), "match", "name", "n", "may")
+    return rosters.merge_rosters(tracks.withColumn("may", may), "match", "observer", "name", "n", "may")
 
 
 def _sides(spark, sf_dir):
