@@ -74,10 +74,3 @@ def test_hidden_names_come_back_between_anchors(spark):
     frames += [(4, 0, "a", "Orca"), (4, 1, None, None), (4, 2, "d", "Hulk")]  # one row for two
     rows = spark.createDataFrame(frames, "frame int, slot int, pilot string, kind string")
     assert sorted(map(tuple, rosters.recovered(rows, expected, "frame", "slot", "pilot", "kind").collect())) == [(1, 1, "b"), (1, 2, "c")]
-
-
-def test_labels_match_the_only_best(spark):
-    labels = spark.createDataFrame([("m", "Halvard Ost", "Hulk", 3), ("m", "Wena", "Orca", 1), ("m", "Kelto", None, None), ("m", "zzzz", None, None)], "match string, label string, kind string, far int")
-    known = spark.createDataFrame([("m", "Halvard Ost", "Orca", 3), ("m", "Halvard Osk", "Hulk", 3), ("m", "Wenna", "Orca", 1), ("m", "Kelta", None, None), ("m", "Kelts", None, None)], "match string, pilot string, kind string, far int")
-    got = {r.label: r.pilot for r in rosters.label_matches(labels, known, "match").collect()}
-    assert got == {"Halvard Ost": "Halvard Osk", "Wena": "Wenna"}

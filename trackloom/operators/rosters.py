@@ -107,18 +107,3 @@ def recovered(rows: DataFrame, expected: DataFrame, frame: str, slot: str, pilot
     filled = spread.join(rank, "__rank").join(rows.select(frame, slot, F.col(kind).alias("__seen")), [frame, slot])
     agrees = F.min((F.col("__seen").isNull() | (F.col("__seen") == F.col("__kind"))).cast("int")).over(Window.partitionBy(frame, "from_slot"))
     return filled.withColumn("__ok", agrees).filter("__ok = 1").select(frame, slot, F.col("__p").alias(pilot))
-
-
-def label_matches(labels: DataFrame, candidates: DataFrame, match: str, loose: bool = False) -> DataFrame:
-    """match, label, pilot: of a match's candidates (pilot, kind, far) the one at the least cost, if no
-    other has it: edits of the label (label, kind, far), 2 for another type, 1 for another range.
-    Names may differ by a fifth of the label's length (half if ``loose``), one edit at least."""
-    c = candidates.select(match, "pilot", F.col("kind").alias("__kind"), F.col("far").alias("__far"))
-    edits = F.levenshtein(F.lower("label"), F.lower("pilot"))
-    most = F.greatest(F.lit(1), F.floor(F.length("label") / (2 if loose else 5)))
-    differs = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False)).cast("int")
-    # a match has some dozens of candidates
-    scored = labels.join(c, match).withColumn("__e", edits).filter(F.col("__e") <= most).withColumn("__cost", F.col("__e") + 2 * differs("kind", "__kind") + differs("far", "__far"))
-    best = scored.groupBy(match, "label").agg(F.min(F.struct("__cost", "pilot")).alias("__m"), F.collect_list("__cost").alias("__all"))
-    single = F.size(F.filter("__all", lambda x: x == F.col("__m.__cost"))) == 1
-    return best.filter(single).select(match, "label", F.col("__m.pilot").alias("pilot"))

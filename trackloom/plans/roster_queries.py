@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import naming
-from trackloom.operators import geometry, observers, rosters, seasons
+from trackloom.operators import geometry, labels, observers, rosters, seasons
 from trackloom.plans.match_queries import DAY, EVENTS, events, table
 
 QUERIES: dict[str, object] = {}
@@ -75,17 +75,37 @@ def season_rebuild(spark, sf_dir):
     return pilots.join(teams, ["season", "team"])
 
 
-@query("""WITH l AS (SELECT c_nationkey AS match, 'Supplier ' || (c_custkey % 50) || CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE '' END AS label, max(c_custkey % 2) AS kind, min(c_custkey % 4) AS far FROM customer GROUP BY 1, 2),
-c AS (SELECT s_nationkey AS match, 'Supplier ' || s_suppkey AS pilot, s_suppkey % 2 AS kind, s_suppkey % 4 AS far FROM supplier),
-s AS (SELECT l.match, label, pilot, levenshtein(lower(label), lower(pilot)) + 2 * CAST(l.kind <> c.kind AS INT) + CAST(l.far <> c.far AS INT) AS cost FROM l JOIN c USING (match) WHERE levenshtein(lower(label), lower(pilot)) <= greatest(1, floor(length(label) / 5)))
-SELECT match, label, arg_min(pilot, (cost, pilot)) AS pilot FROM s GROUP BY match, label HAVING count(*) FILTER (cost = (SELECT min(cost) FROM s t WHERE t.match = s.match AND t.label = s.label)) = 1""")
+CODED = "translate(substr(md5(CAST({k} AS VARCHAR)), 1, CAST(3 + {k} % 12 AS INTEGER)), '0123456789abcdef', 'aeiouklmnrstvdbp')"
+KINDS = ("Rifter", "Punisher", "Moa Navy Issue")
+LABELS = f"""WITH {EVENTS}, r AS (SELECT us // {10 * DAY} AS match, event_id % 5 AS frame, event_id AS slot, user_id % 40 AS k FROM e),
+n AS (SELECT *, {CODED.format(k="k")} AS name, ['Rifter', 'Punisher', 'Moa Navy Issue'][k % 3 + 1] AS kind, 20000.0 + k * 997 * 7 % 200000 AS m FROM r),
+l AS (SELECT match, frame, slot, CASE slot % 7 WHEN 0 THEN '. ' || name WHEN 1 THEN substr(name, 1, 2) WHEN 2 THEN substr(name, 1, 1) || 'x' || substr(name, 3) WHEN 3 THEN name || ' zz q' WHEN 4 THEN substr(name, 1, length(name) - 1) WHEN 5 THEN substr(name, 1, 1) || 'xzx' || substr(name, 5) ELSE upper(name) END AS label,
+CASE WHEN slot % 4 = 0 THEN 'Rif' ELSE kind END AS kind, CASE WHEN slot % 11 > 0 THEN m + slot % 3 * 2500 END AS range_m FROM n),
+c AS (SELECT DISTINCT match, frame, name AS pilot, kind, m FROM n),
+p AS (SELECT DISTINCT label, pilot, lower(label) AS a, lower(pilot) AS b, least(length(label), length(pilot)) AS w FROM l JOIN c USING (match, frame)),
+d AS (SELECT label, pilot, w, least(levenshtein(a, b), levenshtein(substr(a, 1, w), substr(b, 1, w)), (SELECT min(levenshtein(b, substr(a, CAST(s.s AS INTEGER) + 1, CAST(z.z AS INTEGER)))) FROM range(3) s(s), range(30) z(z))) AS edits FROM p),
+f AS (SELECT l.*, c.pilot, d.edits, d.w, starts_with(lower(l.kind), lower(c.kind)) OR starts_with(lower(c.kind), lower(l.kind)) AS same, CASE WHEN range_m IS NOT NULL THEN abs(range_m - m) <= greatest(0.1 * m, 3000) OR abs(range_m - m - 15000) <= greatest(0.1 * (m + 15000), 3000) END AS near FROM l JOIN c USING (match, frame) JOIN d USING (label, pilot)),
+s AS (SELECT slot, pilot, edits + CASE WHEN same THEN 0 ELSE 2 END + CASE WHEN near THEN 0 WHEN near IS NULL THEN 0 ELSE 1 END AS cost FROM f WHERE length(label) >= 3 AND edits <= greatest(1, w // 5)),
+b AS (SELECT slot, min(cost) AS cost FROM s GROUP BY slot), o AS (SELECT slot, CASE WHEN count(*) = 1 THEN min(pilot) END AS pilot FROM s JOIN b USING (slot, cost) GROUP BY slot),
+z AS (SELECT slot, CASE WHEN count(*) = 1 THEN min(pilot) END AS pilot FROM f WHERE same AND near AND slot NOT IN (SELECT slot FROM b) AND CASE WHEN length(label) = 2 THEN starts_with(lower(pilot), lower(label)) ELSE edits <= w // 2 END GROUP BY slot)
+SELECT match, frame, slot, label, coalesce(o.pilot, z.pilot) AS pilot FROM l LEFT JOIN o USING (slot) LEFT JOIN z USING (slot)"""
+
+
+@query(LABELS)
 def label_matches(spark, sf_dir):
-    c = F.col("c_custkey")
-    label = F.concat(F.lit("Supplier "), c % 50, F.when(c % 3 == 0, "x").otherwise(""))
-    labels = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("match"), label.alias("label")).agg(F.max(c % 2).alias("kind"), F.min(c % 4).alias("far"))
-    k = F.col("s_suppkey")
-    known = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("match"), F.concat(F.lit("Supplier "), k).alias("pilot"), (k % 2).alias("kind"), (k % 4).alias("far"))
-    return rosters.label_matches(labels, known, "match")
+    """Labels with specks, cuts and misread letters against the pilots of their frame, whom two
+    observers 15 km apart see."""
+    k = F.col("k")
+    name = F.translate(F.substring(F.md5(k.cast("string")), F.lit(1), (3 + k % 12).cast("int")), "0123456789abcdef", "aeiouklmnrstvdbp")
+    rows = events(spark, sf_dir).select(F.floor(F.col("us") / (10 * DAY)).alias("match"), (F.col("event_id") % 5).alias("frame"), F.col("event_id").alias("slot"), (F.col("user_id") % 40).alias("k"))
+    rows = rows.withColumn("name", name).withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), (k % 3 + 1).cast("int"))).withColumn("m", 20_000.0 + k * 997 * 7 % 200_000)
+    s, n = F.col("slot"), F.col("name")
+    part = lambda i, c=None: F.substring(n, F.lit(i), F.length(n) if c is None else c)
+    spoiled = [F.concat(F.lit(". "), n), part(1, F.lit(2)), F.concat(part(1, F.lit(1)), F.lit("x"), part(3)), F.concat(n, F.lit(" zz q")), part(1, F.length(n) - 1), F.concat(part(1, F.lit(1)), F.lit("xzx"), part(5)), F.upper(n)]
+    label = F.coalesce(*[F.when(s % 7 == i, c) for i, c in enumerate(spoiled)])
+    asked = rows.select("match", "frame", "slot", label.alias("label"), F.when(s % 4 == 0, "Rif").otherwise(F.col("kind")).alias("kind"), F.when(s % 11 > 0, F.col("m") + s % 3 * 2500).alias("range_m"))
+    seen = rows.select("match", "frame", n.alias("pilot"), "kind", F.explode(F.array(F.col("m"), F.col("m") + 15_000)).alias("range_m"))
+    return labels.match_labels(asked, seen, ["match", "frame"], "slot")
 
 
 @query("""WITH n AS (SELECT DISTINCT c_name AS name FROM customer) SELECT name, 'Pilot ' || lpad(CAST(row_number() OVER (ORDER BY sha256('seed' || name), name) AS VARCHAR), 6, '0') AS alias FROM n""")
