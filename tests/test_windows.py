@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trackloom.operators import intervals, windows
+from trackloom.operators import intervals, motion, windows
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,30 @@ def test_folds_and_runs_do_not_depend_on_buckets(series, monkeypatch):
     whole = made()
     monkeypatch.setattr(windows.carried, "__defaults__", (False, False, 50))
     assert made() == whole
+
+
+def test_running_sums_and_medians_of_a_hot_key(spark):
+    r = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else f"k{i % 7}" if i % 5 else None, i, int(r.integers(0, 9)), float(r.integers(0, 40)) if i % 11 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int, w int, v double").repartition(6)
+    got = {x.i: x.to for x in windows.accumulated(df, ["k"], [F.col("i").desc()], F.col("w").cast("long"), "to").collect()}
+    want, sums = {}, {}
+    for k, i, w, _ in sorted(rows, key=lambda x: -x[1]):
+        sums[k] = want[i] = sums.get(k, 0) + w
+    assert got == want
+    values = {}
+    for k, _, _, v in rows:
+        if k is not None and v is not None:
+            values.setdefault(k, []).append(v)
+    made = {x.k: (x.n, x.middle, x.upper) for x in windows.medians(df.filter("k IS NOT NULL"), ["k"], "v").collect()}
+    assert made == {k: (len(v), float(np.median(v)), sorted(v)[len(v) // 2]) for k, v in values.items()}
+    assert windows.medians(df.filter("i < 0"), ["k"], "v").count() == 0
+
+
+def test_re_entries_keep_between_limits_and_end_at_a_capsule(spark):
+    rows = [("a", 0, False, False), ("a", 5, True, False), ("a", 7, None, False), ("a", 9, True, False), ("a", 15, False, False), ("a", 20, True, False), ("a", 24, False, False)]
+    rows += [("b", t, o, p) for _, t, o, p in rows[:4]] + [("b", 10, True, True), ("b", 15, False, False)]  # the capsule comes first
+    rows += [("c", 0, True, None), ("c", 30, None, None)]  # never back
+    df = spark.createDataFrame(rows, "k string, us long, out boolean, pod boolean")
+    assert sorted(map(tuple, motion.re_entries(df, "k", "us", "out", 6, "pod").collect())) == [("a", 5, 15)]
+    assert sorted(map(tuple, motion.re_entries(df, "k", "us", "out", 4).collect())) == [("a", 5, 15), ("a", 20, 24), ("b", 5, 15)]

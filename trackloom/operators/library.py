@@ -6,10 +6,11 @@ digest; no file meets all others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.naming import match_key
+from trackloom.operators import windows
 
 
 def folders_above(path: Column) -> Column:
@@ -102,6 +103,6 @@ def free_names(wanted: DataFrame, taken: DataFrame, path: str) -> DataFrame:
     used = taken.select(F.col(path).alias("__t"))
     base = F.concat(F.regexp_extract("__t", pattern, 1), F.regexp_extract("__t", pattern, 3))
     top = used.groupBy(base.alias(path)).agg(F.max(F.coalesce(F.regexp_extract("__t", pattern, 2).try_cast("long"), F.lit(1))).alias("__top"))
-    w = Window.partitionBy(path).orderBy(*[c for c in wanted.columns if c != path])
-    rows = wanted.join(top, path, "left").withColumn("__n", F.row_number().over(w) + F.coalesce("__top", F.lit(0)))
+    placed = windows.accumulated(wanted, [path], [F.col(c) for c in wanted.columns if c != path], F.lit(1).cast("long"), "__n")
+    rows = placed.join(top, path, "left").withColumn("__n", F.col("__n") + F.coalesce("__top", F.lit(0)))
     return rows.withColumn("name", F.when(F.col("__n") == 1, F.col(path)).otherwise(F.concat(stem, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext))).select(*wanted.columns, "name")

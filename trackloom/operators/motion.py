@@ -7,7 +7,7 @@ as-of join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import geometry, intervals, windows
@@ -90,23 +90,25 @@ def velocity(grid: DataFrame, samples: DataFrame, key: str, us: str, value: str,
 def starts(samples: DataFrame, match: str, key: str, us: str, moving: Column, tie: str) -> DataFrame:
     """Each match's start: the time of the sample before any ship's first move (moving, of samples
     with one before them)."""
-    w = Window.partitionBy(match, key).orderBy(us, tie)
-    before = samples.withColumn("__before", F.lag(us).over(w)).filter(moving & F.col("__before").isNotNull())
-    return before.groupBy(match).agg(F.min("__before").alias("start_us"))
+    rows = windows.carried(samples.withColumn("__moving", moving), [match, key], us, [F.col(tie)], {"__before": ("last", F.col(us))}, exclusive=True)
+    return rows.filter(F.col("__moving") & F.col("__before").isNotNull()).groupBy(match).agg(F.min("__before").alias("start_us"))
 
 
 def first_leaving(samples: DataFrame, key: str, us: str, at: list[str], tie: str, radius: float) -> DataFrame:
     """Each key's first way out of the sphere about the origin: key, left_us (at the crossing, or the
-    sample's own time where the track begins outside), x, y, z."""
-    w = Window.partitionBy(key).orderBy(us, tie)
+    sample's own time where the track begins outside), x, y, z. The sample outside and the one before
+    it are a minimum and a maximum, so no key is sorted."""
     here = tuple(F.col(c) for c in at)
-    rows = samples.withColumns({f"__{c}": F.lag(c).over(w) for c in at} | {"__us": F.lag(us).over(w)}).filter(geometry.norm(here) > radius)
-    first = rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
-    before = tuple(F.col(f"__{c}") for c in at)
-    share = F.when(F.col("__us").isNull(), F.lit(1.0)).otherwise(F.coalesce(geometry.crossing(before, here, radius), F.lit(1.0)))
-    way = lambda a, b: F.when(F.col("__us").isNull(), b).otherwise(a + (b - a) * F.col("__share"))
-    place = [way(a, b).alias(n) for a, b, n in zip(before, here, "xyz")]
-    return first.withColumn("__share", share).select(key, way(F.col("__us"), F.col(us)).alias("left_us"), *place)
+    sample = F.struct(us, tie, *at)
+    first = samples.filter(geometry.norm(here) > radius).groupBy(key).agg(F.min(sample).alias("__out"))
+    earlier = samples.join(first, key).filter(sample < F.col("__out")).groupBy(key).agg(F.max(sample).alias("__in"))
+    rows = first.join(earlier, key, "left")
+    before, after = (tuple(F.col(f"{s}.{c}") for c in at) for s in ("__in", "__out"))
+    begins = F.col("__in").isNull()
+    rows = rows.withColumn("__share", F.when(begins, F.lit(1.0)).otherwise(F.coalesce(geometry.crossing(before, after, radius), F.lit(1.0))))
+    way = lambda a, b: F.when(begins, b).otherwise(a + (b - a) * F.col("__share"))
+    place = [way(a, b).alias(n) for a, b, n in zip(before, after, "xyz")]
+    return rows.select(key, way(F.col(f"__in.{us}"), F.col(f"__out.{us}")).alias("left_us"), *place)
 
 
 def first_loss(events: DataFrame, key: str, us: str, kind: str, losses: list[str]) -> DataFrame:
@@ -123,24 +125,34 @@ def clock_us(seconds: Column, origin: Column) -> Column:
     return origin + F.round(seconds * 1e6).cast("long")
 
 
-def speed_errors(samples: DataFrame, key: str, us: str, at: list[str], told: str, least: int, most: int, unit: int) -> DataFrame:
+def speed_errors(samples: DataFrame, key: str, us: str, at: list[str], told: str, least: int, most: int, unit: int, readings: int = 5, slowest: float = 300.0) -> DataFrame:
     """key, n_windows, error: how far the pace from each sample to the first one ``least`` or more
-    later (``most`` at the most) is from the mean of the speeds read at both, as a share of it; the
-    upper median of all windows."""
-    later = samples.select(key, us, *[F.col(c).alias(f"__{c}") for c in at], F.col(told).alias("__told"))
-    asked = samples.withColumn("__us", F.col(us)).withColumn(us, F.col(us) + least)
-    both = windows.asof(asked, later, key, us, [*[f"__{c}" for c in at], "__told"], ahead=True).filter(F.col("right_us") - F.col("__us") <= most)
-    way = geometry.norm(geometry.sub(tuple(F.col(c) for c in at), tuple(F.col(f"__{c}") for c in at)))
-    pace, mean = way / ((F.col("right_us") - F.col("__us")) / unit), (F.col(told) + F.col("__told")) / 2
-    rows = both.filter(mean > 0).select(key, (F.abs(pace - mean) / mean).alias("__e"))
-    middle = F.get(F.array_sort(F.collect_list("__e")), F.floor(F.count("__e") / 2).cast("int"))
-    return rows.groupBy(key).agg(F.count("__e").alias("n_windows"), middle.alias("error"))
-
-
-def re_entries(samples: DataFrame, key: str, us: str, outside: str, least: int) -> DataFrame:
-    """key, out_us, back_us: maximal runs of samples outside that last ``least`` or longer and the
-    sample back inside after them; a run that the track ends in has none."""
-    runs = intervals.runs(samples, key, [us], outside).filter(F.col("last_at") - F.col("first_at") >= least)
-    inside = samples.filter(~F.col(outside)).select(key, F.col(us).alias("__at"))
+    later (``most`` at the most) is from the mean of the speeds read from one to the other, as a share
+    of it; the upper median of all windows with ``readings`` speeds at least and a mean of ``slowest``
+    or more. Of samples at one time a window ends at the least by place."""
+    there = lambda w: F.min(F.struct(us, *at)).over(w.rangeBetween(least, most))
+    speeds = lambda w: F.collect_list(F.when(F.col(told).isNotNull(), F.struct(F.col(us).alias("t"), F.col(told).alias("v")))).over(w.rangeBetween(0, most))
+    rows = windows.framed(samples.select(key, us, *at, told), key, us, 0, most, {"__to": there, "__all": speeds}).filter(F.col("__to").isNotNull())
+    end = F.col(f"__to.{us}")
+    within = F.transform(F.filter("__all", lambda x: x["t"] <= end), lambda x: x["v"])
+    rows = rows.withColumn("__v", within).filter(F.size("__v") >= readings)
+    mean = F.try_divide(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x), F.size("__v"))
+    way = geometry.norm(geometry.sub(tuple(F.col(f"__to.{c}") for c in at), tuple(F.col(c) for c in at)))
+    rows = rows.withColumn("__mean", mean).withColumn("__pace", way / ((end - F.col(us)) / unit)).filter(F.col("__mean") >= slowest)
+    errors = rows.select(key, F.try_divide(F.abs(F.col("__pace") - F.col("__mean")), F.col("__mean")).alias("error"))
+    return windows.medians(errors, [key], "error").select(key, F.col("n").alias("n_windows"), F.col("upper").alias("error"))
+
+
+def re_entries(samples: DataFrame, key: str, us: str, outside: str, least: int, capsule: str | None = None) -> DataFrame:
+    """key, out_us, back_us: runs of samples outside (``outside`` true; null, between the limits,
+    leaves a run as it is) and the sample back inside after them, ``least`` or more after the first; a
+    run that the track ends in has none. What follows a key's first ``capsule`` (true) counts no more."""
+    rows = samples.select(key, us, F.col(outside).alias("__out"), *([F.col(capsule).alias("__pod")] if capsule else []))
+    if capsule:
+        lost = rows.filter("__pod").groupBy(key).agg(F.min(us).alias("__lost"))
+        rows = rows.join(lost, key, "left").filter(F.col("__lost").isNull() | (F.col(us) < F.col("__lost")))
+    rows = rows.filter(F.col("__out").isNotNull()).select(key, us, "__out")
+    runs = intervals.runs(rows, key, [us], "__out")
+    inside = rows.filter(~F.col("__out")).select(key, F.col(us).alias("__at"))
     after = windows.asof(runs.withColumnRenamed("last_at", "__at"), inside, key, "__at", [], ahead=True)
-    return after.filter(F.col("right_us").isNotNull()).select(key, F.col("first_at").alias("out_us"), F.col("right_us").alias("back_us"))
+    return after.filter(F.col("right_us") - F.col("first_at") >= least).select(key, F.col("first_at").alias("out_us"), F.col("right_us").alias("back_us"))

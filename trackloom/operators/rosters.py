@@ -8,25 +8,48 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators import fuzzy
+from trackloom.operators import fuzzy, windows
 from trackloom.session import cut
 
 
+def _led(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """m, r, leader (a name or null) of rows (m, r, f) in the order of r, a struct with a name. A row
+    goes to the nearest leader before it (of equals the earlier one) among ``near`` names (a, of the
+    row; b, of the leader; d); with none, it leads itself if it may (f).
+
+    Leaders come in rounds: of the rows that may lead, those with no undecided earlier one near do;
+    those near a leader do not."""
+    later = rows.select("m", F.col("r").alias("t"), F.col("f").alias("t_may"), F.col("r.name").alias("a"))
+    earlier = rows.filter("f").select("m", F.col("r").alias("p"), F.col("r.name").alias("b"))
+    edges = cut(later.join(near, "a").join(earlier, ["m", "b"]).filter(F.col("p") < F.col("t")).select("m", "t", "t_may", "p", "d"))
+    # rows that nothing earlier is near lead from the start and take no part in the rounds
+    met = edges.filter("t_may").select("m", "t").distinct()
+    alone = rows.filter("f").select("m", F.col("r").alias("t")).join(met, ["m", "t"], "left_anti")
+    new, left, leaders = cut(alone), edges.filter("t_may").select("m", "t", "p"), []
+    open_ = cut(met)
+    while True:
+        leaders.append(new)
+        lost = left.join(new.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi").select("m", "t").distinct()
+        open_ = cut(open_.join(new, ["m", "t"], "left_anti").join(lost, ["m", "t"], "left_anti"))
+        if open_.isEmpty():
+            break
+        left = cut(left.join(open_, ["m", "t"], "left_semi").join(open_.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi"))
+        new = cut(open_.join(left.select("m", "t"), ["m", "t"], "left_anti"))
+    found = functools.reduce(DataFrame.unionByName, leaders)
+    joined = edges.join(found.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi").groupBy("m", "t").agg(F.min(F.struct("d", "p")).alias("best"))
+    own = found.select("m", "t", F.lit(True).alias("leads"))
+    out = rows.select("m", F.col("r").alias("t")).join(joined, ["m", "t"], "left").join(own, ["m", "t"], "left")
+    return out.select("m", F.col("t").alias("r"), F.when(F.col("leads"), F.col("t.name")).otherwise(F.col("best.p.name")).alias("leader"))
+
+
 def cluster_names(readings: DataFrame, keys: list[str], name: str, time: str) -> DataFrame:
     """keys, name, leader: names in the order in which they appear; one goes to the leader equal to
     it, else to the nearest within one edit (of equals the earlier one), else leads itself."""
-    first = readings.groupBy(*keys, name).agg(F.min(time).alias("__t"))
-    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), F.col(name).alias("name")))).alias("all"))
-    state = "array<struct<name:string,leader:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        leaders = F.filter(acc, lambda y: y["name"] == y["leader"])
-        near = F.array_sort(F.transform(F.filter(leaders, lambda y: F.levenshtein(y["name"], x["name"]) <= 1), lambda y, i: F.struct(F.levenshtein(y["name"], x["name"]).alias("d"), i.alias("i"), y["name"].alias("name"))))
-        leader = F.coalesce(F.get(near, F.lit(0))["name"], x["name"])
-        return F.concat(acc, F.array(F.struct(x["name"].alias("name"), leader.alias("leader"))))
-
-    made = F.aggregate("all", F.array().cast(state), step)
-    return lists.select(*keys, F.explode(made).alias("x")).select(*keys, F.col("x.name").alias(name), F.col("x.leader").alias("leader"))
+    first = readings.groupBy(*keys, name).agg(F.min(time).alias("t"))
+    rows = cut(first.select(F.struct(*keys).alias("m"), F.struct("t", F.col(name).alias("name")).alias("r"), F.lit(True).alias("f")))
+    names = rows.select("r.name").distinct()
+    near = fuzzy.within_edits(names.withColumnRenamed("name", "a"), names.withColumnRenamed("name", "b"), "a", "b", 1).filter("a <> b")
+    return _led(rows, near.select("a", "b", F.col("edits").alias("d"))).select("m.*", F.col("r.name").alias(name), "leader")
 
 
 def founds(name: Column, samples: Column, frames: Column, hulls: Column) -> Column:
@@ -41,40 +64,24 @@ def merge_rosters(tracks: DataFrame, match: str, observer: str, name: str, sampl
     1 for pilots' names under 6 characters (of equals to the earlier one); else it founds one if it
     may, else it has none.
 
-    Names meet by shared parts. Founders come in rounds: of the tracks that may found, those with no
-    undecided earlier one near do; those near a founder do not."""
+    Names meet by shared parts."""
     rank = F.struct((-F.col(samples)).alias("n"), F.col(observer).alias("o"), F.col(name).alias("name"))
     rows = cut(tracks.select(F.col(match).alias("m"), rank.alias("r"), F.col(may_found).alias("f")))
     names = rows.select("r.name").distinct()
     near = fuzzy.within_edits(names.withColumnRenamed("name", "a"), names.withColumnRenamed("name", "b"), "a", "b", 2).select("a", "b").distinct()
     near = near.withColumn("d", F.levenshtein("a", "b")).filter(F.col("d") <= F.when(F.length("b") >= 6, 2).otherwise(1))
-    later = rows.select("m", F.col("r").alias("t"), F.col("f").alias("t_may"), F.col("r.name").alias("a"))
-    earlier = rows.filter("f").select("m", F.col("r").alias("p"), F.col("r.name").alias("b"))
-    edges = cut(later.join(near, "a").join(earlier, ["m", "b"]).filter(F.col("p") < F.col("t")).select("m", "t", "t_may", "p", "d"))
-    open_, left, founders = cut(rows.filter("f").select("m", F.col("r").alias("t"))), edges.filter("t_may").select("m", "t", "p"), []
-    while not open_.isEmpty():
-        new = cut(open_.join(left.select("m", "t"), ["m", "t"], "left_anti"))
-        founders.append(new)
-        lost = left.join(new.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi").select("m", "t").distinct()
-        open_ = cut(open_.join(new, ["m", "t"], "left_anti").join(lost, ["m", "t"], "left_anti"))
-        left = cut(left.join(open_, ["m", "t"], "left_semi").join(open_.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi"))
-    found = functools.reduce(DataFrame.unionByName, founders) if founders else rows.select("m", F.col("r").alias("t")).limit(0)
-    joined = edges.join(found.select("m", F.col("t").alias("p")), ["m", "p"], "left_semi").groupBy("m", "t").agg(F.min(F.struct("d", "p")).alias("best"))
-    own = found.select("m", "t", F.lit(True).alias("founds"))
-    out = rows.select("m", F.col("r").alias("t")).join(joined, ["m", "t"], "left").join(own, ["m", "t"], "left")
-    pilot = F.when(F.col("founds"), F.col("t.name")).otherwise(F.col("best.p.name"))
-    return out.select(F.col("m").alias(match), F.col("t.o").alias(observer), F.col("t.name").alias(name), pilot.alias("pilot"))
+    return _led(rows, near).select(F.col("m").alias(match), F.col("r.o").alias(observer), F.col("r.name").alias(name), F.col("leader").alias("pilot"))
 
 
 def locked_types(readings: DataFrame, track: str, time: str, kind: str, tie: str, last: str, start: int = 3) -> DataFrame:
     """track, locked (the type seen most in its first ``start`` readings, of equals the greatest),
     lost_at (the first later reading of ``last``), conflicts (later readings of any other type
-    before that)."""
-    w = Window.partitionBy(track).orderBy(time, tie)
-    rows = readings.withColumn("__i", F.row_number().over(w))
-    votes = rows.filter(F.col("__i") <= start).groupBy(track, kind).agg(F.count(F.lit(1)).alias("__n"))
-    locked = votes.groupBy(track).agg(F.max_by(kind, F.struct("__n", kind)).alias("locked"))
-    later = rows.filter(F.col("__i") > start).join(locked, track)
+    before that). Only the first readings are ranked; the later ones are those after the last of them."""
+    at = F.struct(time, tie)
+    first = windows.top_per_group(readings.select(track, time, tie, kind), track, [F.col(time), F.col(tie)], start)
+    votes = first.groupBy(track, kind).agg(F.count(F.lit(1)).alias("__n"), F.max(at).alias("__to"))
+    locked = votes.groupBy(track).agg(F.max_by(kind, F.struct("__n", kind)).alias("locked"), F.max("__to").alias("__to"))
+    later = readings.select(track, time, tie, kind).join(locked, track).filter(at > F.col("__to"))
     lost = later.filter((F.col(kind) == last) & (F.col("locked") != last)).groupBy(track).agg(F.min(time).alias("lost_at"))
     odd = later.join(lost, track, "left").filter((F.col(kind) != F.col("locked")) & (F.col("lost_at").isNull() | (F.col(time) < F.col("lost_at"))))
     counts = odd.groupBy(track).agg(F.count(F.lit(1)).alias("conflicts"))

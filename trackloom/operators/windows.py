@@ -13,6 +13,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.session import cut
+
 #: Buckets are this many times as long as a frame's reach, so that few rows are context.
 BUCKET_OF_REACH = 16
 #: Microseconds of a bucket of unbounded frames, and rows of one of frames of rows.
@@ -164,3 +166,30 @@ def top_per_group(df: DataFrame, key: str | list[str], order: list[Column], n: i
     """The first ``n`` rows of each group with place 1..n; Spark limits groups before the shuffle."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def accumulated(df: DataFrame, keys: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """Running sum of ``weight`` in each key's ``order`` (no ties), the row included. Rows are dealt to
+    tasks by ranges of keys and order, so a large key is spread; what a key's earlier ranges sum up to
+    is carried on. Each range has at most one such key, so the carry is as small as their number."""
+    dealt = df.withColumn("__w", weight).repartitionByRange(*[F.col(k) for k in keys], *order)
+    rows = cut(dealt.withColumn("__part", F.spark_partition_id()))
+    local = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__part", *keys).agg(F.sum("__w").alias("__s")).withColumn("__before", F.sum("__s").over(earlier)).filter("__before IS NOT NULL")
+    carry = sums.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k_{k}") for k in keys], "__before")
+    same = functools.reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys), F.col("__part") == F.col("__p"))
+    both = rows.withColumn("__local", F.sum("__w").over(local)).join(F.broadcast(carry), same, "left")
+    return both.select(*df.columns, (F.col("__local") + F.coalesce("__before", F.lit(0))).alias(name))
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, middle (mean of the two in the middle) and upper (the greater of them) of a value's
+    known readings; keys without any have no row. Equal values are counted first."""
+    each = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    rows = accumulated(each, keys, [F.col(value)], F.col("__n"), "__to")
+    total = rows.groupBy(*keys).agg(F.max("__to").alias("n"))
+    holds = lambda i: (F.col("__to") - F.col("__n") <= i) & (i < F.col("__to"))
+    low, high = holds(F.floor((F.col("n") - 1) / 2)), holds(F.floor(F.col("n") / 2))
+    found = rows.join(total, keys).filter(low | high).groupBy(*keys, "n").agg(F.max(F.when(low, F.col(value))).alias("__low"), F.max(F.when(high, F.col(value))).alias("upper"))
+    return found.select(*keys, "n", ((F.col("__low") + F.col("upper")) / 2).alias("middle"), "upper")

@@ -6,7 +6,7 @@ numbers, in kilometres, for positions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import parsing
@@ -273,10 +273,11 @@ def weighted_vote(spark, sf_dir):
 @query(f"""WITH {EVENTS}, g AS (SELECT user_id, event_type, us - lag(us) OVER (PARTITION BY user_id, event_type ORDER BY us) AS gap FROM e)
 SELECT user_id, event_type, coalesce(quantile_cont(CASE WHEN gap BETWEEN {12 * HOUR} AND {22 * HOUR} THEN CAST(gap AS DOUBLE) END, 0.5), {20 * HOUR}.0) AS cycle_us FROM g GROUP BY ALL""")
 def cycle_estimate(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("us")
-    g = events(spark, sf_dir).withColumn("gap", F.col("us") - F.lag("us").over(w))
-    near = F.when(F.col("gap").between(12 * HOUR, 22 * HOUR), F.col("gap").cast("double"))
-    return g.groupBy("user_id", "event_type").agg(F.coalesce(F.percentile(near, F.lit(0.5)), F.lit(float(20 * HOUR))).alias("cycle_us"))
+    e, by = events(spark, sf_dir).select("user_id", "event_type", "us"), ["user_id", "event_type"]
+    gap = F.col("us") - F.col("before")
+    near = windows.carried(e, by, "us", [], {"before": ("last", F.col("us"))}, exclusive=True).filter(gap.between(12 * HOUR, 22 * HOUR))
+    middle = windows.medians(near.select(*by, gap.cast("double").alias("gap")), by, "gap")
+    return e.select(*by).distinct().join(middle, by, "left").select(*by, F.coalesce("middle", F.lit(float(20 * HOUR))).alias("cycle_us"))
 
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value) FILTER (event_id % 3 = 0), 4) AS d_a, round(avg(value) FILTER (event_id % 3 = 1), 4) AS d_b, round(avg(value) FILTER (event_id % 3 = 2), 4) AS d_c FROM events GROUP BY user_id, day)
@@ -309,13 +310,29 @@ def head_start(spark, sf_dir):
     return p.select("o_custkey", rounded(F.greatest(500000 - F.col("blue"), F.lit(0.0)), 2).alias("red_start"), rounded(F.greatest(500000 - F.col("red"), F.lit(0.0)), 2).alias("blue_start"))
 
 
-@query(f"""WITH {EVENTS}, g AS (SELECT user_id, us, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM e), c AS (SELECT user_id, max(us) - min(us) AS span_us, CAST(coalesce(sum(least(gap, {6 * HOUR})), 0) AS BIGINT) AS covered_us FROM g GROUP BY user_id)
+@query(f"""WITH {EVENTS}, g AS (SELECT user_id, us, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM e), c AS (SELECT user_id, max(us) - min(us) AS span_us, CAST(coalesce(sum(gap) FILTER (gap <= {12 * HOUR}), 0) AS BIGINT) AS covered_us FROM g GROUP BY user_id)
 SELECT user_id, span_us, covered_us, CASE WHEN span_us > 0 THEN round(covered_us / CAST(span_us AS DOUBLE), 4) END AS coverage, CASE WHEN span_us > 0 THEN covered_us / CAST(span_us AS DOUBLE) < 0.5 END AS thin FROM c""")
 def coverage_report(spark, sf_dir):
-    c = aggregates.covered_share(events(spark, sf_dir), "user_id", "us", 6 * HOUR)
+    c = aggregates.covered_share(events(spark, sf_dir), "user_id", "us", 12 * HOUR)
     return c.withColumn("thin", F.col("coverage") < 0.5).withColumn("coverage", rounded("coverage"))
 
 
+@query(f"""WITH {EVENTS}, s AS (SELECT us // {10 * DAY} AS match, user_id AS pilot, us, event_id, event_type AS ship, CASE WHEN us // {10 * DAY} % 3 > 0 AND event_id % (2 + user_id % 3) = 0 THEN value END AS hp, event_id % 13 = 4 AS pod FROM e),
+w AS (SELECT match, min(us) AS t0, max(us) AS t1, count(DISTINCT pilot) AS ships, count(hp) > 0 AS known FROM s GROUP BY match), o AS (SELECT match, pilot, min(us) AS out FROM s WHERE event_id % 37 = 5 GROUP BY ALL),
+g AS (SELECT s.*, lag(us) OVER (PARTITION BY match, pilot ORDER BY us) AS before FROM s), j AS (SELECT g.*, t0, known, least(t1, coalesce(out, t1)) AS t_end FROM g JOIN w USING (match) LEFT JOIN o USING (match, pilot)),
+p AS (SELECT match, pilot, known, arg_min(ship, (us, ship)) AS ship, coalesce(sum(greatest(least(us, t_end) - greatest(before, t0), 0)) FILTER (us - before <= {24 * HOUR}), 0) / CAST(any_value(t_end - t0) AS DOUBLE) AS placed, count(*) FILTER (us <= t_end AND NOT pod) AS n, count(hp) FILTER (us <= t_end AND NOT pod) AS n_hp FROM j WHERE t_end > t0 GROUP BY ALL)
+SELECT match, pilot, ship, 'positions' AS issue, CAST(round(placed * 100) AS BIGINT) AS figure FROM p WHERE placed < 0.5 UNION ALL SELECT match, pilot, ship, 'hp', CAST(round(n_hp / CAST(n AS DOUBLE) * 100) AS BIGINT) FROM p WHERE known AND n > 0 AND n_hp / CAST(n AS DOUBLE) < 0.5
+UNION ALL SELECT match, NULL, NULL, 'ships', ships FROM w WHERE ships < 20 UNION ALL SELECT match, NULL, NULL, 'no hp', 0 FROM w WHERE NOT known""")
+def match_issues(spark, sf_dir):
+    """What is wrong with a match's data: events of ten days, some of them capsules, with hit points in
+    two of three matches."""
+    id_ = F.col("event_id")
+    s = events(spark, sf_dir).withColumn("match", F.floor(F.col("us") / (10 * DAY)).cast("long")).withColumn("pilot", F.col("user_id"))
+    hp = F.when((F.col("match") % 3 > 0) & (id_ % (2 + F.col("user_id") % 3) == 0), F.col("value"))
+    s = s.select("match", "pilot", "us", "event_id", F.col("event_type").alias("ship"), hp.alias("hp"), (id_ % 13 == 4).alias("pod"))
+    return aggregates.data_issues(s, s.filter(id_ % 37 == 5).select("match", "pilot", F.col("us").alias("end_us")), 24 * HOUR, 20)
+
+
 CELL = "CASE event_id % 8 WHEN 0 THEN user_id || ' km' WHEN 1 THEN '4,' || lpad(CAST(user_id % 1000 AS VARCHAR), 3, '0') || ' m' WHEN 2 THEN '1.' || (user_id % 10) || ' AU' WHEN 3 THEN '-' WHEN 4 THEN user_id || ',25' WHEN 5 THEN user_id || 'km .' WHEN 6 THEN user_id || ' m/s' ELSE CAST(user_id AS VARCHAR) END"
 NUM = parsing.NUMBER
 

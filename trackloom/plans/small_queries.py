@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import geometry, motion, rates, windows
@@ -39,20 +38,27 @@ def first_capsule(spark, sf_dir):
     return each.groupBy("user_id").agg(F.min("first_us").alias("capsule_us"), F.count("first_us").alias("n_observers"))
 
 
-@query(f"""WITH {PLACED}, v AS (SELECT q.*, value FROM q JOIN e USING (event_id)), p AS (SELECT a.user_id, a.us, b.us AS later, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / ((b.us - a.us) / {HOUR}.0) AS pace, (a.value + b.value) / 2 AS told
-FROM (SELECT *, us + {10 * HOUR} AS ask FROM v) a ASOF JOIN v b ON a.user_id = b.user_id AND a.ask <= b.us), r AS (SELECT user_id, abs(pace - told) / told AS error FROM p WHERE later - us <= {14 * HOUR} AND told > 0)
+@query(f"""WITH {PLACED}, v AS (SELECT q.*, CASE WHEN event_id % 9 > 0 THEN value END AS told FROM q JOIN e USING (event_id)),
+k AS (SELECT a.user_id, a.us, a.x, a.y, a.z, min((b.us, b.x, b.y, b.z)) AS e FROM v a JOIN v b ON a.user_id = b.user_id AND b.us BETWEEN a.us + {60 * HOUR} AND a.us + {84 * HOUR} GROUP BY a.event_id, a.user_id, a.us, a.x, a.y, a.z),
+p AS (SELECT k.user_id, k.us, k.x, k.y, k.z, k.e, avg(told) AS mean FROM k JOIN v ON k.user_id = v.user_id AND v.us BETWEEN k.us AND k.e[1] GROUP BY k.user_id, k.us, k.x, k.y, k.z, k.e HAVING count(told) >= 5 AND avg(told) >= 40),
+r AS (SELECT user_id, abs(sqrt((x - e[2]) * (x - e[2]) + (y - e[3]) * (y - e[3]) + (z - e[4]) * (z - e[4])) / ((e[1] - us) / {HOUR}.0) - mean) / mean AS error FROM p)
 SELECT user_id, count(*) AS n_windows, round(list_sort(list(error))[len(list(error)) // 2 + 1], 4) AS error FROM r GROUP BY user_id""")
 def speed_error(spark, sf_dir):
-    v = placed(spark, sf_dir).join(events(spark, sf_dir).select("event_id", "value"), "event_id")
-    out = motion.speed_errors(v, "user_id", "us", ["x", "y", "z"], "value", 10 * HOUR, 14 * HOUR, HOUR)
+    told = F.when(F.col("event_id") % 9 > 0, F.col("value")).alias("told")
+    v = placed(spark, sf_dir).join(events(spark, sf_dir).select("event_id", told), "event_id")
+    out = motion.speed_errors(v, "user_id", "us", ["x", "y", "z"], "told", 60 * HOUR, 84 * HOUR, HOUR, slowest=40.0)
     return out.withColumn("error", F.round("error", 4))
 
 
-@query(f"""WITH {PLACED}, o AS (SELECT user_id, us, sqrt(x * x + y * y + z * z) > 55 AS far FROM q), g AS (SELECT *, sum(CASE WHEN far THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS g, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS after FROM o)
-SELECT user_id, min(us) AS out_us, max(after) AS back_us FROM g WHERE far GROUP BY user_id, g HAVING max(us) - min(us) >= {6 * HOUR} AND count(*) = count(after)""")
+@query(f"""WITH {PLACED}, d AS (SELECT user_id, us, sqrt(x * x + y * y + z * z) AS d, event_id % 101 = 7 AS pod FROM q), c AS (SELECT user_id, min(us) AS lost FROM d WHERE pod GROUP BY user_id),
+o AS (SELECT user_id, us, d > 60 AS far FROM d LEFT JOIN c USING (user_id) WHERE (lost IS NULL OR us < lost) AND (d > 60 OR d <= 50)),
+g AS (SELECT *, sum(CASE WHEN far THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS g, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS after FROM o)
+SELECT user_id, min(us) AS out_us, max(after) AS back_us FROM g WHERE far GROUP BY user_id, g HAVING max(after) - min(us) >= {6 * HOUR} AND count(*) = count(after)""")
 def re_entries(spark, sf_dir):
-    p = placed(spark, sf_dir).select("user_id", "us", (geometry.norm(tuple(F.col(c) for c in "xyz")) > 55).alias("far"))
-    return motion.re_entries(p, "user_id", "us", "far", 6 * HOUR)
+    """Ways back inside 50 after six hours or more beyond 60, before a key's first capsule."""
+    d = geometry.norm(tuple(F.col(c) for c in "xyz"))
+    p = placed(spark, sf_dir).select("user_id", "us", F.when(d > 60, True).when(d <= 50, False).alias("far"), (F.col("event_id") % 101 == 7).alias("pod"))
+    return motion.re_entries(p, "user_id", "us", "far", 6 * HOUR, "pod")
 
 
 @query(f"""WITH {PLACED}, n AS (SELECT *, sqrt(x * x + y * y + z * z) AS d FROM q) SELECT event_id, round(x + CASE WHEN d > 0 THEN x / d ELSE 0 END * 100, 4) + 0.0 AS x, round(y + CASE WHEN d > 0 THEN y / d ELSE 0 END * 100, 4) + 0.0 AS y, round(z + CASE WHEN d > 0 THEN z / d ELSE 0 END * 100, 4) + 0.0 AS z, round(d + event_id % 5, 4) AS padded,
@@ -86,8 +92,7 @@ def nearest_first(spark, sf_dir):
 @query(f"""WITH {FILES} SELECT path, CAST(row_number() OVER (ORDER BY len(string_split(path, '/')) DESC, path DESC) AS BIGINT) AS turn FROM files WHERE path LIKE '%/'""")
 def folders_deepest_first(spark, sf_dir):
     folders = files(spark, sf_dir).filter("path LIKE '%/'").select("path")
-    w = Window.orderBy(F.size(F.split("path", "/")).desc(), F.desc("path"))  # the folders alone
-    return folders.withColumn("turn", F.row_number().over(w).cast("long"))
+    return windows.accumulated(folders, [], [F.size(F.split("path", "/")).desc(), F.desc("path")], F.lit(1).cast("long"), "turn")
 
 
 @query(f"""WITH {FILES} SELECT path, sha, size FROM files WHERE path = 'S0/' OR owner = 3 ORDER BY path""")

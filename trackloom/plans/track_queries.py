@@ -26,8 +26,7 @@ def query(sql: str | None = None):
 @query(f"""WITH {EVENTS} SELECT user_id, us // {DAY} AS day, round(median(value), 4) AS middle, round(list_sort(list(value))[len(list(value)) // 2 + 1], 4) AS upper FROM e GROUP BY ALL""")
 def tick_medians(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", F.floor(F.col("us") / DAY).cast("long"))
-    upper = F.get(F.array_sort(F.collect_list("value")), F.floor(F.count("value") / 2).cast("int"))
-    return e.groupBy("user_id", "day").agg(F.round(F.percentile("value", F.lit(0.5)), 4).alias("middle"), F.round(upper, 4).alias("upper"))
+    return windows.medians(e, ["user_id", "day"], "value").select("user_id", "day", F.round("middle", 4).alias("middle"), F.round("upper", 4).alias("upper"))
 
 
 @query("""SELECT user_id, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS most, round(avg(value), 4) AS mean, round(median(value), 4) AS middle FROM events GROUP BY user_id""")
@@ -104,8 +103,8 @@ SELECT user_id, us AS start_us, end_us, row_number() OVER (PARTITION BY user_id
 def start_end_pairs(spark, sf_dir):
     e = events(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
     n = windows.neighbours(e, "user_id", "us", ["us", "event_type"], "event_id").filter("event_type = 'view' AND next_event_type = 'click'")
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")).cast("long")
-    return n.select("user_id", F.col("us").alias("start_us"), F.col("next_us").alias("end_us"), nth.alias("nth"))
+    n = windows.running(n, ["user_id"], "us", "event_id", {"nth": ("count", None)})
+    return n.select("user_id", F.col("us").alias("start_us"), F.col("next_us").alias("end_us"), "nth")
 
 
 @query(f"""WITH {EVENTS}, c AS (SELECT event_id, us, (event_id * 7919) % 86400 AS clock FROM e) SELECT event_id, arg_min(d.day, (abs((us // {DAY} + d.day) * {DAY} + clock * 1000000 - us), d.day)) AS day_off, min(abs((us // {DAY} + d.day) * {DAY} + clock * 1000000 - us)) AS off_us FROM c, (VALUES (-1), (0), (1)) d(day) GROUP BY event_id""")
