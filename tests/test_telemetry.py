@@ -50,8 +50,8 @@ def test_positions_by_name(spark, tmp_path):
     assert set(got) == {"A", "D, E"}
     assert (got["A"].x_m, got["A"].y_m, got["A"].shield, got["A"].hull) == (1.0, 2.0, None, None) and got["D, E"].hull == 0.25
     (tmp_path / "b.csv").write_text("t,pilot\n1,A\n")
-    with pytest.raises(ValueError, match="ship_type"):
-        files.read_positions(spark, str(tmp_path / "b.csv"))
+    with pytest.raises(Exception, match="missing columns.*ship_type"):
+        files.read_positions(spark, str(tmp_path / "b.csv")).collect()
     files.write_positions(spark.createDataFrame([(0.1234, "A", 1.6, None)], "t double, pilot string, x_m double, shield double"), str(tmp_path / "out"))
     lines = {x for f in (tmp_path / "out").glob("*.csv") for x in f.read_text().splitlines()}  # parts without rows have a header too
     assert lines == {"t,pilot,x_m,shield", "0.123,A,2,"}
@@ -63,7 +63,7 @@ def test_logs_and_rulesets(spark, tmp_path):
     (logs / "a.txt").write_text("  Listener: Ann\n  Session Started: 2024.01.31 20:00:00\n[ 2024.01.31 20:15:00 ] (combat) <b>120</b> from <i>Bob</i> - Gun - Hits\n[ 2024.01.31 20:15:01 ] (notify) no\n")
     (logs / "b.txt").write_text("[ 2024.01.31 20:15:00 ] (combat) 5 to Bob - Gun\n")
     (r,) = files.read_combat_logs(spark, str(logs)).collect()
-    assert (r.listener, r.kind, r.amount, r.name, r.at.second, r.started.hour) == ("Ann", "damage_in", 120.0, "Bob", 0, 20)
+    assert (r.listener, r.kind, r.amount, r.source, r.weapon, r.quality, r.at.second, r.started.hour) == ("Ann", "DAMAGE", 120.0, "Bob", "Gun", "Hits", 0, 20)
     chat = tmp_path / "chat.txt"
     chat.write_bytes("﻿Session started: 2024.01.31 20:00:00\n[ 2024.01.31 21:00:05 ] A > hi\n".encode("utf-16-le"))
     (c,) = files.read_chat_spans(spark, str(chat)).collect()

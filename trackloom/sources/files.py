@@ -2,43 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.functions import parsing
+from trackloom.functions import combat
 
 NEEDED = ("t", "pilot", "ship_type", "x_m", "y_m", "z_m")
 _NUMBERS = ("t", "x_m", "y_m", "z_m", "speed_mps", "dir_x", "dir_y", "dir_z", "residual_m", "shield", "armor", "hull")
 _HP = ("shield", "armor", "hull")
+#: Columns that a file may have, with their types, and the fields of a line that are read.
+OPTIONAL = {**{c: "double" for c in _NUMBERS if c not in NEEDED}, "eve_time": "timestamp", "plane_exit": "string", "plane_exit_id": "int", "plane": "string"}
+WIDEST = 40
+
+
+def _cells(line: Column) -> Column:
+    """A line's fields, trimmed; quoted ones without their quotes."""
+    wide = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(WIDEST))))
+    return F.slice(F.array(*[F.trim(wide[f"c{i}"]) for i in range(WIDEST)]), F.lit(1), F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ",")))
+
+
+def positions_of(lines: DataFrame) -> DataFrame:
+    """Positions of files' lines (file, value) by each file's own header, whatever the order of its
+    columns: file, the six needed columns, and the optional ones, null where a file has none. Rows that
+    are short or without x_m are left out, blanks are null, and shield, armor and hull are known all or
+    not at all. A file without a header that has the needed columns ends the job with an error. Headers
+    meet rows by an equi-join on the file; a line with a quoted line break counts as two."""
+    rows = lines.filter(F.trim("value") != "").select("file", _cells(F.regexp_replace("value", "^\ufeff", "")).alias("cells"))
+    is_head = F.size(F.array_except(F.array(*map(F.lit, NEEDED)), "cells")) == 0
+    heads = rows.filter(is_head).groupBy("file").agg(F.min("cells").alias("head"))
+    missing = F.raise_error(F.concat("file", F.lit(f": missing columns, needed are {', '.join(NEEDED)}")))
+    known = rows.filter(~is_head).join(heads, "file", "left").withColumn("head", F.when(F.col("head").isNull(), missing.cast("array<string>")).otherwise(F.col("head")))
+    known = known.filter(F.size("cells") >= F.size("head"))
+    at = lambda c: F.get("cells", (F.array_position("head", c) - 1).cast("int"))
+    text = {c: F.nullif(at(c), F.lit("")) for c in (*NEEDED, *OPTIONAL)}
+    typed = {c: v.try_cast("double") if c in _NUMBERS else v.try_cast(OPTIONAL.get(c, "string")) for c, v in text.items()}
+    found = known.select("file", text["x_m"].isNotNull().alias("__x"), *[v.alias(c) for c, v in typed.items()]).filter("__x").drop("__x")
+    whole = F.col("shield").isNotNull() & F.col("armor").isNotNull() & F.col("hull").isNotNull()
+    return found.withColumns({c: F.when(whole, F.col(c)) for c in _HP})
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """Positions by column name, whatever their order; names are trimmed. Rows that are short or
-    without x_m are left out, blanks are null, and shield, armor and hull are known all or not at
-    all. Missing columns among the six needed ones are an error."""
-    raw = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", "false").csv(path)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    missing = [c for c in NEEDED if c not in raw.columns]
-    if missing:
-        raise ValueError(f"{path}: missing columns {', '.join(missing)}")
-    rows = raw.filter(F.col("x_m").isNotNull() & (F.trim("x_m") != ""))
-    rows = rows.withColumns({c: F.expr(f"try_cast(nullif(trim(`{c}`), '') AS double)") for c in _NUMBERS if c in raw.columns})
-    if all(c in raw.columns for c in _HP):
-        whole = F.col("shield").isNotNull() & F.col("armor").isNotNull() & F.col("hull").isNotNull()
-        rows = rows.withColumns({c: F.when(whole, F.col(c)) for c in _HP})
-    if "plane_exit_id" in raw.columns:
-        rows = rows.withColumn("plane_exit_id", F.expr("try_cast(plane_exit_id AS int)"))
-    if "eve_time" in raw.columns:
-        rows = rows.withColumn("eve_time", F.expr("try_cast(eve_time AS timestamp)"))
-    return rows
+    """Positions of all files under ``path`` (see ``positions_of``)."""
+    return positions_of(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
 def write_positions(rows: DataFrame, path: str) -> None:
-    """Positions as CSV: metres whole, times and hit points with three decimals, directions with
-    four; nulls blank."""
-    digits = {"t": 3, "x_m": 0, "y_m": 0, "z_m": 0, "dir_x": 4, "dir_y": 4, "dir_z": 4, "shield": 3, "armor": 3, "hull": 3}
+    """Positions as CSV in order of time and pilot: metres and residuals whole, times and hit points
+    with three decimals, directions with four, speeds as they are; nulls blank."""
+    digits = {"t": 3, "x_m": 0, "y_m": 0, "z_m": 0, "residual_m": 0, "dir_x": 4, "dir_y": 4, "dir_z": 4, "shield": 3, "armor": 3, "hull": 3}
     shown = {c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{n}f", F.col(c))) for c, n in digits.items() if c in rows.columns}
-    rows.withColumns(shown).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    if "speed_mps" in rows.columns:
+        shown["speed_mps"] = F.regexp_replace(F.col("speed_mps").cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+    ordered = rows.orderBy(*[c for c in ("t", "pilot") if c in rows.columns])
+    ordered.withColumns(shown).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def read_readings(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +63,8 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-#: Times and headers of log files.
+#: Times, headers and names of log files.
+LOG_NAME = r"^([0-9]{8}_[0-9]{6})"
 TIMED = r"^\[ ([0-9]{4}\.[0-9]{2}\.[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}) \] "
 LISTENER = r"^\s*Listener: *(.+?)\s*$"
 STARTED = r"^\s*Session Started: *([0-9]{4}\.[0-9]{2}\.[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})"
@@ -58,16 +75,34 @@ def log_time(s):
     return F.try_to_timestamp(s, F.lit("yyyy.MM.dd HH:mm:ss"))
 
 
-def read_combat_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Combat lines of log files: file, listener, started, at, line (without markup), kind, amount,
-    name. Files without a listener are left out. Headers meet lines by an equi-join on the file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+def log_lines(spark: SparkSession, path: str, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """file, value of log files' lines. With a window, only files that may hold it are opened: those
+    named with a start not after ``last`` and written not earlier than a minute before ``first``."""
+    lines = spark.read.text(path, recursiveFileLookup=True)
+    name = F.col("_metadata.file_name")
+    if last is not None:
+        begun = F.try_to_timestamp(F.regexp_extract(name, LOG_NAME, 1), F.lit("yyyyMMdd_HHmmss"))
+        lines = lines.filter(F.coalesce(begun <= last, F.lit(True)))
+    if first is not None:
+        lines = lines.filter(F.col("_metadata.file_modification_time") >= first - F.expr("INTERVAL 1 MINUTE"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def read_combat_logs(spark: SparkSession, path: str, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Combat lines of log files, from ``first`` to ``last`` if given: file, listener, started, at, line
+    (without markup), and the entry's kind, amount, source, target, source_ship, target_ship, weapon
+    and quality. Files without a listener are left out. Headers meet lines by an equi-join on the file."""
+    lines = log_lines(spark, path, first, last)
     heads = lines.filter(F.rlike("value", F.lit(f"{LISTENER}|{STARTED}")))
-    first = lambda p: F.max(F.nullif(F.regexp_extract("value", p, 1), F.lit("")))
-    heads = heads.groupBy("file").agg(first(LISTENER).alias("listener"), log_time(first(STARTED)).alias("started")).filter("listener IS NOT NULL")
-    combat = lines.filter(F.rlike("value", F.lit(TIMED + r"\(combat\) ")))
-    said = combat.select("file", log_time(F.regexp_extract("value", TIMED, 1)).alias("at"), parsing.strip_markup(F.regexp_replace("value", TIMED + r"\(combat\) ", "")).alias("line"))
-    return said.join(heads, "file").withColumn("p", parsing.parse_line(F.col("line"))).select("file", "listener", "started", "at", "line", "p.kind", "p.amount", "p.name")
+    found = lambda p: F.max(F.nullif(F.regexp_extract("value", p, 1), F.lit("")))
+    heads = heads.groupBy("file").agg(found(LISTENER).alias("listener"), log_time(found(STARTED)).alias("started")).filter("listener IS NOT NULL")
+    said = lines.filter(F.rlike("value", F.lit(TIMED + r"\(combat\) "))).select("file", log_time(F.regexp_extract("value", TIMED, 1)).alias("at"), F.regexp_replace("value", TIMED + r"\(combat\) ", "").alias("html"))
+    if first is not None:
+        said = said.filter(F.col("at") >= first)
+    if last is not None:
+        said = said.filter(F.col("at") <= last)
+    rows = combat.typed(said.join(heads, "file"), "html")
+    return rows.select("file", "listener", "started", "at", F.col("text").alias("line"), "entry.*")
 
 
 def read_chat_spans(spark: SparkSession, path: str) -> DataFrame:

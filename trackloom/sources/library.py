@@ -107,7 +107,7 @@ def find_logs(listed: DataFrame, start: Column, end: Column) -> DataFrame:
 
 def read_scrams(spark: SparkSession, path: str) -> DataFrame:
     """Of combat logs the attempts to hold a ship, each once: listener, at, line."""
-    return files.read_combat_logs(spark, path).filter("kind = 'scram'").select("listener", "at", "line").distinct()
+    return files.read_combat_logs(spark, path).filter("kind = 'SCRAM'").select("listener", "at", "line").distinct()
 
 
 def trimmed_logs(spark: SparkSession, path: str, first: Column, last: Column) -> DataFrame:
