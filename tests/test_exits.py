@@ -110,3 +110,19 @@ def test_points_reach(spark):
     rows = spark.createDataFrame([(False, "Stiletto"), (True, None), (False, " ONYX"), (True, "keres")], "disruption boolean, ship string")
     got = [r[0] for r in rows.select(exits.point_range(rows.disruption, rows.ship)).collect()]
     assert got == pytest.approx([15_000, 40_000, 45_000, 90_000])
+
+
+def test_an_exit_flipped_twice_is_as_before(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import contacts
+
+    schema = "i int, pilot string, x_m double, y_m double, z_m double, dir_x double, dir_y double, dir_z double, plane_exit string, plane_exit_id int, plane string"
+    rows = [(1, "A", 1000.0, 2000.0, 3000.0, 0.6, 0.0, 0.8, "cw", 1, "0 0 1 500"), (2, "A", 1.0, 2.0, 3.0, None, None, None, "ccw", 1, "0 0 1 500")]
+    rows += [(3, "A", 1.0, 2.0, 3.0, 0.0, 1.0, 0.0, "cw", 2, "0 0 1 500"), (4, "B", 1.0, 2.0, 3.0, 0.0, 1.0, 0.0, "cw", 1, "0 0 1 500"), (5, "A", 1.0, 2.0, 3.0, 0.0, 1.0, 0.0, "cw", 1, None), (6, None, None, None, None, None, None, None, None, None, "")]
+    df = spark.createDataFrame(rows, schema)
+    once = contacts.exit_flipped(df, F.lit("A"), F.lit(1))
+    got = {r.i: tuple(r)[1:] for r in once.collect()}
+    assert got[1] == ("A", 1000.0, 2000.0, -2000.0, 0.6, 0.0, -0.8, "ccw", 1, "0 0 1 500") and got[2][3:8] == (997.0, None, None, None, "cw")
+    assert all(got[i] == tuple(r)[1:] for i, r in enumerate(rows, 1) if i > 2)
+    assert sorted(map(tuple, contacts.exit_flipped(once, F.lit("A"), F.lit(1)).collect())) == rows

@@ -57,6 +57,27 @@ def flipped(fixes: DataFrame, chosen: Column, at: list[str], flat: tuple) -> Dat
     return fixes.withColumns({c: F.when(chosen, m).otherwise(F.col(c)) for c, m in zip(at, mirrored)})
 
 
+def plane_of(text: Column) -> tuple:
+    """The plane that a text such as "0.6 0.8 0 1500" names: its normal and how far along it it lies."""
+    part = F.split(F.trim(text), " +")
+    normal = tuple(F.get(part, F.lit(i)).try_cast("double") for i in range(3))
+    return tuple(c * F.get(part, F.lit(3)).try_cast("double") for c in normal), normal
+
+
+def exit_flipped(rows: DataFrame, pilot: Column, exit_id: Column) -> DataFrame:
+    """Positions (pilot, x_m, y_m, z_m, dir_x, dir_y, dir_z, plane_exit, plane_exit_id, plane) after one
+    exit of a pilot was flipped: its rows' places, to whole metres, and directions, to four decimals,
+    are mirrored in their own plane, and cw becomes ccw, anything else cw. Other rows, and rows that
+    name no plane, stay as they are; a row without a direction gets none."""
+    chosen = F.coalesce((F.col("pilot") == pilot) & (F.col("plane_exit_id") == exit_id) & (F.trim("plane") != ""), F.lit(False))
+    point, normal = plane_of(F.col("plane"))
+    place = geometry.reflect(tuple(F.col(c) for c in ("x_m", "y_m", "z_m")), (point, normal))
+    way = geometry.reflect(tuple(F.col(c) for c in ("dir_x", "dir_y", "dir_z")), (geometry.vec(0, 0, 0), normal))
+    new = {c: F.round(v) for c, v in zip(("x_m", "y_m", "z_m"), place)} | {c: F.round(v, 4) for c, v in zip(("dir_x", "dir_y", "dir_z"), way)}
+    new["plane_exit"] = F.when(F.col("plane_exit") == "cw", "ccw").otherwise("cw")
+    return rows.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
 def paired(files: DataFrame, audio: DataFrame, name: str) -> DataFrame:
     """Each file's audio: of the same name, else the only one left with the same trailing number,
     where no other file left has that number."""

@@ -53,3 +53,17 @@ def runs(df: DataFrame, key: str, order: list[str], holds: str) -> DataFrame:
     rows = df.withColumn("__j", F.when(F.expr(holds), 0).otherwise(1))
     rows = windows.carried(rows, [key], order[0], [F.col(c) for c in order[1:]], {"__g": ("sum", F.col("__j"))}).filter("__j = 0")
     return rows.groupBy(key, "__g").agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at"), F.count(F.lit(1)).alias("length")).drop("__g")
+
+
+def picked(asked: DataFrame, pairs: DataFrame, key: str, which: str, nth: str) -> DataFrame:
+    """Of each key the pairs that it asks for: the ``which``-th (by ``nth``, from 1), all for 0, the only
+    one for null. A key that can't have them has one row with reason (none: it has no pairs, several:
+    it must say which, no such: it has fewer); reason is null otherwise."""
+    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    told = asked.select(key, F.col(which).alias("__which")).distinct().join(counts, key, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    w = F.col("__which")
+    reason = F.when(F.col("__n") == 0, "none").when(w.isNull() & (F.col("__n") > 1), "several").when((w < 0) | (w > F.col("__n")), "no such")
+    told = told.withColumn("reason", reason)
+    rows = told.filter("reason IS NULL").join(pairs, key).filter(w.isNull() | (w == 0) | (w == F.col(nth)))
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in pairs.schema if f.name != key]
+    return rows.select(*pairs.columns, "reason").unionByName(told.filter("reason IS NOT NULL").select(key, *missing, "reason"))

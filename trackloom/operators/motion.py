@@ -111,6 +111,16 @@ def first_leaving(samples: DataFrame, key: str, us: str, at: list[str], tie: str
     return rows.select(key, way(F.col(f"__in.{us}"), F.col(f"__out.{us}")).alias("left_us"), *place)
 
 
+def frozen_pods(samples: DataFrame, key: str, us: str, tie: str, kind: str, capsule: str, blank: list[str]) -> DataFrame:
+    """Samples with pod: a track ends at its first capsule after another ship, and that sample, the
+    only one with pod true, keeps none of the ``blank`` columns. Tracks of capsules alone stay whole."""
+    rows = windows.carried(samples, [key], us, [F.col(tie)], {"__kind": ("last", F.col(kind))}, exclusive=True)
+    at = F.struct(us, tie)
+    first = rows.filter((F.col(kind) == capsule) & (F.col("__kind") != capsule)).groupBy(key).agg(F.min(at).alias("__end"))
+    kept = samples.join(first, key, "left").filter(F.col("__end").isNull() | (at <= F.col("__end"))).withColumn("pod", F.coalesce(at == F.col("__end"), F.lit(False)))
+    return kept.withColumns({c: F.when(~F.col("pod"), F.col(c)) for c in blank}).select(*samples.columns, "pod")
+
+
 def first_loss(events: DataFrame, key: str, us: str, kind: str, losses: list[str]) -> DataFrame:
     """The earliest of each key's events of the kinds that end a ship."""
     return events.filter(F.col(kind).isin(*losses)).groupBy(key).agg(F.min(us).alias("lost_us"), F.min_by(kind, F.struct(us, kind)).alias("by"))
@@ -125,21 +135,26 @@ def clock_us(seconds: Column, origin: Column) -> Column:
     return origin + F.round(seconds * 1e6).cast("long")
 
 
-def speed_errors(samples: DataFrame, key: str, us: str, at: list[str], told: str, least: int, most: int, unit: int, readings: int = 5, slowest: float = 300.0) -> DataFrame:
-    """key, n_windows, error: how far the pace from each sample to the first one ``least`` or more
-    later (``most`` at the most) is from the mean of the speeds read from one to the other, as a share
-    of it; the upper median of all windows with ``readings`` speeds at least and a mean of ``slowest``
-    or more. Of samples at one time a window ends at the least by place."""
-    there = lambda w: F.min(F.struct(us, *at)).over(w.rangeBetween(least, most))
+def speed_windows(samples: DataFrame, key: str, us: str, take: list[str], told: str, least: int, most: int, readings: int = 5) -> DataFrame:
+    """Samples with to (a struct of ``us`` and the ``take`` columns of the first sample ``least`` or more
+    later, ``most`` at the most) and mean (of the speeds read from one to the other, ``readings`` of
+    them at least). Of samples at one time a window ends at the least by its columns."""
+    there = lambda w: F.min(F.struct(us, *take)).over(w.rangeBetween(least, most))
     speeds = lambda w: F.collect_list(F.when(F.col(told).isNotNull(), F.struct(F.col(us).alias("t"), F.col(told).alias("v")))).over(w.rangeBetween(0, most))
-    rows = windows.framed(samples.select(key, us, *at, told), key, us, 0, most, {"__to": there, "__all": speeds}).filter(F.col("__to").isNotNull())
-    end = F.col(f"__to.{us}")
-    within = F.transform(F.filter("__all", lambda x: x["t"] <= end), lambda x: x["v"])
+    rows = windows.framed(samples, key, us, 0, most, {"to": there, "__all": speeds}).filter(F.col("to").isNotNull())
+    within = F.transform(F.filter("__all", lambda x: x["t"] <= F.col(f"to.{us}")), lambda x: x["v"])
     rows = rows.withColumn("__v", within).filter(F.size("__v") >= readings)
     mean = F.try_divide(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x), F.size("__v"))
-    way = geometry.norm(geometry.sub(tuple(F.col(f"__to.{c}") for c in at), tuple(F.col(c) for c in at)))
-    rows = rows.withColumn("__mean", mean).withColumn("__pace", way / ((end - F.col(us)) / unit)).filter(F.col("__mean") >= slowest)
-    errors = rows.select(key, F.try_divide(F.abs(F.col("__pace") - F.col("__mean")), F.col("__mean")).alias("error"))
+    return rows.withColumn("mean", mean).drop("__all", "__v")
+
+
+def speed_errors(samples: DataFrame, key: str, us: str, at: list[str], told: str, least: int, most: int, unit: int, readings: int = 5, slowest: float = 300.0) -> DataFrame:
+    """key, n_windows, error: how far the pace over each window (see ``speed_windows``) whose speeds
+    have a mean of ``slowest`` or more is from that mean, as a share of it; the upper median."""
+    rows = speed_windows(samples.select(key, us, *at, told), key, us, at, told, least, most, readings).filter(F.col("mean") >= slowest)
+    way = geometry.norm(geometry.sub(tuple(F.col(f"to.{c}") for c in at), tuple(F.col(c) for c in at)))
+    pace = way / ((F.col(f"to.{us}") - F.col(us)) / unit)
+    errors = rows.select(key, F.try_divide(F.abs(pace - F.col("mean")), F.col("mean")).alias("error"))
     return windows.medians(errors, [key], "error").select(key, F.col("n").alias("n_windows"), F.col("upper").alias("error"))
 
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators import geometry, windows
+from trackloom.operators import geometry, motion, windows
 
 #: Early readings of each pilot, distances of the first list, metres that a relative
 #: error of speed costs, seconds of a speed window, and when a second candidate is too near.
@@ -73,13 +73,11 @@ def _costs(early: DataFrame, windows_: DataFrame, side: float) -> DataFrame:
 
 def _windows(whole: DataFrame) -> DataFrame:
     """match, the ranges of a reading and of the first one WINDOW_S later, the seconds between them
-    and the mean of their speeds."""
-    keyed = whole.withColumn("__key", F.to_json(F.struct("match", "pilot")))
-    later = keyed.select("__key", "us", *[F.col(c).alias(f"__{c}") for c in ("d_a", "d_b", "d_c", "speed")])
-    asked = keyed.select("__key", "match", "d_a", "d_b", "d_c", "speed", F.col("us").alias("__us"), (F.col("us") + int(WINDOW_S * 1e6)).alias("us"))
-    pairs = windows.asof(asked, later, "__key", "us", ["__d_a", "__d_b", "__d_c", "__speed"], ahead=True)
-    pairs = pairs.withColumn("__s", (F.col("right_us") - F.col("__us")) / 1e6).withColumn("__told", (F.col("speed") + F.col("__speed")) / 2)
-    return pairs.filter((F.col("__s") <= WINDOW_MOST_S) & (F.col("__told") >= LEAST_SPEED)).select("match", "d_a", "d_b", "d_c", "__d_a", "__d_b", "__d_c", "__s", "__told")
+    and the mean of the speeds read from one to the other."""
+    keyed = whole.withColumn("__key", F.to_json(F.struct("match", "pilot"))).select("__key", "match", "us", "d_a", "d_b", "d_c", "speed")
+    pairs = motion.speed_windows(keyed, "__key", "us", ["d_a", "d_b", "d_c"], "speed", int(WINDOW_S * 1e6), int(WINDOW_MOST_S * 1e6))
+    seconds = ((F.col("to.us") - F.col("us")) / 1e6).alias("__s")
+    return pairs.filter(F.col("mean") >= LEAST_SPEED).select("match", "d_a", "d_b", "d_c", *[F.col(f"to.d_{x}").alias(f"__d_{x}") for x in "abc"], seconds, F.col("mean").alias("__told"))
 
 
 def infer(readings: DataFrame, side: float, least: float, most: float) -> DataFrame:

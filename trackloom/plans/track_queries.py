@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trackloom.operators import contacts, geometry, windows
+from trackloom.functions import naming
+from trackloom.operators import contacts, geometry, intervals, motion, windows
 from trackloom.plans.match_queries import DAY, EVENTS, HOUR, POINTS, events, points, rounded, table
 from trackloom.plans.motion_queries import PLACED, placed
 
@@ -85,6 +86,49 @@ def flip_exit(spark, sf_dir):
     return out.select("event_id", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
 
 
+FLIPS = f"""{PLACED}, r AS (SELECT event_id, CAST(user_id AS VARCHAR) AS pilot, event_id % 3 AS plane_exit_id, round(x * 1000) AS x_m, round(y * 1000) AS y_m, round(z * 1000) AS z_m, CASE WHEN event_id % 4 > 0 THEN event_id % 7 / 8.0 END AS dir_x, CASE WHEN event_id % 4 > 0 THEN event_id % 5 / 8.0 END AS dir_y, CASE WHEN event_id % 4 > 0 THEN 0.5 END AS dir_z,
+CASE WHEN event_id % 2 = 0 THEN 'cw' ELSE 'ccw' END AS plane_exit, CASE WHEN event_id % 5 > 0 THEN '0.600000 0.000000 0.800000 1500' END AS plane FROM q)"""
+
+
+@query(f"""WITH {FLIPS}, m AS (SELECT *, pilot IN ('3', '8') AND plane_exit_id = 1 AND plane IS NOT NULL AS c, 2 * (0.6 * x_m + 0.8 * z_m - 1500) AS o, 2 * (0.6 * dir_x + 0.8 * dir_z) AS w FROM r)
+SELECT event_id, CASE WHEN c THEN round(x_m - 0.6 * o) ELSE x_m END AS x_m, y_m, CASE WHEN c THEN round(z_m - 0.8 * o) ELSE z_m END AS z_m, round(CASE WHEN c THEN dir_x - 0.6 * w ELSE dir_x END, 4) AS dir_x, dir_y, round(CASE WHEN c THEN dir_z - 0.8 * w ELSE dir_z END, 4) AS dir_z, CASE WHEN NOT c THEN plane_exit WHEN plane_exit = 'cw' THEN 'ccw' ELSE 'cw' END AS plane_exit FROM m""")
+def flipped_exits(spark, sf_dir):
+    """One exit of two pilots on the other side of the observers' plane."""
+    id_ = F.col("event_id")
+    way = [F.when(id_ % 4 > 0, v).alias(c) for c, v in (("dir_x", id_ % 7 / 8), ("dir_y", id_ % 5 / 8), ("dir_z", F.lit(0.5)))]
+    rows = placed(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("pilot"), (id_ % 3).alias("plane_exit_id"), *[F.round(F.col(c) * 1000).alias(f"{c}_m") for c in "xyz"], *way, F.when(id_ % 2 == 0, "cw").otherwise("ccw").alias("plane_exit"), F.when(id_ % 5 > 0, "0.600000 0.000000 0.800000 1500").alias("plane"))
+    for pilot in ("3", "8"):
+        rows = contacts.exit_flipped(rows, F.lit(pilot), F.lit(1))
+    places = [(F.col(c) + 0.0).alias(c) for c in ("x_m", "y_m", "z_m")]
+    return rows.select("event_id", *places, *[(F.round(c, 4) + 0.0).alias(c) for c in ("dir_x", "dir_y", "dir_z")], "plane_exit")
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS before FROM e), f AS (SELECT user_id, min((us, event_id)) AS stop FROM l WHERE event_type = 'error' AND before <> 'error' GROUP BY user_id)
+SELECT event_id, event_type, CASE WHEN stop IS NULL OR (us, event_id) < stop THEN value END AS value, stop IS NOT NULL AND (us, event_id) = stop AS pod FROM e LEFT JOIN f USING (user_id) WHERE stop IS NULL OR (us, event_id) <= stop""")
+def frozen_pods(spark, sf_dir):
+    return motion.frozen_pods(events(spark, sf_dir), "user_id", "us", "event_id", "event_type", "error", ["value"]).select("event_id", "event_type", "value", "pod")
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT user_id, event_id, us, event_type, lead(event_type) OVER w AS after, lead(us) OVER w AS end_us FROM e WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+p AS (SELECT user_id, us AS start_us, end_us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS nth FROM l WHERE event_type = 'view' AND after = 'click'), n AS (SELECT user_id, count(*) AS n FROM p GROUP BY user_id),
+a AS (SELECT DISTINCT user_id, CASE user_id % 4 WHEN 1 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 9 END AS which, coalesce(n, 0) AS n FROM e LEFT JOIN n USING (user_id)), r AS (SELECT *, CASE WHEN n = 0 THEN 'none' WHEN which IS NULL AND n > 1 THEN 'several' WHEN which > n THEN 'no such' END AS reason FROM a)
+SELECT user_id, start_us, end_us, nth, reason FROM r JOIN p USING (user_id) WHERE reason IS NULL AND (which IS NULL OR which = 0 OR which = nth) UNION ALL SELECT user_id, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL""")
+def picked_pairs(spark, sf_dir):
+    """Matches between a start and an end of each recording: all, the second, the ninth or the only one."""
+    u = F.col("user_id")
+    asked = events(spark, sf_dir).select("user_id", F.when(u % 4 == 1, 0).when(u % 4 == 2, 2).when(u % 4 == 3, 9).alias("which"))
+    return intervals.picked(asked, start_end_pairs(spark, sf_dir), "user_id", "which", "nth")
+
+
+ICONS = {3: "capsule", 7: "frigate", 11: "shuttle"}
+WORDS = [("red", "titan"), ("ee", "carrier"), ("a", "cruiser")]
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 20 WHEN 3 THEN 'capsule' WHEN 7 THEN 'frigate' WHEN 11 THEN 'shuttle' ELSE CASE WHEN contains(lower(p_name), 'red') THEN 'titan' WHEN contains(lower(p_name), 'ee') THEN 'carrier' WHEN contains(lower(p_name), 'a') THEN 'cruiser' ELSE 'hull' END END AS icon FROM part""")
+def hull_icons(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", naming.hull_icon((F.col("p_partkey") % 20).cast("int"), F.col("p_name"), ICONS, WORDS, "hull").alias("icon"))
+
+
 @query(f"""WITH {POINTS} SELECT p.vec_id AS a, r.vec_id AS b, round(sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y) + (p.z - r.z) * (p.z - r.z)), 4) AS distance FROM q p JOIN q r ON p.vec_id < r.vec_id
 WHERE sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y) + (p.z - r.z) * (p.z - r.z)) <= 2""")
 def sphere_contacts(spark, sf_dir):
