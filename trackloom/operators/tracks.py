@@ -1,23 +1,27 @@
-"""Tracks from ranges to three observers, as smoothing problems.
+"""Tracks from ranges to three observers.
 
 A pilot's readings are cut into stretches wherever a range changes by more than its ship could have
-moved. Each stretch is then one least-squares problem over all its places at once: ranges, speeds
-and white noise of acceleration. Its normal equations have a band of blocks, so a stretch costs time
-in proportion to its length. The estimate is that of a filter and smoother over the same model.
-
-Partitions are sorted by key and time and read once; no group is gathered beyond one pilot's
-readings of one match.
+moved. Ranges leave two places, mirrored in the observers' plane, and a track's mirror image reads
+the same: so each step, a passage near the plane or a restart, only says whether the ship changes
+sides, and the side of a reading is the parity of the changes so far. Cuts, places and sides are
+columns and running sums. What is left, the least-squares problem of a stretch, is solved in chunks
+of CHUNK readings with OVERLAP more on either side, after which a reading's pull has died down; no
+group is larger, whatever a pilot's readings number.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from trackloom.session import ship_package
+from trackloom.operators import geometry, windows
+from trackloom.session import cut, ship_package
 
 #: Fixed values, in metres and seconds: noise of acceleration, range and speed; noise of a ship at rest.
 ACCELERATION, RANGE, SPEED = 300.0, 288.675, 50.0
@@ -29,227 +33,281 @@ JUMP, GATE, NEARER = 8_000.0, 2.0, 20_000.0
 UNKNOWN_SPEED = 1_000.0
 #: Steps of the nonlinear least squares, and the place change that ends them.
 STEPS, STILL = 12, 0.5
-#: Readings that decide between two mirror roots, or on a passage through the observers' plane.
+#: Squared heights over the observers' plane, in units of range noise times range, that are clear of
+#: it for certain and that may well be in it.
+CLEAR, AT_PLANE = 6.0, 2.0
+#: Readings whose climb decides between two mirror roots, or on a passage through the plane.
 AHEAD = 10
+#: Readings solved at once, and those on either side that are solved with them.
+CHUNK, OVERLAP = 256, 64
+#: Microseconds of a bucket of running columns; readings, padding included, that numpy takes at once.
+BUCKET_US, AT_ONCE = 600_000_000, 1 << 15
 
+RANGES = ("d_a", "d_b", "d_c")
 SCHEMA = "match string, pilot string, t double, x double, y double, z double, residual double"
 
 
-class Observers:
-    """Three observers, and both points at given ranges."""
-
-    def __init__(self, places: np.ndarray, side: float):
-        self.places, self.side = places, side
-        self.arms = places[1:] - places[0]
-        self.gram = np.linalg.inv(self.arms @ self.arms.T)
-        normal = np.cross(*self.arms)
-        self.normal = normal / np.linalg.norm(normal)
-
-    def ranges(self, p: np.ndarray) -> np.ndarray:
-        return np.linalg.norm(p[..., None, :] - self.places, axis=-1)
-
-    def roots(self, d: np.ndarray) -> np.ndarray:
-        """(readings, 2, 3): differences of the spheres give the foot in the observers' plane."""
-        right = (d[:, :1] ** 2 - d[:, 1:] ** 2 + (self.arms**2).sum(1)) / 2
-        foot = right @ self.gram @ self.arms
-        height = np.sqrt(np.maximum(d[:, 0] ** 2 - (foot**2).sum(1), 0.0))[:, None] * self.normal
-        return np.stack([foot + height, foot - height], 1) + self.places[0]
-
-    def outside(self, p: np.ndarray) -> np.ndarray:
-        return np.linalg.norm(np.maximum(np.maximum(-p, p - self.side), 0.0), axis=-1)
-
-
-def cuts(t: np.ndarray, d: np.ndarray, speed: np.ndarray) -> np.ndarray:
-    """True at the readings that begin a stretch: some range is further from its last known value
-    than JUMP and the ship's own way since then allow."""
-    new = np.zeros(len(t), bool)
-    if len(t):
-        new[0] = True
-    pace = np.where(np.isnan(speed), UNKNOWN_SPEED, speed)
-    for i in range(d.shape[1]):
-        at = np.flatnonzero(~np.isnan(d[:, i]))
-        way = np.maximum(pace[at[1:]], pace[at[:-1]]) * np.diff(t[at])
-        new[at[1:][np.abs(np.diff(d[at, i])) > JUMP + way]] = True
-    return new
-
-
-def _slope(t: np.ndarray, y: np.ndarray) -> float:
-    t = t - t.mean()
-    return float((t @ y) / max(t @ t, 1e-9)) if len(t) > 1 else 0.0
-
-
-def smoothest(t: np.ndarray, roots: np.ndarray, first: int) -> np.ndarray:
-    """One root a reading, from root ``first`` on. Between two runs of readings clear of the
-    observers' plane a ship has passed through it or turned back, whichever changes its rate of
-    climb less; readings so near the plane that noise hides their side lie between the others."""
-    foot = roots.mean(1)
-    lift = (roots[:, 0] - roots[:, 1]) / 2
-    height = np.linalg.norm(lift, axis=1)
-    normal = lift[height.argmax()] / max(height.max(), 1e-9)
-    reach = np.linalg.norm(foot - foot.mean(0), axis=1).max() + height.max()
-    clear = np.flatnonzero(height > np.sqrt(4 * RANGE * reach))
-    if len(clear) < 2:
-        return roots[:, first]
-    h, at = height[clear], t[clear]
-    # runs end where readings near the plane follow, or where one step may have crossed it
-    apart = (np.diff(clear) > 1) | (h[1:] + h[:-1] <= UNKNOWN_SPEED * np.diff(at))
-    runs = np.split(np.arange(len(clear)), np.flatnonzero(apart) + 1)
-    sign = np.ones(len(clear))
-    for one, two in zip(runs, runs[1:]):
-        before, after = one[-AHEAD:], two[:AHEAD]
-        v, w = _slope(at[before], h[before]), _slope(at[after], h[after])
-        dt = max(at[two[0]] - at[one[-1]], 1e-3)
-        cost = []
-        for side in (1.0, -1.0):
-            between = (side * h[two[0]] - h[one[-1]]) / dt
-            cost.append((between - v) ** 2 + (side * w - between) ** 2)
-        sign[two[0] :] = sign[one[-1]] * (1.0 if cost[0] < cost[1] else -1.0)
-    signed = np.interp(t, at, sign * h) * (1.0 if first == 0 else -1.0)
-    return foot + signed[:, None] * normal
+def _order() -> list[Column]:
+    return [F.col(c) for c in (*RANGES, "speed")]
+
+
+def stretches(readings: DataFrame) -> DataFrame:
+    """Readings with __key, us, n (the reading's number in its match and pilot), stretch and whole
+    (no range is unread). A stretch ends where some range is further from its last known value than
+    JUMP and the ship's own way since then allow, and lasts from its first whole reading to its last
+    one; readings outside are dropped, as are those without a time. Readings of one time are taken in
+    the order of their ranges; NaN is an unread value."""
+    known = {c: F.when(~F.isnan(c), F.col(c)).alias(c) for c in (*RANGES, "speed")}
+    rows = readings.filter(F.col("t").isNotNull() & ~F.isnan("t")).select("match", "pilot", "t", *known.values())
+    rows = rows.withColumn("__key", F.to_json(F.struct("match", "pilot"))).withColumn("us", F.round(F.col("t") * 1e6).cast("long"))
+    last = {f"__p{c}": ("last", F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).alias("d"), "speed"))) for c in RANGES}
+    rows = windows.carried(rows, ["__key"], "us", _order(), last, exclusive=True, size=BUCKET_US)
+
+    def jumps(c: str) -> Column:
+        before, pace = F.col(f"__p{c}"), lambda v: F.coalesce(v, F.lit(UNKNOWN_SPEED))
+        way = F.greatest(pace(F.col("speed")), pace(before["speed"])) * (F.col("t") - before["t"])
+        return F.coalesce(F.abs(F.col(c) - before["d"]) > JUMP + way, F.lit(False))
+
+    rows = rows.withColumn("__new", functools.reduce(lambda a, b: a | b, map(jumps, RANGES)).cast("long")).drop(*last)
+    # of rows that are equal otherwise, the one that begins a stretch comes first
+    numbered = {"stretch": ("sum", F.col("__new")), "n": ("sum", F.lit(1).cast("long"))}
+    rows = windows.carried(rows, ["__key"], "us", [*_order(), -F.col("__new")], numbered, size=BUCKET_US).drop("__new")
+    rows = cut(rows.withColumn("whole", functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in RANGES))))
+    ends = rows.filter("whole").groupBy("__key", "stretch").agg(F.min("n").alias("__first"), F.max("n").alias("__last"))
+    return rows.join(ends, ["__key", "stretch"]).filter(F.col("n").between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
+
+
+def _on(rows: DataFrame, observers: list[tuple[float, float, float]]) -> DataFrame:
+    """``rows`` with foot (a struct x, y, z) and height: the places of whole readings are height above
+    and below the foot in the observers' plane."""
+    at = tuple(geometry.vec(*o) for o in observers)
+    up, down = geometry.trilaterate(at, tuple(F.col(c) for c in RANGES))
+    rows = rows.withColumns({f"__u{a}": u for a, u in zip("xyz", up)} | {f"__d{a}": d for a, d in zip("xyz", down)})
+    foot = F.struct(*[((F.col(f"__u{a}") + F.col(f"__d{a}")) / 2).alias(a) for a in "xyz"])
+    gap = geometry.norm(tuple((F.col(f"__u{a}") - F.col(f"__d{a}")) / 2 for a in "xyz"))
+    return rows.withColumn("foot", F.when(F.col("whole"), foot)).withColumn("height", F.when(F.col("whole"), gap)).drop(*[f"__{s}{a}" for s in "ud" for a in "xyz"])
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """``rows`` with clear and run. A whole reading is clear of the plane if noise of its ranges cannot
+    hide its side, and at the plane if noise can well have lifted it. A run ends where, since its last
+    clear reading, one was at the plane or one step may have crossed it; readings that are not clear
+    belong to the run before them, a stretch's first ones to its first."""
+    by, noise = ["__key", "stretch"], RANGE * F.greatest(*RANGES)
+    rows = rows.withColumn("clear", F.coalesce(F.col("height") ** 2 > CLEAR * noise, F.lit(False)))
+    before = {"__p": ("last", F.when(F.col("whole"), F.struct("t", "height")))}
+    rows = windows.carried(rows, by, "us", [F.col("n")], before, exclusive=True, size=BUCKET_US)
+    crossed = F.col("height") + F.col("__p.height") <= UNKNOWN_SPEED * (F.col("t") - F.col("__p.t"))
+    meets = F.coalesce(crossed | (F.col("height") ** 2 < AT_PLANE * noise), F.lit(False))
+    rows = cut(rows.withColumn("__meets", F.when(meets, F.col("n"))).drop("__p"))
+    before = {"__met": ("last", F.col("__meets")), "__was": ("last", F.when(F.col("clear"), F.col("n")))}
+    rows = windows.carried(rows, by, "us", [F.col("n")], before, exclusive=True, size=BUCKET_US)
+    begins = F.col("clear") & (F.col("__was").isNull() | (F.greatest("__meets", "__met") > F.col("__was")))
+    rows = rows.withColumn("__begins", F.coalesce(begins, F.lit(False)).cast("long")).drop("__met", "__was", "__meets")
+    rows = windows.carried(rows, by, "us", [F.col("n")], {"run": ("sum", F.col("__begins"))}, size=BUCKET_US)
+    return rows.withColumn("run", F.greatest("run", F.lit(1))).drop("__begins")
+
+
+def _sides(rows: DataFrame, observers: list[tuple[float, float, float]], side: float) -> DataFrame:
+    """__key, stretch, run, sign of each run: 1 for places above the plane (geometry.trilaterate's
+    first root), -1 below. Between two runs of a stretch the ship has passed the plane or turned back,
+    whichever changes its climb less. A restart takes the root clearly nearer to the last place, else
+    the one whose climb is nearer to that before; a track starts at the root least outside the cube, of
+    equals the one nearer its centre."""
+    by = ["__key", "stretch", "run"]
+    whole = rows.filter("whole")
+    seen = F.struct("foot", "height")
+    ends = whole.groupBy(*by).agg(F.min("us").alias("us"), F.min_by(seen, "n").alias("from"), F.max_by(seen, "n").alias("to"))
+
+    def climb(order: Column, edge, name: str) -> DataFrame:
+        near = windows.top_per_group(whole.filter("clear").select(*by, "n", "t", "height"), by, [order], AHEAD)
+        return near.groupBy(*by).agg(F.coalesce(F.regr_slope("height", "t"), F.lit(0.0)).alias(f"{name}_climb"), edge("t", "n").alias(f"{name}_t"), edge("height", "n").alias(f"{name}_h"))
+
+    runs = ends.join(climb(F.col("n"), F.min_by, "first"), by, "left").join(climb(F.col("n").desc(), F.max_by, "last"), by, "left")
+    runs = cut(runs.fillna(0.0, ["first_climb", "last_climb"]))
+    before = {"__p": ("last", F.struct("stretch", "to", "last_climb", "last_t", "last_h"))}
+    runs = windows.carried(runs, ["__key"], "us", [F.col("stretch"), F.col("run")], before, exclusive=True, size=BUCKET_US)
+    _, normal = geometry.plane(*(geometry.vec(*o) for o in observers))
+    lifted = lambda s, sign: geometry.add(tuple(s["foot"][a] for a in "xyz"), geometry.scale(normal, sign * s["height"]))
+    last, v, w = lifted(F.col("__p.to"), 1.0), F.col("__p.last_climb"), F.col("first_climb")
+    between = lambda s: (s * F.col("first_h") - F.col("__p.last_h")) / F.greatest(F.col("first_t") - F.col("__p.last_t"), F.lit(1e-3))
+    bend = lambda s: (between(s) - v) ** 2 + (s * w - between(s)) ** 2
+    up, down = lifted(F.col("from"), 1.0), lifted(F.col("from"), -1.0)
+    away, mirrored = geometry.norm(geometry.sub(up, last)), geometry.norm(geometry.sub(down, last))
+    restart = F.when(F.abs(away - mirrored) > NEARER, mirrored < away).otherwise(F.abs(w + v) < F.abs(w - v))
+    middle = geometry.vec(*[side / 2] * 3)
+    start = F.struct(geometry.outside(down, side), geometry.norm(geometry.sub(down, middle))) < F.struct(geometry.outside(up, side), geometry.norm(geometry.sub(up, middle)))
+    changes = F.when(F.col("__p").isNull(), start).when(F.col("__p.stretch") == F.col("stretch"), bend(-1.0) <= bend(1.0)).otherwise(restart)
+    runs = runs.withColumn("__changes", F.coalesce(changes, F.lit(False)).cast("long")).select(*by, "us", "__changes")
+    runs = windows.carried(runs, ["__key"], "us", [F.col("stretch"), F.col("run")], {"__sum": ("sum", F.col("__changes"))}, size=BUCKET_US)
+    return runs.select(*by, F.when(F.col("__sum") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+
+
+def placed(readings: DataFrame, observers: list[tuple[float, float, float]], side: float) -> DataFrame:
+    """The readings of ``stretches`` with foot, height, clear, run and sign."""
+    rows = cut(_runs(_on(stretches(readings), observers)))
+    return rows.join(_sides(rows, observers, side), ["__key", "stretch", "run"])
+
+
+def _guessed(rows: DataFrame, observers: list[tuple[float, float, float]]) -> DataFrame:
+    """``rows`` of ``placed`` with gx, gy, gz: on the line between the feet of the whole readings
+    around, lifted by the heights, each on its side, of the clear readings around; where a stretch has
+    none, by those of its whole readings."""
+    height = (F.col("sign") * F.col("height")).alias("h")
+    seen = {"w": F.when(F.col("whole"), F.struct("t", *[F.col(f"foot.{a}").alias(a) for a in "xyz"], height)), "c": F.when(F.col("clear"), F.struct("t", height))}
+    for end, ahead in ((0, False), (1, True)):
+        found = {f"__{name}{end}": ("last", c) for name, c in seen.items()}
+        rows = windows.carried(rows, ["__key", "stretch"], "us", [-F.col("n") if ahead else F.col("n")], found, ahead=ahead, size=BUCKET_US)
+
+    def line(name: str, of: str) -> Column:
+        a, b = F.coalesce(f"__{name}0", f"__{name}1"), F.coalesce(f"__{name}1", f"__{name}0")
+        apart = b["t"] - a["t"]
+        return F.when(apart > 0, a[of] + (b[of] - a[of]) * (F.col("t") - a["t"]) / apart).otherwise(a[of])
+
+    _, normal = geometry.plane(*(geometry.vec(*o) for o in observers))
+    lift = F.coalesce(line("c", "h"), line("w", "h"))
+    return rows.withColumns({f"g{a}": line("w", a) + lift * n for a, n in zip("xyz", normal)})
 
 
 def _solved(blocks: np.ndarray, ahead: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Block tridiagonal elimination: blocks on the diagonal, ``ahead`` between k and k + 1."""
-    n = len(blocks)
-    left, y = blocks.copy(), right.copy()
-    for k in range(1, n):
-        f = np.linalg.solve(left[k - 1], ahead[k - 1]).T
-        left[k] -= f @ ahead[k - 1]
-        y[k] -= f @ y[k - 1]
+    """Block tridiagonal elimination of many systems at once: (systems, blocks, 6, 6) on the
+    diagonal, ``ahead`` between k and k + 1."""
+    left, y = blocks.copy(), right[..., None].copy()
+    for k in range(1, left.shape[1]):
+        f = np.linalg.solve(left[:, k - 1], ahead[:, k - 1]).transpose(0, 2, 1)
+        left[:, k] -= f @ ahead[:, k - 1]
+        y[:, k] -= f @ y[:, k - 1]
     x = np.empty_like(y)
-    for k in range(n - 1, -1, -1):
-        x[k] = np.linalg.solve(left[k], y[k] - (ahead[k] @ x[k + 1] if k + 1 < n else 0.0))
-    return x
+    x[:, -1] = np.linalg.solve(left[:, -1], y[:, -1])
+    for k in range(left.shape[1] - 2, -1, -1):
+        x[:, k] = np.linalg.solve(left[:, k], y[:, k] - ahead[:, k] @ x[:, k + 1])
+    return x[..., 0]
 
 
-def smoothed(at: Observers, t: np.ndarray, d: np.ndarray, speed: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a stretch from a first guess ``p``, and each reading's mean squared range error in
-    deviations. Unknown ranges and speeds have no term; speeds beyond the gate weigh less."""
-    n = len(t)
-    known = ~np.isnan(d)
-    h = np.maximum(np.diff(t), 1e-3)
+def _change(at: np.ndarray, t: np.ndarray, d: np.ndarray, speed: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """One Gauss-Newton step of (chunks, readings) places ``p``; readings with no time are padding."""
+    real, known, eye = ~np.isnan(t), ~np.isnan(d), np.eye(3)
+    two_real, three_real = real[:, 1:], real[:, 2:]
+    h = np.where(two_real, np.maximum(np.diff(t), 1e-3), 1.0)
     resting = speed <= REST_SPEED
-    still = resting[1:] & resting[:-1]
+    still = resting[:, 1:] & resting[:, :-1]
+    n = t.shape[1]
+    # bands of 3 x 3 blocks: a reading with itself, the next one, the one after
+    own, one, two = (np.zeros((*t.shape, 3, 3)) for _ in range(3))
+    way = p[:, :, None] - at
+    far = np.maximum(np.linalg.norm(way, axis=-1), 1.0)
+    unit = way / far[..., None]
+    own += np.einsum("bki,bkix,bkiy->bkxy", known / RANGE**2, unit, unit)
+    g = np.einsum("bki,bkix->bkx", np.where(known, d - far, 0.0) / RANGE**2, unit)
+    # between two readings at rest the ship does not move; else its way has the read length
+    step = np.diff(p, axis=1) / h[..., None]
+    pace = np.linalg.norm(step, axis=-1)
+    told = np.where(np.isnan(speed[:, 1:]), speed[:, :-1], speed[:, 1:])
+    off = np.where(np.isnan(told), 0.0, told - pace)
+    weight = np.where(np.isnan(told) | (pace < 1.0), 0.0, np.minimum(1.0, GATE * SPEED / np.maximum(np.abs(off), 1e-9)) / SPEED**2)
+    along = step / np.maximum(pace, 1e-9)[..., None]
+    hess = np.where(still[..., None, None], eye / REST_SIGMA**2, weight[..., None, None] * along[..., :, None] * along[..., None, :]) / (h**2)[..., None, None]
+    grad = np.where(still[..., None], -step / REST_SIGMA**2, (weight * off)[..., None] * along) / h[..., None]
+    hess, grad = hess * two_real[..., None, None], grad * two_real[..., None]
+    own[:, 1:] += hess
+    own[:, :-1] += hess
+    one[:, :-1] -= hess
+    g[:, 1:] += grad
+    g[:, :-1] -= grad
+    # change of velocity between three readings
+    c = np.stack([1 / h[:, :-1], -1 / h[:, :-1] - 1 / h[:, 1:], 1 / h[:, 1:]], -1)
+    noise = np.where(still[:, 1:] & still[:, :-1], REST_ACCELERATION, ACCELERATION) ** 2 * (h[:, :-1] + h[:, 1:]) / 2
+    sure = three_real / noise
+    bend = c[..., :1] * p[:, :-2] + c[..., 1:2] * p[:, 1:-1] + c[..., 2:] * p[:, 2:]
+    for i, band in enumerate((own, one, two)):
+        for j in range(3 - i):
+            band[:, j : j + n - 2] += (c[..., j] * c[..., j + i] * sure)[..., None, None] * eye
+    for j in range(3):
+        g[:, j : j + n - 2] -= (c[..., j] * sure)[..., None] * bend
+    own += np.where(real, 1e-9, 1.0)[..., None, None] * eye
+    # two readings a block make the band block tridiagonal
+    blocks, ahead = np.zeros((len(t), n // 2, 6, 6)), np.zeros((len(t), n // 2, 6, 6))
+    blocks[..., :3, :3], blocks[..., 3:, 3:], blocks[..., :3, 3:], blocks[..., 3:, :3] = own[:, ::2], own[:, 1::2], one[:, ::2], one[:, ::2]
+    ahead[..., :3, :3], ahead[..., 3:, 3:], ahead[..., 3:, :3] = two[:, ::2], two[:, 1::2], one[:, 1::2]
+    return _solved(blocks, ahead, g.reshape(len(t), n // 2, 6)).reshape(len(t), n, 3)
+
+
+def smoothed(at: np.ndarray, t: np.ndarray, d: np.ndarray, speed: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Places of chunks (an even number of readings, four at least) from a first guess ``p``. Unknown
+    ranges and speeds have no term; speeds beyond the gate weigh less. A chunk that is still is done,
+    whatever the others need."""
+    p, busy = p.copy(), np.arange(len(t))
     for _ in range(STEPS):
-        # bands of 3 x 3 blocks: a reading with itself, the next one, the one after
-        own, one, two, g = np.zeros((n, 3, 3)), np.zeros((n, 3, 3)), np.zeros((n, 3, 3)), np.zeros((n, 3))
-        way = p[:, None] - at.places
-        far = np.maximum(np.linalg.norm(way, axis=-1), 1.0)
-        unit = way / far[..., None]
-        miss = np.where(known, d - far, 0.0) / RANGE**2
-        own += np.einsum("ki,kia,kib->kab", known / RANGE**2, unit, unit)
-        g += np.einsum("ki,kia->ka", miss, unit)
-        if n > 1:
-            step = np.diff(p, axis=0) / h[:, None]
-            pace = np.linalg.norm(step, axis=1)
-            # between two readings at rest the ship does not move; else its way has the read length
-            told = np.where(np.isnan(speed[1:]), speed[:-1], speed[1:])
-            off = np.where(np.isnan(told), 0.0, told - pace)
-            weight = np.where(np.isnan(told) | (pace < 1.0), 0.0, np.minimum(1.0, GATE * SPEED / np.maximum(np.abs(off), 1e-9)) / SPEED**2)
-            along = step / np.maximum(pace, 1e-9)[:, None]
-            hess = np.where(still[:, None, None], np.eye(3) / REST_SIGMA**2, weight[:, None, None] * along[:, :, None] * along[:, None]) / (h**2)[:, None, None]
-            grad = np.where(still[:, None], -step / REST_SIGMA**2, (weight * off)[:, None] * along) / h[:, None]
-            own[1:] += hess
-            own[:-1] += hess
-            one[:-1] -= hess
-            g[1:] += grad
-            g[:-1] -= grad
-        if n > 2:
-            c = np.stack([1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]], 1)  # change of velocity
-            noise = np.where(still[1:] & still[:-1], REST_ACCELERATION, ACCELERATION) ** 2 * (h[:-1] + h[1:]) / 2
-            bend = c[:, :1] * p[:-2] + c[:, 1:2] * p[1:-1] + c[:, 2:] * p[2:]
-            eye = np.eye(3)
-            for i, band in enumerate((own, one, two)):
-                for j in range(3 - i):
-                    band[j : j + n - 2] += (c[:, j] * c[:, j + i] / noise)[:, None, None] * eye
-            for j in range(3):
-                g[j : j + n - 2] -= (c[:, j] / noise)[:, None] * bend
-        own += np.eye(3) * 1e-9
-        # two readings a block make the band block tridiagonal
-        m = (n + 1) // 2
-        if n % 2:
-            own, one, two, g = (np.concatenate([x, np.zeros((1, *x.shape[1:]))]) for x in (own, one, two, g))
-            own[-1] = np.eye(3)
-        blocks, ahead = np.zeros((m, 6, 6)), np.zeros((m, 6, 6))
-        blocks[:, :3, :3], blocks[:, 3:, 3:], blocks[:, :3, 3:], blocks[:, 3:, :3] = own[::2], own[1::2], one[::2], one[::2].transpose(0, 2, 1)
-        ahead[:, :3, :3], ahead[:, 3:, 3:], ahead[:, 3:, :3] = two[::2], two[1::2], one[1::2]
-        change = _solved(blocks, ahead, g.reshape(m, 6)).reshape(-1, 3)[:n]
-        size = np.linalg.norm(change, axis=1)
-        p = p + change * np.minimum(1.0, 20_000.0 / np.maximum(size, 1e-9))[:, None]
-        if size.max() < STILL:
+        change = _change(at, t[busy], d[busy], speed[busy], p[busy])
+        size = np.linalg.norm(change, axis=-1)
+        p[busy] += change * np.minimum(1.0, 20_000.0 / np.maximum(size, 1e-9))[..., None]
+        busy = busy[size.max(1) >= STILL]
+        if not len(busy):
             break
-    off = np.where(known, at.ranges(p) - d, 0.0) / RANGE
-    return p, (off**2).sum(1) / np.maximum(known.sum(1), 1)
-
-
-def track(at: Observers, t: np.ndarray, d: np.ndarray, speed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kept readings, their places and the deviations of their ranges in metres. A stretch lasts
-    from its first to its last complete reading; what lies outside it is dropped. The first
-    stretch begins at the root least outside the cube, of equals the one nearer its centre; a later
-    one at the root clearly nearer to the last place, else at the one that fits better."""
-    kept, places, errors, last = [], [], [], None
-    complete = ~np.isnan(d).any(1)
-    for part in np.split(np.arange(len(t)), np.flatnonzero(cuts(t, d, speed))[1:]):
-        full = part[complete[part]]
-        if not len(full):
-            continue
-        part = part[(part >= full[0]) & (part <= full[-1])]
-        roots = at.roots(d[full])
-        choices = [0, 1]
-        if last is None:
-            centre = np.linalg.norm(roots[0] - at.side / 2, axis=1)
-            choices = [int(np.lexsort((centre, at.outside(roots[0])))[0])]
-        else:
-            away = np.linalg.norm(roots[0] - last, axis=1)
-            if abs(away[0] - away[1]) > NEARER:
-                choices = [int(away.argmin())]
-        found = []
-        for c in choices:
-            guess = smoothest(t[full], roots, c)
-            guess = np.stack([np.interp(t[part], t[full], guess[:, i]) for i in range(3)], 1)
-            found.append(smoothed(at, t[part], d[part], speed[part], guess))
-        p, error = min(found, key=lambda x: x[1][:AHEAD].mean())
-        kept.append(part)
-        places.append(p)
-        errors.append(np.sqrt(error) * RANGE)
-        last = p[-1]
-    if not kept:
-        return np.zeros(0, int), np.zeros((0, 3)), np.zeros(0)
-    return np.concatenate(kept), np.concatenate(places), np.concatenate(errors)
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Each key's rows of a sorted partition."""
-    held: list[pa.RecordBatch] = []
+    return p
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole chunks of a sorted partition, and where each begins."""
+    held = None
     for batch in batches:
-        if not batch.num_rows:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        if not rows.num_rows:
             continue
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        begins = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
-        for i, j in zip(begins, [*begins[1:], len(keys)]):
-            if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != keys[i]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield pa.Table.from_batches(held)
+        new = np.zeros(rows.num_rows, bool)
+        for c in ("__key", "stretch", "chunk"):
+            new[1:] |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, rows.num_rows - 1)).to_numpy()
+        begins = np.concatenate([[0], np.flatnonzero(new)])
+        if len(begins) > 1:
+            yield rows.slice(0, begins[-1]), begins[:-1]
+        held = rows.slice(begins[-1])
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, int)
+
+
+def _padded(begins: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of like length together: (chunks, readings) row numbers, and which of them are padding."""
+    order = np.argsort(lengths, kind="stable")
+    while len(order):
+        longest = max(4, int(lengths[order[-1]] + 1) // 2 * 2)
+        take = order[-max(1, AT_ONCE // longest) :]
+        take = take[lengths[take] * 2 >= min(longest, lengths[take].max())]
+        order = order[: len(order) - len(take)]
+        place = np.arange(longest)[None]
+        yield begins[take][:, None] + np.minimum(place, lengths[take][:, None] - 1), place >= lengths[take][:, None]
 
 
 def solve_tracks(readings: DataFrame, observers: list[tuple[float, float, float]], side: float) -> DataFrame:
-    """Places (match, pilot, t, x, y, z, residual) from readings (match, pilot, t, d_a, d_b, d_c,
-    speed; null where unread) of a cube with edge ``side``. Readings of one time are taken in the
-    order of their ranges."""
+    """Places (match, pilot, t, x, y, z) and residual (root mean square of how far known ranges are
+    missed) from readings (match, pilot, t, d_a, d_b, d_c, speed; null where unread) of a cube with
+    edge ``side``: the readings that ``stretches`` keeps. Null matches and pilots are keys of their
+    own; other columns are not read."""
     ship_package(readings.sparkSession)
     places = np.array(observers, float)
+    rows = _guessed(placed(readings, observers, side), observers).select("__key", "stretch", "n", "match", "pilot", "t", *RANGES, "speed", "gx", "gy", "gz")
+    chunk = lambda c: F.floor(c / F.lit(CHUNK)).cast("long")
+    rows = rows.withColumn("own", chunk(F.col("n")))
+    rows = rows.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(F.col("n") - OVERLAP), F.col("own"), chunk(F.col("n") + OVERLAP)))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = Observers(places, side)
-        for rows in _keyed(batches):
-            t, *d, speed = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("t", "d_a", "d_b", "d_c", "speed"))
-            kept, p, error = track(at, t, np.stack(d, 1), speed)
-            if len(kept):
-                keys = [rows.column(c).combine_chunks().take(pa.array(kept)) for c in ("match", "pilot")]
-                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, (t[kept], *p.T, error))], names=["match", "pilot", "t", "x", "y", "z", "residual"])
-
-    dealt = readings.select("match", "pilot", "t", "d_a", "d_b", "d_c", "speed").repartition("match", "pilot")
-    return dealt.sortWithinPartitions("match", "pilot", "t", "d_a", "d_b", "d_c").mapInArrow(work, SCHEMA)
+        for table, begins in _groups(batches):
+            lengths = np.diff(np.append(begins, table.num_rows))
+            t, speed, *rest = (table[c].to_numpy().astype(float) for c in ("t", "speed", *RANGES, "gx", "gy", "gz"))
+            d, guess = np.stack(rest[:3], 1), np.stack(rest[3:], 1)
+            own = table["own"].to_numpy() == table["chunk"].to_numpy()
+            out = np.zeros((len(t), 3))
+            some = np.logical_or.reduceat(own, begins)
+            for at, padding in _padded(begins[some], lengths[some]):
+                hide = lambda x: np.where(padding.reshape(padding.shape + (1,) * (x.ndim - 2)), np.nan, x)
+                found = smoothed(places, hide(t[at]), hide(d[at]), hide(speed[at]), guess[at])
+                out[at[~padding]] = found[~padding]
+            off = np.where(np.isnan(d), 0.0, np.linalg.norm(out[:, None] - places, axis=-1) - d)
+            residual = np.sqrt((off**2).sum(1) / np.maximum((~np.isnan(d)).sum(1), 1))
+            keep = np.flatnonzero(own)
+            if len(keep):
+                keys = [table[c].combine_chunks().take(pa.array(keep)) for c in ("match", "pilot")]
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, (t[keep], *out[keep].T, residual[keep]))], names=["match", "pilot", "t", "x", "y", "z", "residual"])
+
+    dealt = rows.repartition("__key", "stretch", "chunk").sortWithinPartitions("__key", "stretch", "chunk", "n")
+    return dealt.mapInArrow(work, SCHEMA)
