@@ -149,3 +149,45 @@ def synthetic_ranges(e):
 @query()
 def kalman_tracks(spark, sf_dir):
     return tracks.solve_tracks(synthetic_ranges(events(spark, sf_dir)), OBSERVERS, 500_000.0)
+
+
+def flown_ranges(e):
+    """Readings of ships that dive through the observers' plane and jump aside every fourth hour."""
+    t = (F.col("us") % DAY) / 1_000_000.0 / 60
+    aside = F.when(F.floor(F.col("us") / (4 * HOUR)) % 2 == 0, 0.0).otherwise(90_000.0)
+    place = geometry.vec(150_000 + 40 * t + aside, 250_000 + 20 * t, 144_000 - 200 * t)
+    far = [F.round(geometry.norm(geometry.sub(place, geometry.vec(*o))) / 1000) * 1000 for o in OBSERVERS]
+    named = [F.when((F.col("event_id") % 7 != 0) | (i != 1), d).alias(n) for i, (d, n) in enumerate(zip(far, tracks.RANGES))]
+    speed = F.when(F.col("event_id") % 3 == 0, 200.0).alias("speed")
+    return e.select(F.floor(F.col("us") / DAY).cast("string").alias("match"), F.col("user_id").cast("string").alias("pilot"), t.alias("t"), *named, speed)
+
+
+def _stretches_sql() -> str:
+    """Last known values per range, jumps, stretch numbers, then each stretch from whole to whole."""
+    far = lambda x, y: f"round(sqrt(pow(x - {x}, 2) + pow(y - {y}, 2) + z * z) / 1000) * 1000"
+    order = "ORDER BY us, d_a NULLS FIRST, d_b NULLS FIRST, d_c NULLS FIRST, speed NULLS FIRST"
+    past = f"OVER (PARTITION BY match, pilot {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    last = ", ".join(f"last_value(CASE WHEN {d} IS NOT NULL THEN {{'t': t, 'd': {d}, 's': speed}} END IGNORE NULLS) {past} AS p{d}" for d in tracks.RANGES)
+    jump = " OR ".join(f"coalesce(abs({d} - p{d}.d) > {tracks.JUMP} + greatest(coalesce(speed, {tracks.UNKNOWN_SPEED}), coalesce(p{d}.s, {tracks.UNKNOWN_SPEED})) * (t - p{d}.t), false)" for d in tracks.RANGES)
+    return f"""WITH {EVENTS}, f AS (SELECT event_id, us AS whole_us, user_id, (us % {DAY}) / 1000000.0::DOUBLE / 60 AS t FROM e),
+        q AS (SELECT *, 150000 + 40 * t + CASE WHEN (whole_us // {4 * HOUR}) % 2 = 0 THEN 0.0 ELSE 90000.0 END AS x, 250000 + 20 * t AS y, 144000 - 200 * t AS z FROM f),
+        r AS (SELECT (whole_us // {DAY})::VARCHAR AS match, user_id::VARCHAR AS pilot, t, round(t * 1e6)::BIGINT AS us, {far(0, 0)} AS d_a, CASE WHEN event_id % 7 <> 0 THEN {far(500_000, 0)} END AS d_b,
+            {far(0, 500_000)} AS d_c, CASE WHEN event_id % 3 = 0 THEN 200.0 END AS speed FROM q),
+        l AS (SELECT *, {last} FROM r),
+        j AS (SELECT *, ({jump})::BIGINT AS new FROM l),
+        s AS (SELECT *, (sum(new) OVER w)::BIGINT AS stretch, row_number() OVER w AS n, d_b IS NOT NULL AS whole FROM j WINDOW w AS (PARTITION BY match, pilot {order}, new DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        k AS (SELECT *, min(n) FILTER (whole) OVER g AS first, max(n) FILTER (whole) OVER g AS last FROM s WINDOW g AS (PARTITION BY match, pilot, stretch))
+        SELECT match, pilot, stretch, count(*) AS n_readings, count(*) FILTER (whole) AS n_whole, round(min(t), 4) AS begins, round(max(t), 4) AS ends FROM k WHERE n BETWEEN first AND last GROUP BY ALL"""
+
+
+@query(_stretches_sql())
+def track_stretches(spark, sf_dir):
+    rows = tracks.stretches(flown_ranges(events(spark, sf_dir)))
+    return rows.groupBy("match", "pilot", "stretch").agg(F.count(F.lit(1)).alias("n_readings"), F.count_if("whole").alias("n_whole"), F.round(F.min("t"), 4).alias("begins"), F.round(F.max("t"), 4).alias("ends"))
+
+
+@query()
+def track_sides(spark, sf_dir):
+    """How many whole readings each run of a stretch has, and on which side of the plane it is."""
+    rows = tracks.placed(flown_ranges(events(spark, sf_dir)), OBSERVERS, 500_000.0)
+    return rows.filter("whole").groupBy("match", "pilot", "stretch", "run", "sign").agg(F.count(F.lit(1)).alias("n_whole"), F.count_if("clear").alias("n_clear"))
