@@ -3,7 +3,8 @@
 Observers stand on diagonals of a cube at one distance from its centre. A candidate is a triple of
 corners, one for each shape that a cube's symmetries leave apart, and a distance. Wrong candidates
 make spheres that do not meet, places outside the cube and wrong speeds. Candidates are a fixed
-list: each early reading is spread over them by number, and costs are averages by candidate.
+list: each early reading is spread over them by number, and windows of speed meet only those that
+can still be the best.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import geometry, motion, windows
+from trackloom.session import cut
 
 #: Early readings of each pilot, distances of the first list, metres that a relative
 #: error of speed costs, seconds of a speed window, and when a second candidate is too near.
@@ -55,20 +57,39 @@ def _named(rows: DataFrame, name: str, points: tuple[geometry.Vec, ...]) -> tupl
     return rows.withColumns(made), tuple(tuple(F.col(f"__{name}{i}{a}") for a in "xyz") for i in range(len(points)))
 
 
-def _costs(early: DataFrame, windows_: DataFrame, side: float) -> DataFrame:
-    """match, shape, distance, cost of candidates that both kinds of rows carry (shape, distance):
-    the mean over early readings of the residual and of how far the nearer root is outside the cube,
-    and SPEED_COST times the upper median over windows of how far the pace is from the mean of the
-    speeds read, as a share of it. A window's ends are on one side of the observers' plane."""
-    by, d = ["match", "shape", "distance"], _ranges()
+def _starts(early: DataFrame, side: float) -> DataFrame:
+    """match, shape, distance, start of the candidates that ``early`` carries: the mean over early
+    readings of the residual and of how far the nearer root is outside the cube."""
     early, at = _named(early, "at", places(F.col("shape"), F.col("distance"), side))
-    early, (up, down) = _named(early, "root", geometry.trilaterate(at, d))
-    start = early.groupBy(*by).agg(F.avg(geometry.range_residual(up, at, d) + F.least(geometry.outside(up, side), geometry.outside(down, side))).alias("cost"))
-    rows, at = _named(windows_, "at", places(F.col("shape"), F.col("distance"), side))
-    rows, (here, there) = _named(rows, "end", (geometry.trilaterate(at, d)[0], geometry.trilaterate(at, _ranges("__"))[0]))
+    early, (up, down) = _named(early, "root", geometry.trilaterate(at, _ranges()))
+    off = geometry.range_residual(up, at, _ranges()) + F.least(geometry.outside(up, side), geometry.outside(down, side))
+    return early.groupBy("match", "shape", "distance").agg(F.avg(off).alias("start"))
+
+
+def _totals(candidates: DataFrame, paced: DataFrame, side: float) -> DataFrame:
+    """``candidates`` with cost: start and SPEED_COST times the upper median over windows of how far the
+    pace is from the mean of the speeds read, as a share of it. A window's ends are on one side of the
+    observers' plane."""
+    by = ["match", "shape", "distance"]
+    rows, at = _named(paced.join(candidates.select(*by), "match"), "at", places(F.col("shape"), F.col("distance"), side))
+    rows, (here, there) = _named(rows, "end", (geometry.trilaterate(at, _ranges())[0], geometry.trilaterate(at, _ranges("__"))[0]))
     error = F.abs(geometry.norm(geometry.sub(there, here)) / F.col("__s") - F.col("__told")) / F.col("__told")
-    speeds = rows.groupBy(*by).agg(F.get(F.array_sort(F.collect_list(error)), F.floor(F.count(error) / 2).cast("int")).alias("error"))
-    return start.join(speeds, by, "left").select(*by, (F.col("cost") + SPEED_COST * F.coalesce("error", F.lit(0.0))).alias("cost"))
+    # cut, so that no filter of the medians is worked out below the places
+    speeds = windows.medians(cut(rows.select(*by, error.alias("error"))), by, "error").select(*by, F.col("upper").alias("error"))
+    return candidates.join(speeds, by, "left").withColumn("cost", F.col("start") + SPEED_COST * F.coalesce("error", F.lit(0.0))).drop("error")
+
+
+def _cheapest(early: DataFrame, paced: DataFrame, side: float) -> DataFrame:
+    """match, shape, cost, distance: each shape's best of the candidates that ``early`` carries. Speeds
+    only add to a cost, so after the candidate of least start only those that start no dearer than
+    its whole cost are timed: the result is that of timing all."""
+    starts = cut(_starts(early, side))
+    least = starts.groupBy("match", "shape").agg(F.min(F.struct("start", "distance")).alias("m")).select("match", "shape", "m.distance", "m.start")
+    first = cut(_totals(least, paced, side))
+    bound = first.select("match", "shape", F.col("cost").alias("__most"), F.col("distance").alias("__done"))
+    open_ = starts.join(bound, ["match", "shape"]).filter((F.col("start") <= F.col("__most")) & (F.col("distance") != F.col("__done"))).select(*starts.columns)
+    both = first.unionByName(_totals(open_, paced, side))
+    return both.groupBy("match", "shape").agg(F.min(F.struct("cost", "distance")).alias("m")).select("match", "shape", "m.cost", "m.distance")
 
 
 def _windows(whole: DataFrame) -> DataFrame:
@@ -86,8 +107,8 @@ def infer(readings: DataFrame, side: float, least: float, most: float) -> DataFr
     DISTANCES between ``least`` and ``most``, then of a finer one around it. ambiguous: the second
     shape's cost is within NEAR_RATIO or NEAR_METRES of the first's."""
     whole = readings.filter(F.col("d_a").isNotNull() & F.col("d_b").isNotNull() & F.col("d_c").isNotNull()).withColumn("us", F.round(F.col("t") * 1e6).cast("long"))
-    early = windows.top_per_group(whole, ["match", "pilot"], [F.col("us"), *_ranges()], EARLY).select("match", "d_a", "d_b", "d_c")
-    paced = _windows(whole)
+    early = windows.top_per_group(whole, ["match", "pilot"], [F.col("us"), *_ranges()], EARLY).select("match", "d_a", "d_b", "d_c").transform(cut)
+    paced = cut(_windows(whole))
     ratio = math.log(most / least) / (DISTANCES - 1)
     n = len(shapes())
 
@@ -95,15 +116,9 @@ def infer(readings: DataFrame, side: float, least: float, most: float) -> DataFr
         rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(n * DISTANCES - 1))))
         return rows.withColumn("shape", F.floor(F.col("__i") / DISTANCES).cast("int")).withColumn("distance", least * F.exp(ratio * (F.col("__i") % DISTANCES)))
 
-    coarse = _costs(listed(early), listed(paced), side)
-    best = coarse.groupBy("match", "shape").agg(F.min_by("distance", F.struct("cost", "distance")).alias("__from"))
-
-    def finer(rows: DataFrame) -> DataFrame:
-        rows = rows.join(best, "match").withColumn("__i", F.explode(F.sequence(F.lit(-FINER), F.lit(FINER))))
-        return rows.withColumn("distance", F.col("__from") * F.exp(ratio * F.col("__i") / FINER))
-
-    fine = _costs(finer(early), finer(paced), side)
-    total = fine.groupBy("match", "shape").agg(F.min(F.struct("cost", "distance")).alias("m")).select("match", "shape", "m.cost", "m.distance")
+    best = cut(_cheapest(listed(early), paced, side)).select("match", "shape", F.col("distance").alias("__from"))
+    finer = early.join(best, "match").withColumn("__i", F.explode(F.sequence(F.lit(-FINER), F.lit(FINER))))
+    total = _cheapest(finer.withColumn("distance", F.col("__from") * F.exp(ratio * F.col("__i") / FINER)), paced, side)
     ranked = total.withColumn("k", F.row_number().over(Window.partitionBy("match").orderBy("cost", "shape"))).filter("k <= 2")
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     out = ranked.groupBy("match").agg(pick(1, "shape").alias("shape"), pick(1, "distance").alias("distance"), pick(1, "cost").alias("cost"), pick(2, "cost").alias("runner_up"))
