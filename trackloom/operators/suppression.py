@@ -15,29 +15,38 @@ def suppressed(marks: DataFrame, keys: list[str], at: list[str], score: str, tie
     mark is kept if none kept before lies less than ``reach`` from it along every axis of ``at``. ``tie``
     is a mark's own.
 
-    In rounds: of what is left, marks that come first among all within reach are kept and those within
-    reach of them drop out, which keeps the order's choice. Neighbours meet by cells of ``reach``, so
-    no mark meets all others; a row of marks each just better than the next takes a round for every
-    two, so rows that would chain far are cut by ``keys``."""
-    names = [*keys, *at, score, tie]
-    left, kept = cut(marks.select(*names)), []
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    while not left.isEmpty():
-        own = left.select(*names, *[cell(c).alias(f"__c{i}") for i, c in enumerate(at)])
-        near = left.select(*keys, *[F.col(c).alias(f"__{c}") for c in at], F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")).alias("__rank"), *[cell(c).alias(f"__c{i}") for i, c in enumerate(at)])
-        for i in range(len(at)):
-            near = near.withColumn("__d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"__c{i}", F.col(f"__c{i}") + F.col("__d")).drop("__d")
+    Of marks at one place only the first in that order counts: what drops it drops the others. Then
+    in rounds: of what is left, marks that come first among all within reach are kept and those within
+    reach of them drop out, which keeps the order's choice. Marks lie in cells of ``reach``, all of one
+    cell within reach of each other, so only each cell's first may be kept and a mark meets at most
+    those of the cells around, however many share its cell. A row of marks each just better than the
+    next takes a round for every two, so rows that would chain far are cut by ``keys``. Marks with an
+    unknown key or place meet none and are kept."""
+    names, cells = [*keys, *at, score, tie], [f"__c{i}" for i in range(len(at))]
+    rank = F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))
+    unknown = functools.reduce(lambda a, b: a | b, [*[F.col(c).isNull() for c in (*keys, *at)], *[F.isnan(F.col(c).cast("double")) for c in at]])
+    marks = marks.select(*names)
+    placed = marks.filter(~unknown).groupBy(*keys, *at).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"), F.col(score).alias("score"))).alias("__m"))
+    placed = placed.select(*keys, *at, F.col("__m.score").alias(score), F.col("__m.t").alias(tie))
+    left, kept = cut(placed.withColumns({c: F.floor(F.col(a) / reach).cast("long") for c, a in zip(cells, at)})), [cut(marks.filter(unknown))]
+
+    def around(chosen: DataFrame) -> DataFrame:
+        """What is left with each of the ``chosen`` marks (as __ columns) within reach of it."""
+        near = chosen.select(*keys, *cells, *[F.col(c).alias(f"__{c}") for c in at], F.col(tie).alias("__tie"), rank.alias("__rank"))
+        for c in cells:
+            near = near.withColumn("__d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(c, F.col(c) + F.col("__d")).drop("__d")
         within = functools.reduce(lambda a, b: a & b, [F.abs(F.col(c) - F.col(f"__{c}")) < reach for c in at])
-        met = own.join(near, [*keys, *[f"__c{i}" for i in range(len(at))]]).filter(within)
-        first = met.groupBy(*names).agg(F.min("__rank").alias("__first"))
-        judged = cut(first.withColumn("__own", F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")) == F.col("__first")))
-        won = judged.filter("__own").select(*names)
-        kept.append(won)
-        # a loser's first neighbour may not have won; it drops out only beside one that has
-        beat = judged.filter("__own").select(F.col("__first").alias("__rank"))
-        gone = met.join(beat, "__rank", "left_semi").select(tie).distinct()
-        left = cut(left.join(gone, tie, "left_anti"))
-    return functools.reduce(DataFrame.unionByName, kept) if kept else left
+        return left.join(near, [*keys, *cells]).filter(within)
+
+    while not left.isEmpty():
+        fields = [c for c in names if c not in keys]
+        firsts = left.groupBy(*keys, *cells).agg(F.min(F.struct(rank.alias("rank"), *[F.col(c).alias(f"f{i}") for i, c in enumerate(fields)])).alias("__m"))
+        firsts = cut(firsts.select(*keys, *cells, *[F.col(f"__m.f{i}").alias(c) for i, c in enumerate(fields)]))
+        beaten = around(firsts).filter(rank < F.col("__rank")).select(F.col("__tie").alias(tie)).distinct()
+        won = cut(firsts.join(beaten, tie, "left_anti"))
+        kept.append(won.select(*names))
+        left = cut(left.join(around(won).select(tie).distinct(), tie, "left_anti"))
+    return functools.reduce(DataFrame.unionByName, kept)
 
 
 def builds_between(lists: DataFrame, ours: int, latest: int, most: int = 60) -> DataFrame | None:
