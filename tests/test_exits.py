@@ -3,8 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.operators import exits, geometry
+from trackloom.plans import motion_queries
 
 KM = 1000.0
 #: Planes by observers, in km: y = z through the centre (+n towards z > y), x + y + z = 100, and z = 0.
@@ -126,3 +128,13 @@ def test_an_exit_flipped_twice_is_as_before(spark):
     assert got[1] == ("A", 1000.0, 2000.0, -2000.0, 0.6, 0.0, -0.8, "ccw", 1, "0 0 1 500") and got[2][3:8] == (997.0, None, None, None, "cw")
     assert all(got[i] == tuple(r)[1:] for i, r in enumerate(rows, 1) if i > 2)
     assert sorted(map(tuple, contacts.exit_flipped(once, F.lit("A"), F.lit(1)).collect())) == rows
+
+
+def test_places_as_far_from_the_plane_tie(spark):
+    rows = [(0, float(x), float(y), float(20 - x - y)) for x in range(-9, 10) for y in range(-9, 10)]
+    at = spark.createDataFrame(rows, "k int, x double, y double, z double")
+    off = geometry.offset(tuple(F.col(c) for c in "xyz"), motion_queries.diagonal())
+    assert at.select(off.alias("off")).distinct().count() == 1
+    back = geometry.reflect(geometry.reflect(tuple(F.col(c) for c in "xyz"), motion_queries.diagonal()), motion_queries.diagonal())
+    gap = at.select(F.max(geometry.norm(geometry.sub(back, tuple(F.col(c) for c in "xyz"))))).first()[0]
+    assert gap < 1e-9

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import exits, geometry
+from trackloom.operators import exits
 from trackloom.plans.match_queries import DAY, HOUR, rounded
-from trackloom.plans.motion_queries import PLACED, START, placed
+from trackloom.plans.motion_queries import PLACED, START, diagonal, placed
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -81,8 +81,7 @@ def _settled(spark, sf_dir):
     fixes = p.select(F.col("user_id").alias("pilot"), "us", "x", "y", "z", (F.col("event_id") % 29 == 0).alias("capsule"))
     ship = F.when(F.col("event_id") % 3 == 0, " onyx").otherwise("Rifter")
     points = p.filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), "us", F.col("user_id").alias("source"), ((F.col("user_id") * 7 + 3) % 150).alias("target"), (F.col("event_id") % 2 == 0).alias("disruption"), ship.alias("ship"))
-    flat = (geometry.vec(0, 0, 0), geometry.unit(geometry.vec(1, 1, 1)))
-    return exits.settle(fixes, points, START_US, flat, RULES)
+    return exits.settle(fixes, points, START_US, diagonal(), RULES)
 
 
 @query(f"""WITH RECURSIVE {SETTLED}

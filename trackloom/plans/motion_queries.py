@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import motion, teams
+from trackloom.operators import geometry, motion, teams
 from trackloom.plans.match_queries import DAY, EVENTS, HOUR, events, rounded, table
 
 QUERIES: dict[str, object] = {}
@@ -56,6 +56,11 @@ def velocity_at(spark, sf_dir):
 PLACED = f"{EVENTS}, q AS (SELECT event_id, user_id, event_type, us, value - 50 AS x, CAST(event_id % 97 - 48 AS DOUBLE) AS y, CAST(event_id % 89 - 44 AS DOUBLE) AS z FROM e)"
 
 
+def diagonal() -> tuple:
+    """The plane through the origin across the diagonal, its normal in whole numbers."""
+    return geometry.vec(0, 0, 0), geometry.vec(1, 1, 1), F.sqrt(F.lit(3.0))
+
+
 def placed(spark, sf_dir):
     e = events(spark, sf_dir)
     return e.select("event_id", "user_id", "event_type", "us", (F.col("value") - 50).alias("x"), (F.col("event_id") % 97 - 48).cast("double").alias("y"), (F.col("event_id") % 89 - 44).cast("double").alias("z"))

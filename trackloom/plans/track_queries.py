@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import naming
 from trackloom.operators import contacts, geometry, intervals, motion, windows
 from trackloom.plans.match_queries import DAY, EVENTS, HOUR, POINTS, events, points, rounded, table
-from trackloom.plans.motion_queries import PLACED, placed
+from trackloom.plans.motion_queries import PLACED, diagonal, placed
 
 QUERIES: dict[str, object] = {}
 SQL: dict[str, str] = {}
@@ -73,8 +73,7 @@ s AS (SELECT user_id, us, off, coalesce(CASE WHEN n >= 3 THEN slope END, 0) AS s
 r AS (SELECT user_id, g, min(us) AS t0, arg_min(us, (abs(off) / 25 + abs(slope) / 60, us)) AS exit_us, arg_min(slope, (abs(off) / 25 + abs(slope) / 60, us)) AS slope, min(abs(off) / 25 + abs(slope) / 60) AS cost FROM i WHERE near GROUP BY ALL HAVING max(us) < max(last))
 SELECT user_id, t0, exit_us, round(cost, 4) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY t0) AS exit_id FROM r WHERE abs(slope) < 60""")
 def plane_exits(spark, sf_dir):
-    flat = (geometry.vec(0, 0, 0), geometry.unit(geometry.vec(1, 1, 1)))
-    fixes = placed(spark, sf_dir).select("user_id", "us", geometry.offset(tuple(F.col(c) for c in "xyz"), flat).alias("off"))
+    fixes = placed(spark, sf_dir).select("user_id", "us", geometry.offset(tuple(F.col(c) for c in "xyz"), diagonal()).alias("off"))
     sloped = windows.centred_slope(fixes, "user_id", "us", "off", DAY).withColumn("slope", F.coalesce("slope", F.lit(0.0)))
     return contacts.plane_exits(sloped, "user_id", "us", "off", "slope", 25.0, 60.0).withColumn("cost", F.round("cost", 4))
 
