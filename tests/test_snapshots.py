@@ -46,6 +46,16 @@ def test_a_commit_is_one_unit(spark, tmp_path):
     assert {r.path for r in lib.read(1).collect()} == {"S/m.csv", "S/"}  # older versions stay as they were
 
 
+def test_a_change_set_of_any_size_where_no_bound_is_set(spark, tmp_path):
+    n = snapshots.MOST_OPS + 1
+    many = spark.range(n).selectExpr("'put' AS op", "'f' || id || '.csv' AS path", "sha2('a', 256) AS sha", "1L AS size", "CAST(NULL AS string) AS prev")
+    have = spark.range(1).selectExpr("sha2('a', 256) AS sha")
+    assert snapshots.Library(spark, f"file://{tmp_path}/bounded").commit(many, have, 1).status == "invalid"
+    lib = snapshots.Library(spark, f"file://{tmp_path}/open", most_ops=None)
+    assert lib.commit(many.limit(0), have, 1).status == "invalid"
+    assert lib.commit(many, have, 1).status == "ok" and lib.read().count() == n
+
+
 def test_writers_on_one_base(spark, tmp_path):
     root, have = f"file://{tmp_path}", blobs(spark, "a", "b", "c")
     first, second = snapshots.Library(spark, root), snapshots.Library(spark, root)

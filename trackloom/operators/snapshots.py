@@ -20,7 +20,7 @@ from trackloom.session import cut
 
 MANIFEST = "path string, sha string, size long, owner long, public boolean"
 TRIES = 3
-#: Operations of one change set, at most; fixed value.
+#: Operations of one change set, at most, unless the library is given another bound; fixed value.
 MOST_OPS = 2000
 
 
@@ -35,10 +35,11 @@ class Outcome:
 
 
 class Library:
-    """The versions under a folder that driver and executors share."""
+    """The versions under a folder that driver and executors share. A change set has at most
+    ``most_ops`` operations, any number if None."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, most_ops: int | None = MOST_OPS):
+        self.spark, self.root, self.most_ops = spark, root.rstrip("/"), most_ops
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -99,7 +100,7 @@ class Library:
         operation is valid, was made against the newest state, is the user's to make and has its
         content among ``blobs``; of several faults the first kind in that order is told."""
         ops = cut(ops.select("op", "path", "sha", "size", "prev"))
-        bad = invalid(ops)
+        bad = invalid(ops, self.most_ops)
         for _ in range(TRIES):
             at = self.version()
             if bad is not None:
@@ -115,16 +116,17 @@ class Library:
         return Outcome("busy", self.version())
 
 
-def invalid(ops: DataFrame) -> DataFrame | None:
+def invalid(ops: DataFrame, most: int | None = MOST_OPS) -> DataFrame | None:
     """path and status of operations that no state could take: unknown kinds, bad paths, two of one
-    path, puts without a digest or size (folders: with one); None if there are none."""
+    path, puts without a digest or size (folders: with one), all if none or more than ``most`` are given;
+    None if there are none."""
     folder = library.is_folder(F.col("path"))
     digest = F.coalesce(F.rlike("sha", F.lit("^[0-9a-f]{64}$")), F.lit(False)) & F.coalesce(F.col("size") >= 0, F.lit(False))
     put = F.when(folder, (F.coalesce("sha", F.lit("")) == "") & (F.coalesce("size", F.lit(0)) == 0)).otherwise(digest)
     right = F.coalesce(valid_path(F.col("path")), F.lit(False)) & F.when(F.col("op") == "put", put).otherwise(F.coalesce(F.col("op") == "delete", F.lit(False)))
     twice = ops.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("path", F.lit("twice").alias("status"))
     wrong = cut(ops.filter(~right).select("path", F.lit("invalid").alias("status")).unionByName(twice))
-    n = ops.limit(MOST_OPS + 1).count()
-    if n == 0 or n > MOST_OPS:
+    n = ops.limit(1 if most is None else most + 1).count()
+    if n == 0 or (most is not None and n > most):
         return ops.select("path", F.lit("number").alias("status"))
     return None if wrong.isEmpty() else wrong
