@@ -124,7 +124,7 @@ def event_sessions(spark, sf_dir):
 @query("""SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_custkey % 50) AS unit FROM customer QUALIFY count(*) OVER (PARTITION BY c_custkey % 50) > 1""")
 def linked_units(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    links = c.join(c.select((F.col("c_custkey") + 50).alias("c_custkey")), "c_custkey", "left_semi").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") - 50).alias("b"))
+    links = c.join(c.select((F.col("c_custkey") + 50).alias("c_custkey")).hint("merge"), "c_custkey", "left_semi").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") - 50).alias("b"))
     return graph.components(links, "a", "b")
 
 
