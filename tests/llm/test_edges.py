@@ -417,3 +417,11 @@ def test_numbered_sets_stand_for_the_shingles(k):
     assert max(int(x.max()) for x in got) < total
     for i, j in itertools.combinations(range(60), 2):
         assert len(got[i]) == len(sets[i]) and len(np.intersect1d(got[i], got[j])) == len(sets[i] & sets[j])
+
+
+def test_usual_fit_reads_all_held_out_rows(spark):
+    docs = spark.range(16_000).selectExpr("id AS doc_id", "'en' AS lang", "concat('word ', translate(hex(id), '0123456789', 'ghijklmnop')) AS text").repartition(4)
+    model = language_id.fit(docs)
+    held = language_id.identify(docs.filter(~language_id.in_training()), model)
+    mean = held.selectExpr("sum(lang_fit * lang_letters) / sum(lang_letters)").first()[0]
+    assert abs(language_id.usual_fit(docs, model)["en"][0] - mean) < 1e-9

@@ -240,18 +240,15 @@ def identify(docs: DataFrame, model: dict, text: str = "text", switch: float = S
     return map_batches(rows, make, f"{schema}, lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>, lang_letters int, lang_fit double, lang_known double")
 
 
-def usual_fit(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """For each language found in held-out labelled rows: the mean log-likelihood of a letter's
-    trigram, and the largest shortfall of a text, which is the loosest of all languages'. Of more than ``sample_rows`` rows
-    of a label about as many are taken, by a hash of the key."""
+def usual_fit(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:
+    """For each language found in held-out labelled rows, all of which are read: the mean
+    log-likelihood of a letter's trigram, and the largest shortfall of a text, which is the loosest of
+    all languages'."""
     held = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~in_training(key))
-    sizes = {r[0]: r[1] for r in held.groupBy(lang).count().collect()}
-    if not sizes or not model["langs"]:
+    if not model["langs"]:
         return {}
-    share = F.create_map(*(F.lit(v) for la in sizes for v in (la, min(1.0, sample_rows / sizes[la]))))
-    draw = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
-    # no column of the texts: three numbers a row of the bounded sample
-    rows = identify(held.filter(draw < share[F.col(lang)]).select(F.col(text).alias("text")), model).filter("lang_letters > 0").select("lang_pred", "lang_letters", "lang_fit").persist()
+    # no column of the texts: three values a row
+    rows = identify(held.select(F.col(text).alias("text")), model).filter("lang_letters > 0").select("lang_pred", "lang_letters", "lang_fit").persist()
     means = {r[0]: float(r[1]) for r in rows.groupBy("lang_pred").agg(F.sum(F.col("lang_fit") * F.col("lang_letters")) / F.sum("lang_letters")).collect()}
     out = {}
     if means:
