@@ -2,11 +2,13 @@
 
 Samples are rows (keys, us, value columns); times are integer microseconds. Each sample's segment to
 the next one carries the neighbours that a spline needs, so a point in time meets one segment by an
-as-of join.
+as-of join. Tracks of few rows run whole, longer ones in buckets (``windows.by_length``).
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,16 @@ def cubic(pre: Column, start: Column, end: Column, post: Column, share: Column,
     return lerp(b1, b2, safe(t, end_t, 0.5))
 
 
-def segments(samples: DataFrame, key: str, us: str, columns: list[str], tie: str, hop: str | None = None) -> DataFrame:
+def segments(samples: DataFrame, key: str, us: str, columns: list[str], tie: str, hop: str | None = None, whole: bool = False) -> DataFrame:
     """Each sample with its neighbours: key, us, columns, and a struct seg of the next sample's time
     and values (t1, v1), those two back and two on (t0, v0, t2, v2), and whether the next, this one
-    and the one after are hops."""
+    and the one after are hops. Keys are not dealt by rank if ``whole``."""
     flag = F.col(hop) if hop else F.lit(False)
     near = {f"t{n}": lambda w, i=i: F.lag(us, -i).over(w) for n, i in enumerate((-1, 1, 2))}
     values = {f"v{n}": lambda w, i=i: F.lag(F.struct(*columns), -i).over(w) for n, i in enumerate((-1, 1, 2))}
     jumps = {f"j{i + 1}": lambda w, i=i: F.coalesce(F.lag(flag, -i).over(w), F.lit(False)) for i in (0, 1, 2)}
     made = near | values | jumps
-    rows = windows.row_framed(samples, key, us, tie, 2, {f"__{n}": c for n, c in made.items()})
+    rows = windows.row_framed(samples, key, us, tie, 2, {f"__{n}": c for n, c in made.items()}, whole)
     return rows.select(key, us, *columns, F.struct(*[F.col(f"__{n}").alias(n) for n in made]).alias("seg"))
 
 
@@ -53,8 +55,16 @@ def sampled(grid: DataFrame, samples: DataFrame, key: str, us: str, columns: lis
     on the line, or the cubic if ``smooth``, to the next sample; null beyond the track's ends and in
     pauses longer than ``gap``. Before a hop the place of take-off holds. A cubic's missing
     neighbours (none, across a pause or a hop) are mirrored through the segment's end."""
-    last = segments(samples, key, us, columns, tie, hop)
-    both = windows.asof(grid, last, key, us, [*columns, "seg"])
+    samples = samples.select(*dict.fromkeys([key, us, *columns, tie, *([hop] if hop else [])]))
+    parts = [_sampled(g, s, key, us, columns, tie, gap, smooth, hop, tasks) for (s, g), tasks in windows.by_length(samples, [key], grid)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _sampled(grid: DataFrame, samples: DataFrame, key: str, us: str, columns: list[str], tie: str, gap: int, smooth: bool, hop: str | None, tasks: int) -> DataFrame:
+    """``sampled``; with ``tasks`` keys are dealt to so many and run whole."""
+    dealt = samples.repartition(tasks, key) if tasks else samples
+    last = segments(dealt, key, us, columns, tie, hop, tasks > 0)
+    both = windows.asof(grid, last, key, us, [*columns, "seg"], tasks=tasks)
     t, t0, t1, t2 = (x.cast("double") for x in (F.col("right_us"), F.col("seg.t0"), F.col("seg.t1"), F.col("seg.t2")))
     hit = F.col("right_us") == F.col(us)
     inside = t1.isNotNull() & (t1 - t <= gap)

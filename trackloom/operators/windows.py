@@ -3,7 +3,8 @@
 Bounded frames are cut at time buckets: a row also goes, as context, to the neighbouring buckets
 that its frame's reach can touch, so one key's series is spread over many tasks however long it is.
 Unbounded frames run within time buckets, and each bucket's result, one row, is carried on to the
-later ones. Frames of rows are cut at ranks. Times are integer microseconds.
+later ones. Frames of rows are cut at ranks. Where ``by_length`` has parted keys of few rows from the
+others, those need no cuts: they run whole. Times are integer microseconds.
 """
 
 from __future__ import annotations
@@ -19,6 +20,26 @@ from trackloom.session import cut
 BUCKET_OF_REACH = 16
 #: Microseconds of a bucket of unbounded frames, and rows of one of frames of rows.
 CARRY_US, RANKS = 86_400_000_000, 1 << 16
+#: Rows that a task is dealt where keys run whole.
+TASK_ROWS = 1 << 18
+
+
+def by_length(df: DataFrame, keys: list[str], *others: DataFrame) -> list[tuple[list[DataFrame], int]]:
+    """``df`` and ``others`` (with the same keys) in parts, each with a number of tasks: keys with up to
+    RANKS rows in all, which can run whole when dealt to so many tasks, and, with 0, the longer ones, if
+    there are any. Keys are told apart by a hash; where two meet, both count as one, maybe a longer one."""
+    of, all_ = F.xxhash64(*keys).alias("__h"), [df, *others]
+    hashes = functools.reduce(DataFrame.unionAll, (d.select(of) for d in all_))
+    counts = hashes.groupBy("__h").agg(F.count(F.lit(1)).alias("__n"))
+    long = F.col("__n") > RANKS
+    rows, some = counts.agg(F.sum("__n"), F.count_if(long)).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-(rows or 0) // (cores * TASK_ROWS)))
+    if not some:
+        return [(all_, tasks)]
+    found = F.broadcast(cut(counts.filter(long).select(F.col("__h").alias("__long"))))
+    part = lambda how: [d.join(found, F.xxhash64(*[d[k] for k in keys]) == F.col("__long"), how) for d in all_]
+    return [(part("left_anti"), tasks), (part("left_semi"), 0)]
 
 
 def bucketed(df: DataFrame, key: str, us: str, before: int, after: int = 0) -> DataFrame:
@@ -55,11 +76,15 @@ def centred_slope(df: DataFrame, key: str, us: str, value: str, half: int, least
     return framed(df, key, us, half, half, {"n_points": lambda w: F.count(value).over(w), "__s": lambda w: F.regr_slope(F.col(value), F.col(us) / day).over(w)}).withColumn("slope", F.when(F.col("n_points") >= least, F.col("__s"))).drop("__s")
 
 
-def carried(df: DataFrame, keys: list[str], us: str, order: list[Column], columns: dict[str, tuple[str, Column]], ahead: bool = False, exclusive: bool = False, size: int = CARRY_US) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], us: str, order: list[Column], columns: dict[str, tuple[str, Column]], ahead: bool = False, exclusive: bool = False, size: int = CARRY_US, *, whole: bool = False) -> DataFrame:
     """Running sums, maxima or last known values (kinds sum, max, last) of each key's rows up to the
     row (without it if ``exclusive``), in time order; from the end on if ``ahead``. ``order`` breaks
-    ties of ``us`` and reads upwards in the direction of the run."""
+    ties of ``us`` and reads upwards in the direction of the run. Keys run without buckets if ``whole``."""
     time = -F.col(us) if ahead else F.col(us)
+    if whole:
+        w = Window.partitionBy(*keys).orderBy(time, *order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        kinds = {"last": lambda c: F.last(c, ignorenulls=True), "sum": F.sum, "max": F.max}
+        return df.select("*", *[kinds[kind](c).over(w).alias(n) for n, (kind, c) in columns.items()])
     rows = df.withColumn("__bucket", F.floor(F.col(us) / F.lit(size)).cast("long")).withColumns({f"__in_{n}": c for n, (_, c) in columns.items()})
     scan = [time, *order]
     last_row = -1 if exclusive else 0
@@ -98,9 +123,13 @@ def running(df: DataFrame, keys: list[str], us: str, tie: str, columns: dict[str
     return carried(df, keys, us, [F.col(tie)], made)
 
 
-def row_framed(df: DataFrame, key: str, us: str, tie: str, half: int, columns: dict[str, object]) -> DataFrame:
+def row_framed(df: DataFrame, key: str, us: str, tie: str, half: int, columns: dict[str, object], whole: bool = False) -> DataFrame:
     """Columns over up to ``half`` rows on either side; each of ``columns`` maps a window in time
-    order to a column. A key's rows are dealt by rank, with the rows that such a frame reaches."""
+    order to a column. A key's rows are dealt by rank, with the rows that such a frame reaches, or
+    not dealt if ``whole``."""
+    if whole:
+        w = Window.partitionBy(key).orderBy(us, tie)
+        return df.withColumns({n: make(w) for n, make in columns.items()})
     rows = running(df, [key], us, tie, {"__rank": ("count", None)})
     at = lambda c: F.floor(c / F.lit(RANKS)).cast("long")
     dealt = rows.withColumn("__part", F.explode(F.array_distinct(F.array(at(F.col("__rank") - half), at(F.col("__rank")), at(F.col("__rank") + half)))))
@@ -126,15 +155,17 @@ def running_median3(df: DataFrame, key: str, us: str, value: str, tie: str = "ev
     return rows.withColumn(name, F.get("__g", F.floor(F.size("__g") / 2).cast("int"))).drop("__g")
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, us: str, take: list[str], ahead: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, us: str, take: list[str], ahead: bool = False, tasks: int = 0) -> DataFrame:
     """Each left row with ``take`` (and right_us) of the latest right row at or before it, or of the
-    next at or after it: one union and one run instead of a theta join."""
+    next at or after it: one union and one run instead of a theta join. With ``tasks`` keys are dealt
+    to so many and run whole."""
     missing = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take]
     a = left.select("*", F.lit(None).cast("long").alias("right_us"), *missing, F.lit(1).alias("__side"))
     b = right.select(F.col(key), F.col(us), F.col(us).alias("right_us"), *take, F.lit(0).alias("__side"))
     b = b.select(*[F.col(c) if c in b.columns else F.lit(None).cast(a.schema[c].dataType).alias(c) for c in a.columns])
     known = F.when(F.col("__side") == 0, F.struct("right_us", *take))
-    rows = carried(a.unionByName(b), [key], us, [F.col("__side"), *[F.col(c) for c in take]], {"__r": ("last", known)}, ahead=ahead).filter("__side = 1")
+    both = a.unionByName(b).repartition(tasks, key) if tasks else a.unionByName(b)
+    rows = carried(both, [key], us, [F.col("__side"), *[F.col(c) for c in take]], {"__r": ("last", known)}, ahead=ahead, whole=tasks > 0).filter("__side = 1")
     return rows.select(*left.columns, F.col("__r.right_us").alias("right_us"), *[F.col(f"__r.{c}").alias(c) for c in take])
 
 
