@@ -6,7 +6,8 @@ the same: so each step, a passage near the plane or a restart, only says whether
 sides, and the side of a reading is the parity of the changes so far. Cuts, places and sides are
 columns and running sums. What is left, the least-squares problem of a stretch, is solved in chunks
 of CHUNK readings with OVERLAP more on either side, after which a reading's pull has died down; no
-group is larger, whatever a pilot's readings number.
+group is larger, whatever a pilot's readings number. Pilots of few readings are dealt once and run
+whole, up to the sides of their readings; longer ones run in buckets of time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import geometry, windows
@@ -44,6 +45,8 @@ CHUNK, OVERLAP = 256, 64
 BUCKET_US, AT_ONCE = 600_000_000, 1 << 15
 
 RANGES = ("d_a", "d_b", "d_c")
+#: What a run hands on to the next one.
+LEFT = ("stretch", "to", "last_climb", "last_t", "last_h")
 SCHEMA = "match string, pilot string, t double, x double, y double, z double, residual double"
 
 
@@ -51,17 +54,33 @@ def _order() -> list[Column]:
     return [F.col(c) for c in (*RANGES, "speed")]
 
 
+def _keyed(readings: DataFrame) -> DataFrame:
+    """The readings with a time, unread values as nulls, with __key and us."""
+    known = {c: F.when(~F.isnan(c), F.col(c)).alias(c) for c in (*RANGES, "speed")}
+    rows = readings.filter(F.col("t").isNotNull() & ~F.isnan("t")).select("match", "pilot", "t", *known.values())
+    return rows.withColumn("__key", F.to_json(F.struct("match", "pilot"))).withColumn("us", F.round(F.col("t") * 1e6).cast("long"))
+
+
+def _parts(readings: DataFrame) -> tuple[list[tuple[DataFrame, bool]], int]:
+    """The keyed readings in parts, with whether a part's keys run whole, as it is dealt to tasks by key;
+    and the number of these tasks."""
+    parts = windows.by_length(_keyed(readings), ["__key"])
+    return [(rows.repartition(tasks, "__key") if tasks else rows, tasks > 0) for (rows,), tasks in parts], max(tasks for _, tasks in parts)
+
+
 def stretches(readings: DataFrame) -> DataFrame:
     """Readings with __key, us, n (the reading's number in its match and pilot), stretch and whole
     (no range is unread). A stretch ends where some range is further from its last known value than
     JUMP and the ship's own way since then allow, and lasts from its first whole reading to its last
     one; readings outside are dropped, as are those without a time. Readings of one time are taken in
     the order of their ranges; NaN is an unread value."""
-    known = {c: F.when(~F.isnan(c), F.col(c)).alias(c) for c in (*RANGES, "speed")}
-    rows = readings.filter(F.col("t").isNotNull() & ~F.isnan("t")).select("match", "pilot", "t", *known.values())
-    rows = rows.withColumn("__key", F.to_json(F.struct("match", "pilot"))).withColumn("us", F.round(F.col("t") * 1e6).cast("long"))
+    return functools.reduce(DataFrame.unionByName, (_stretches(*part) for part in _parts(readings)[0]))
+
+
+def _stretches(rows: DataFrame, alone: bool) -> DataFrame:
+    """``stretches`` of keyed readings; with ``alone`` each key runs whole."""
     last = {f"__p{c}": ("last", F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).alias("d"), "speed"))) for c in RANGES}
-    rows = windows.carried(rows, ["__key"], "us", _order(), last, exclusive=True, size=BUCKET_US)
+    rows = windows.carried(rows, ["__key"], "us", _order(), last, exclusive=True, size=BUCKET_US, whole=alone)
 
     def jumps(c: str) -> Column:
         before, pace = F.col(f"__p{c}"), lambda v: F.coalesce(v, F.lit(UNKNOWN_SPEED))
@@ -71,10 +90,16 @@ def stretches(readings: DataFrame) -> DataFrame:
     rows = rows.withColumn("__new", functools.reduce(lambda a, b: a | b, map(jumps, RANGES)).cast("long")).drop(*last)
     # of rows that are equal otherwise, the one that begins a stretch comes first
     numbered = {"stretch": ("sum", F.col("__new")), "n": ("sum", F.lit(1).cast("long"))}
-    rows = windows.carried(rows, ["__key"], "us", [*_order(), -F.col("__new")], numbered, size=BUCKET_US).drop("__new")
-    rows = cut(rows.withColumn("whole", functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in RANGES))))
-    ends = rows.filter("whole").groupBy("__key", "stretch").agg(F.min("n").alias("__first"), F.max("n").alias("__last"))
-    return rows.join(ends, ["__key", "stretch"]).filter(F.col("n").between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
+    rows = windows.carried(rows, ["__key"], "us", [*_order(), -F.col("__new")], numbered, size=BUCKET_US, whole=alone).drop("__new")
+    rows = rows.withColumn("whole", functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in RANGES)))
+    ends = {"__first": F.min, "__last": F.max}
+    if alone:
+        w = Window.partitionBy("__key", "stretch").orderBy("us", "n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({c: f(F.when(F.col("whole"), F.col("n"))).over(w) for c, f in ends.items()})
+    else:
+        rows = cut(rows)
+        rows = rows.join(rows.filter("whole").groupBy("__key", "stretch").agg(*[f("n").alias(c) for c, f in ends.items()]), ["__key", "stretch"])
+    return rows.filter(F.col("n").between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
 
 
 def _on(rows: DataFrame, observers: list[tuple[float, float, float]]) -> DataFrame:
@@ -88,32 +113,29 @@ def _on(rows: DataFrame, observers: list[tuple[float, float, float]]) -> DataFra
     return rows.withColumn("foot", F.when(F.col("whole"), foot)).withColumn("height", F.when(F.col("whole"), gap)).drop(*[f"__{s}{a}" for s in "ud" for a in "xyz"])
 
 
-def _runs(rows: DataFrame) -> DataFrame:
+def _runs(rows: DataFrame, alone: bool) -> DataFrame:
     """``rows`` with clear and run. A whole reading is clear of the plane if noise of its ranges cannot
     hide its side, and at the plane if noise can well have lifted it. A run ends where, since its last
     clear reading, one was at the plane or one step may have crossed it; readings that are not clear
-    belong to the run before them, a stretch's first ones to its first."""
+    belong to the run before them, a stretch's first ones to its first. With ``alone`` each key runs whole."""
     by, noise = ["__key", "stretch"], RANGE * F.greatest(*RANGES)
     rows = rows.withColumn("clear", F.coalesce(F.col("height") ** 2 > CLEAR * noise, F.lit(False)))
     before = {"__p": ("last", F.when(F.col("whole"), F.struct("t", "height")))}
-    rows = windows.carried(rows, by, "us", [F.col("n")], before, exclusive=True, size=BUCKET_US)
+    rows = windows.carried(rows, by, "us", [F.col("n")], before, exclusive=True, size=BUCKET_US, whole=alone)
     crossed = F.col("height") + F.col("__p.height") <= UNKNOWN_SPEED * (F.col("t") - F.col("__p.t"))
     meets = F.coalesce(crossed | (F.col("height") ** 2 < AT_PLANE * noise), F.lit(False))
-    rows = cut(rows.withColumn("__meets", F.when(meets, F.col("n"))).drop("__p"))
+    rows = rows.withColumn("__meets", F.when(meets, F.col("n"))).drop("__p")
     before = {"__met": ("last", F.col("__meets")), "__was": ("last", F.when(F.col("clear"), F.col("n")))}
-    rows = windows.carried(rows, by, "us", [F.col("n")], before, exclusive=True, size=BUCKET_US)
+    rows = windows.carried(rows if alone else cut(rows), by, "us", [F.col("n")], before, exclusive=True, size=BUCKET_US, whole=alone)
     begins = F.col("clear") & (F.col("__was").isNull() | (F.greatest("__meets", "__met") > F.col("__was")))
     rows = rows.withColumn("__begins", F.coalesce(begins, F.lit(False)).cast("long")).drop("__met", "__was", "__meets")
-    rows = windows.carried(rows, by, "us", [F.col("n")], {"run": ("sum", F.col("__begins"))}, size=BUCKET_US)
+    rows = windows.carried(rows, by, "us", [F.col("n")], {"run": ("sum", F.col("__begins"))}, size=BUCKET_US, whole=alone)
     return rows.withColumn("run", F.greatest("run", F.lit(1))).drop("__begins")
 
 
 def _sides(rows: DataFrame, observers: list[tuple[float, float, float]], side: float) -> DataFrame:
     """__key, stretch, run, sign of each run: 1 for places above the plane (geometry.trilaterate's
-    first root), -1 below. Between two runs of a stretch the ship has passed the plane or turned back,
-    whichever changes its climb less. A restart takes the root clearly nearer to the last place, else
-    the one whose climb is nearer to that before; a track starts at the root least outside the cube, of
-    equals the one nearer its centre."""
+    first root), -1 below."""
     by = ["__key", "stretch", "run"]
     whole = rows.filter("whole")
     seen = F.struct("foot", "height")
@@ -125,8 +147,22 @@ def _sides(rows: DataFrame, observers: list[tuple[float, float, float]], side: f
 
     runs = ends.join(climb(F.col("n"), F.min_by, "first"), by, "left").join(climb(F.col("n").desc(), F.max_by, "last"), by, "left")
     runs = cut(runs.fillna(0.0, ["first_climb", "last_climb"]))
-    before = {"__p": ("last", F.struct("stretch", "to", "last_climb", "last_t", "last_h"))}
+    before = {"__p": ("last", F.struct(*LEFT))}
     runs = windows.carried(runs, ["__key"], "us", [F.col("stretch"), F.col("run")], before, exclusive=True, size=BUCKET_US)
+    runs = runs.withColumn("__changes", _changes(observers, side)).select(*by, "us", "__changes")
+    runs = windows.carried(runs, ["__key"], "us", [F.col("stretch"), F.col("run")], {"__sum": ("sum", F.col("__changes"))}, size=BUCKET_US)
+    return runs.select(*by, _sign().alias("sign"))
+
+
+def _sign() -> Column:
+    return F.when(F.col("__sum") % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def _changes(observers: list[tuple[float, float, float]], side: float) -> Column:
+    """1 for a run on the other side than __p, the run before it, else 0. Between two runs of a stretch
+    the ship has passed the plane or turned back, whichever changes its climb less. A restart takes the
+    root clearly nearer to the last place, else the one whose climb is nearer to that before; a track
+    starts at the root least outside the cube, of equals the one nearer its centre."""
     _, normal = geometry.plane(*(geometry.vec(*o) for o in observers))
     lifted = lambda s, sign: geometry.add(tuple(s["foot"][a] for a in "xyz"), geometry.scale(normal, sign * s["height"]))
     last, v, w = lifted(F.col("__p.to"), 1.0), F.col("__p.last_climb"), F.col("first_climb")
@@ -138,26 +174,54 @@ def _sides(rows: DataFrame, observers: list[tuple[float, float, float]], side: f
     middle = geometry.vec(*[side / 2] * 3)
     start = F.struct(geometry.outside(down, side), geometry.norm(geometry.sub(down, middle))) < F.struct(geometry.outside(up, side), geometry.norm(geometry.sub(up, middle)))
     changes = F.when(F.col("__p").isNull(), start).when(F.col("__p.stretch") == F.col("stretch"), bend(-1.0) <= bend(1.0)).otherwise(restart)
-    runs = runs.withColumn("__changes", F.coalesce(changes, F.lit(False)).cast("long")).select(*by, "us", "__changes")
-    runs = windows.carried(runs, ["__key"], "us", [F.col("stretch"), F.col("run")], {"__sum": ("sum", F.col("__changes"))}, size=BUCKET_US)
-    return runs.select(*by, F.when(F.col("__sum") % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
+    return F.coalesce(changes, F.lit(False)).cast("long")
+
+
+def _with_sides(rows: DataFrame, observers: list[tuple[float, float, float]], side: float) -> DataFrame:
+    """``rows`` of keys that run whole with the sign of ``_sides``: what tells a run from the one before
+    it is worked out at the run's readings and told at its first one."""
+    run = Window.partitionBy("__key", "stretch", "run").orderBy("n")
+    every, so_far = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), run.rowsBetween(Window.unboundedPreceding, 0)
+    clear = F.col("clear").cast("int")
+    rows = rows.withColumns({"__nth": F.sum(clear).over(so_far), "__all": F.sum(clear).over(every), "__row": F.row_number().over(run)})
+    of = lambda c, here: F.when(F.col("clear") & here, F.col(c))
+    first, last = F.col("__nth") <= AHEAD, F.col("__nth") > F.col("__all") - AHEAD
+    seen = F.when(F.col("whole"), F.struct("foot", "height"))
+    made = {"from": F.first(seen, ignorenulls=True), "to": F.last(seen, ignorenulls=True)}
+    for name, edge, here in (("first", F.first, first), ("last", F.last, last)):
+        made |= {f"{name}_climb": F.regr_slope(of("height", here), of("t", here)), f"{name}_t": edge(of("t", here), ignorenulls=True), f"{name}_h": edge(of("height", here), ignorenulls=True)}
+    rows = rows.withColumns({c: x.over(every) for c, x in made.items()}).fillna(0.0, ["first_climb", "last_climb"])
+    begins = F.col("__row") == 1
+    before = {"__p": ("last", F.when(begins, F.struct(*LEFT)))}
+    rows = windows.carried(rows, ["__key"], "n", [], before, exclusive=True, whole=True)
+    rows = rows.withColumn("__changes", F.when(begins, _changes(observers, side)).otherwise(0)).drop("__nth", "__all", "__row", "__p", *made)
+    rows = windows.carried(rows, ["__key"], "n", [], {"__sum": ("sum", F.col("__changes"))}, whole=True)
+    return rows.withColumn("sign", _sign()).drop("__changes", "__sum")
 
 
 def placed(readings: DataFrame, observers: list[tuple[float, float, float]], side: float) -> DataFrame:
     """The readings of ``stretches`` with foot, height, clear, run and sign."""
-    rows = cut(_runs(_on(stretches(readings), observers)))
+    return functools.reduce(DataFrame.unionByName, (_placed(*part, observers, side) for part in _parts(readings)[0]))
+
+
+def _placed(rows: DataFrame, alone: bool, observers: list[tuple[float, float, float]], side: float) -> DataFrame:
+    """``placed`` of keyed readings; with ``alone`` each key runs whole."""
+    rows = _runs(_on(_stretches(rows, alone), observers), alone)
+    if alone:
+        return _with_sides(rows, observers, side)
+    rows = cut(rows)
     return rows.join(_sides(rows, observers, side), ["__key", "stretch", "run"])
 
 
-def _guessed(rows: DataFrame, observers: list[tuple[float, float, float]]) -> DataFrame:
+def _guessed(rows: DataFrame, alone: bool, observers: list[tuple[float, float, float]]) -> DataFrame:
     """``rows`` of ``placed`` with gx, gy, gz: on the line between the feet of the whole readings
     around, lifted by the heights, each on its side, of the clear readings around; where a stretch has
-    none, by those of its whole readings."""
+    none, by those of its whole readings. With ``alone`` each key runs whole."""
     height = (F.col("sign") * F.col("height")).alias("h")
     seen = {"w": F.when(F.col("whole"), F.struct("t", *[F.col(f"foot.{a}").alias(a) for a in "xyz"], height)), "c": F.when(F.col("clear"), F.struct("t", height))}
     for end, ahead in ((0, False), (1, True)):
         found = {f"__{name}{end}": ("last", c) for name, c in seen.items()}
-        rows = windows.carried(rows, ["__key", "stretch"], "us", [-F.col("n") if ahead else F.col("n")], found, ahead=ahead, size=BUCKET_US)
+        rows = windows.carried(rows, ["__key", "stretch"], "us", [-F.col("n") if ahead else F.col("n")], found, ahead=ahead, size=BUCKET_US, whole=alone)
 
     def line(name: str, of: str) -> Column:
         a, b = F.coalesce(f"__{name}0", f"__{name}1"), F.coalesce(f"__{name}1", f"__{name}0")
@@ -285,7 +349,9 @@ def solve_tracks(readings: DataFrame, observers: list[tuple[float, float, float]
     own; other columns are not read."""
     ship_package(readings.sparkSession)
     places = np.array(observers, float)
-    rows = _guessed(placed(readings, observers, side), observers).select("__key", "stretch", "n", "match", "pilot", "t", *RANGES, "speed", "gx", "gy", "gz")
+    parts, tasks = _parts(readings)
+    guessed = (_guessed(_placed(*part, observers, side), part[1], observers) for part in parts)
+    rows = functools.reduce(DataFrame.unionByName, guessed).select("__key", "stretch", "n", "match", "pilot", "t", *RANGES, "speed", "gx", "gy", "gz")
     chunk = lambda c: F.floor(c / F.lit(CHUNK)).cast("long")
     rows = rows.withColumn("own", chunk(F.col("n")))
     rows = rows.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(F.col("n") - OVERLAP), F.col("own"), chunk(F.col("n") + OVERLAP)))))
@@ -309,5 +375,5 @@ def solve_tracks(readings: DataFrame, observers: list[tuple[float, float, float]
                 keys = [table[c].combine_chunks().take(pa.array(keep)) for c in ("match", "pilot")]
                 yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, (t[keep], *out[keep].T, residual[keep]))], names=["match", "pilot", "t", "x", "y", "z", "residual"])
 
-    dealt = rows.repartition("__key", "stretch", "chunk").sortWithinPartitions("__key", "stretch", "chunk", "n")
+    dealt = rows.repartition(tasks, "__key", "stretch", "chunk").sortWithinPartitions("__key", "stretch", "chunk", "n")
     return dealt.mapInArrow(work, SCHEMA)
