@@ -272,6 +272,26 @@ def test_near_misses_meet_in_no_cell(spark, n, monkeypatch):
     assert seen and sum(seen) == 0
 
 
+@pytest.mark.parametrize("turns", (0, 1))
+def test_long_sides_of_joins_are_not_sent_to_all_tasks(spark, turns, monkeypatch):
+    """Labels, buckets and pairs grow with the rows: what is not known to be few is only shuffled."""
+    plans, plain = [], near_dedup.stored
+
+    def seen(df, name):
+        df._jdf.queryExecution().toRdd().count()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    monkeypatch.setattr(near_dedup, "TURNS", turns)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", -1)
+    texts = {i: " ".join(f"w{i % 20}-{j}" for j in range(40 + i % 3)) for i in range(80)} | {i: f"alone {i}" for i in range(80, 90)}
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), k=2)
+    assert {r.doc_id: r.component_id for r in out.collect()} == _groups(texts, 2)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("cell_bytes", (1 << 21, 20_000))
 def test_cells_find_what_turns_leave(spark, cell_bytes, monkeypatch):
     """Without turns all links come from the cells; small cells deal clusters into blocks."""

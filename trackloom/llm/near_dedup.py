@@ -37,7 +37,8 @@ ROWS, PERMUTATIONS = 8, 5
 TURNS, YIELD = 6, 4
 #: Bytes of words in a block; a cell compares one block with itself or with another one.
 CELL_BYTES = 2 << 20
-#: Rows up to which a list of ids is broadcast; longer ones are joined by shuffle.
+#: Rows up to which one side of a join (ids, labels, pairs) is broadcast; longer ones are joined by
+#: shuffle. Spark's own choice goes by the size of files, whose ids take some ten times that in memory.
 BROADCAST_ROWS = 50_000
 
 _rng = np.random.default_rng(20240601)
@@ -160,33 +161,39 @@ def bands(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("rep", "n", "signature"), make, "bucket bigint, rep bigint, n bigint")
 
 
+def _marked(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of so many rows: broadcast in a join if they are few, else only shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, which is stored, marked for its join."""
+    return _marked(df, df.count())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and the smallest node it reaches, over ``edges`` (a, b): labels spread to neighbours and
     jump to their label's label until nothing changes; each step is stored."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dedup-links")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "dedup-labels")
+    nodes = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(_marked(labels.withColumnRenamed("node", "b"), nodes), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        spread = _marked(labels, nodes).join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         spread = stored(spread, "dedup-spread")
         jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(spread.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "dedup-labels")
+        new = stored(spread.join(_marked(jump, nodes), "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "dedup-labels")
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
             return labels
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """``ids``, marked for broadcast if their number is small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def _survivors(pairs: DataFrame, signatures: DataFrame, similarity: float, miss: float) -> DataFrame:
     """Pairs (a, b, ca, cb) that the sequential comparison keeps."""
     least = least_matches(similarity, miss)
     left, right = (signatures.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    rows = pairs.join(left, "a").join(right, "b")
+    rows = _few(pairs).join(left, "a").join(right.hint("merge"), "b")
 
     def make():
         def work(b):
@@ -235,17 +242,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
         return work
 
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb", "words_a", "words_b")
+    rows = _few(pairs).join(left, "a").join(right.hint("merge"), "b").select("a", "b", "ca", "cb", "words_a", "words_b")
     return map_batches(rows, make, "a bigint, b bigint, ca bigint, cb bigint")
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members (bucket, rep, n, comp) of the buckets that hold more than one component, stored."""
-    now = members.withColumn("comp", F.col("rep")) if labels is None else members.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+    now = members.withColumn("comp", F.col("rep")) if labels is None else members.drop("comp").join(_few(labels.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     if labels is None:
         return now
     several = stored(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket"), "dedup-several")
-    return stored(now.join(several, "bucket"), "dedup-open")
+    return stored(now.join(_few(several), "bucket"), "dedup-open")
 
 
 def _asks(now: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -256,7 +263,7 @@ def _asks(now: DataFrame, turn: int, percent: int) -> DataFrame:
     hubs = stored(rows.groupBy("bucket").agg(F.min(F.struct("u", "rep", "n", "comp")).alias("hub")), "dedup-hubs")
     n, m = F.col("n"), F.col("hub.n")
     fits = (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.col("comp") != F.col("hub.comp"))
-    best = rows.join(hubs, "bucket").filter(fits).groupBy("rep", "comp").agg(F.min("hub").alias("hub"))
+    best = rows.join(_few(hubs), "bucket").filter(fits).groupBy("rep", "comp").agg(F.min("hub").alias("hub"))
     return best.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("comp").alias("ca"), F.col("hub.comp").alias("cb"))
 
 
@@ -265,10 +272,10 @@ def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     new = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     if labels is None:
         return new
-    rows = labels.withColumnRenamed("label", "old").join(new.select(F.col("node").alias("old"), "label"), "old", "left")
+    rows = labels.withColumnRenamed("label", "old").join(_few(new.select(F.col("node").alias("old"), "label")), "old", "left")
     rows = rows.select("node", F.coalesce("label", "old").alias("label"))
     # components of one class come in with their first link
-    return stored(rows.union(new.join(labels.select("node"), "node", "left_anti").select("node", "label")), "dedup-labels")
+    return stored(rows.union(new.join(_few(labels.select("node")), "node", "left_anti").select("node", "label")), "dedup-labels")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -290,20 +297,20 @@ def _rare_keys(reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     sets = stored(map_batches(rows, make, "rep bigint, comp bigint, bytes bigint, hs array<bigint>"), "dedup-sets").withColumn("n", F.size("hs"))
     tokens = sets.select("rep", F.explode("hs").alias("h"))
     common = stored(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "dedup-common")
-    ranked = tokens.join(common, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    ranked = tokens.join(_few(common), "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
     # shingles that no other class has come first and need no key; the rest of the order bounds what
     # a pair can share from its first common shingle on
     alone = F.col("n") - F.size("shared")
-    keys = sets.drop("hs").join(ranked, "rep").withColumn("alone", alone).withColumn("ahead", F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone).filter("ahead > 0")
+    keys = sets.drop("hs").join(ranked.hint("merge"), "rep").withColumn("alone", alone).withColumn("ahead", F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone).filter("ahead > 0")
     keys = keys.select("rep", "comp", "bytes", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("ahead"))).alias("at", "x"))
     keys = stored(keys.select(F.col("x.h").alias("h"), "rep", "comp", "bytes", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "dedup-keys")
     # an intersection of (percent x (n + m)) / (100 + percent) is within reach of both sides
     reach = (100 + percent) * F.col("rest") - percent * F.col("n")
     bounds = keys.groupBy("h").agg(F.min("n").alias("least"), F.max(reach).alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h", "least", "most")
-    keys = keys.join(stored(bounds, "dedup-bounds"), "h").filter((F.col("most") >= percent * F.col("n")) & (reach >= percent * F.col("least")))
+    keys = keys.join(_few(stored(bounds, "dedup-bounds")), "h").filter((F.col("most") >= percent * F.col("n")) & (reach >= percent * F.col("least")))
     keys = stored(keys.select("h", "rep", "comp", "bytes"), "dedup-keys")
     several = stored(keys.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).filter("lo <> hi").select("h", "first"), "dedup-several")
-    return keys.join(several, "h")
+    return keys.join(_few(several), "h")
 
 
 def numbered_sets(words: list[str], k: int) -> tuple[list[np.ndarray], int]:
@@ -374,17 +381,17 @@ def _in_cells(keys: DataFrame, texts: DataFrame, signatures: DataFrame, k: int,
     a cluster within CELL_BYTES lies in one cell with other small ones, a larger one is dealt into
     blocks, and each two of its blocks meet in one cell."""
     clusters = components(keys.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()).select(F.col("node").alias("rep"), F.col("label").alias("cluster"))
-    own = stored(keys.select("rep", "comp", "bytes").distinct().join(clusters, "rep"), "dedup-clustered")
-    sizes = own.groupBy("cluster").agg(F.ceil(F.sum("bytes") / CELL_BYTES).alias("blocks"))
+    own = stored(keys.select("rep", "comp", "bytes").distinct().join(_few(clusters), "rep"), "dedup-clustered")
+    sizes = stored(own.groupBy("cluster").agg(F.ceil(F.sum("bytes") / CELL_BYTES).alias("blocks")), "dedup-sizes")
     total = own.agg(F.sum("bytes")).first()[0] or 0
     cells = max(1, -(-total // CELL_BYTES))
-    dealt = own.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = own.join(_few(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     small = F.array(F.struct(F.lit(-1).cast("bigint").alias("cluster"), F.pmod(F.xxhash64("cluster"), F.lit(cells)).alias("i"), F.lit(0).cast("bigint").alias("j"), F.lit(0).alias("side")))
     meet = lambda j: F.struct(F.col("cluster"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side"))
     large = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), meet)
     rows = dealt.withColumn("cell", F.explode(F.when(F.col("blocks") <= 1, small).otherwise(large))).select("rep", "comp", "cell.cluster", "cell.i", "cell.j", "cell.side")
     ids = _few(own.select("rep"))
-    rows = rows.join(texts.join(ids, "rep", "left_semi"), "rep").join(signatures.join(ids, "rep", "left_semi"), "rep")
+    rows = rows.join(texts.join(ids, "rep", "left_semi").hint("merge"), "rep").join(signatures.join(ids, "rep", "left_semi").hint("merge"), "rep")
     ship_package(keys.sparkSession)
 
     def links(cell: pa.Table) -> pa.Table:
@@ -424,7 +431,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, miss: float, text: s
     buckets = bands(classes)
     # what a join below meets is stored first: Spark splits a hot key only between two plain inputs
     shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("bucket"), "dedup-shared")
-    members = stored(buckets.join(shared, "bucket"), "dedup-members")
+    members = stored(buckets.join(_few(shared), "bucket"), "dedup-members")
     texts = _texts(docs, stored(members.select("rep").distinct(), "dedup-involved"), text, key)
     signatures = classes.select("rep", "signature")
 
@@ -448,16 +455,15 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, miss: float, text: s
             labels = _merged(labels, found)
 
     own = classes.select("class_id", "rep")
-    groups = own.withColumn("__component", F.col("rep")) if labels is None else own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("__component", F.coalesce("label", "rep"))
-    out = described.drop("signature").join(groups.select("class_id", "__component"), "class_id", "left")
+    groups = own.withColumn("__component", F.col("rep")) if labels is None else own.join(_few(labels.withColumnRenamed("node", "rep")), "rep", "left").withColumn("__component", F.coalesce("label", "rep"))
+    out = described.drop("signature").join(_marked(groups.select("class_id", "__component"), own.count()), "class_id", "left")
     return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("__component", F.col(key))).alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
 def _texts(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
     """rep and its words (lower case, joined by one space), stored, of the documents in ``ids``."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     space = r"[\x20\x09-\x0D]+"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = F.translate(F.btrim(F.regexp_replace(text_of(text), space, " ")), upper, lower)
-    rows = docs.select(F.col(key).cast("long").alias("rep"), words.alias("words")).join(ids, "rep", "left_semi")
+    rows = docs.select(F.col(key).cast("long").alias("rep"), words.alias("words")).join(_few(ids), "rep", "left_semi")
     return stored(rows, "dedup-texts")
