@@ -160,8 +160,9 @@ def speed_windows(samples: DataFrame, key: str, us: str, take: list[str], told:
 
 def speed_errors(samples: DataFrame, key: str, us: str, at: list[str], told: str, least: int, most: int, unit: int, readings: int = 5, slowest: float = 300.0) -> DataFrame:
     """key, n_windows, error: how far the pace over each window (see ``speed_windows``) whose speeds
-    have a mean of ``slowest`` or more is from that mean, as a share of it; the upper median."""
-    rows = speed_windows(samples.select(key, us, *at, told), key, us, at, told, least, most, readings).filter(F.col("mean") >= slowest)
+    have a mean of ``slowest`` or more is from that mean, as a share of it; the upper median. Means meet
+    ``slowest`` to nine decimals, so that one equal to it counts in whatever order its speeds are added."""
+    rows = speed_windows(samples.select(key, us, *at, told), key, us, at, told, least, most, readings).filter(F.round("mean", 9) >= slowest)
     way = geometry.norm(geometry.sub(tuple(F.col(f"to.{c}") for c in at), tuple(F.col(c) for c in at)))
     pace = way / ((F.col(f"to.{us}") - F.col(us)) / unit)
     errors = rows.select(key, F.try_divide(F.abs(pace - F.col("mean")), F.col("mean")).alias("error"))
