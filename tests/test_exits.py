@@ -2,11 +2,13 @@
 
 import math
 
+import compare
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import exits, geometry
-from trackloom.plans import motion_queries
+from trackloom.plans import exit_queries, motion_queries
 
 KM = 1000.0
 #: Planes by observers, in km: y = z through the centre (+n towards z > y), x + y + z = 100, and z = 0.
@@ -138,3 +140,14 @@ def test_places_as_far_from_the_plane_tie(spark):
     back = geometry.reflect(geometry.reflect(tuple(F.col(c) for c in "xyz"), motion_queries.diagonal()), motion_queries.diagonal())
     gap = at.select(F.max(geometry.norm(geometry.sub(back, tuple(F.col(c) for c in "xyz"))))).first()[0]
     assert gap < 1e-9
+
+
+def test_points_at_half_a_digit_round_as_in_the_sql(spark, tmp_path):
+    """A user's points sum up to 1.1845, a last digit short, where their event numbers are shifted by nine tables'."""
+    c = duckdb.connect()
+    moved = "CASE WHEN user_id = 150 THEN 9 ELSE 0 END"
+    c.execute(f"COPY (SELECT event_id + 100000 * {moved} AS event_id, ts, user_id + 1500 * {moved} AS user_id, event_type, value, props FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id IN (3, 150) ORDER BY 1) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = compare.spark_rows(exit_queries.exit_settlement(spark, str(tmp_path)))
+    assert got == compare.duck_rows(c, exit_queries.SQL["exit_settlement"])
+    assert any(1.185 in r for r in got[1])

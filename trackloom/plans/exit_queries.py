@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trackloom.operators import exits
-from trackloom.plans.match_queries import DAY, HOUR, rounded
+from trackloom.plans.match_queries import DAY, HOUR
 from trackloom.plans.motion_queries import PLACED, START, diagonal, placed
 
 QUERIES: dict[str, object] = {}
@@ -84,12 +85,18 @@ def _settled(spark, sf_dir):
     return exits.settle(fixes, points, START_US, diagonal(), RULES)
 
 
+def scaled(c: str, digits: int) -> Column:
+    """Rounded as its SQL does, on the scaled number: 1.1845 whose sum came out a last digit short is
+    1184.5 again there, and a half goes up."""
+    return F.round(F.col(c) * 10.0**digits) / 10.0**digits
+
+
 @query(f"""WITH RECURSIVE {SETTLED}
 SELECT user_id, k AS exit_id, exit_us, CASE WHEN turn = 1 THEN 'ccw' ELSE 'cw' END AS turn, round(cw + greatest(crossing, 0), 3) AS cw_points, round(ccw + greatest(-crossing, 0), 3) AS ccw_points, start, boundary, round(range, 3) AS range, round(crossing, 3) + 0.0 AS crossing FROM f2""")
 def exit_settlement(spark, sf_dir):
     settled, _ = _settled(spark, sf_dir)
-    points = [rounded(c, 3).alias(c) for c in ("cw_points", "ccw_points", "range")]
-    return settled.select(F.col("pilot").alias("user_id"), "exit_id", "exit_us", "turn", *points, "start", "boundary", (F.round("crossing", 3) + 0.0).alias("crossing"))
+    points = [scaled(c, 3).alias(c) for c in ("cw_points", "ccw_points", "range")]
+    return settled.select(F.col("pilot").alias("user_id"), "exit_id", "exit_us", "turn", *points, "start", "boundary", (scaled("crossing", 3) + 0.0).alias("crossing"))
 
 
 @query(f"""WITH RECURSIVE {SETTLED}
